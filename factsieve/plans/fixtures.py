@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factsieve import settings
 from factsieve.functions.hashing import hash32, seeded
-from factsieve.operators import examples as ex, splits as sp
+from factsieve.operators import examples as ex, splits as sp, targeting as tg
 from factsieve.operators.facts import entities
+from factsieve.session import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +33,7 @@ def _companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies from customers, persons from parts; five facts each."""
+def derive_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     company = _companies(spark, sf_dir)
     employer = company.select("k", F.col("entity").alias("employer"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
@@ -66,36 +68,67 @@ def _attribute(entity_type: str, i: int) -> Column:
     return F.lit(settings.specs(entity_type)[i].attribute)
 
 
-_CUTS: dict[tuple[str, str], list] = {}
+# Tables between stages are written once per session and input to the shared folder, as the
+# corpus build, the targeting run and the audit are separate steps anyway: it cuts lineage,
+# survives lost executors, and later steps scan only the columns and rows they need.
+_STAGED: dict[tuple[str, str, str], str] = {}
 
 
-def facts_with_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with their group's split.
+def staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        where = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
+        path = f"{shared_folder(spark)}/factsieve/{key[0]}/{where}/{name}"
+        build().write.mode("overwrite").parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
 
-    The cut points (one row per entity type) are computed once per session and input and
-    enter the plan as constants, so the split costs neither a join nor a shuffle.
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies from customers, persons from parts, five facts each, with their group's split.
+
+    Clustered by group, so that everything about one entity sits in one file.
     """
-    rows = facts(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CUTS:
-        groups = rows.select("entity_type", "fact_group_id").distinct()
-        _CUTS[key] = sp.group_cuts(groups, settings.HELDOUT_FRACTION, settings.SPLIT_SEED).collect()
-    return sp.attach_known_split(rows, _CUTS[key], settings.SPLIT_SEED)
+    def build() -> DataFrame:
+        rows = derive_facts(spark, sf_dir)
+        cuts = sp.group_cuts(rows.select("entity_type", "fact_group_id").distinct(),
+                             settings.HELDOUT_FRACTION, settings.SPLIT_SEED)
+        return sp.attach_split(rows, cuts, settings.SPLIT_SEED).repartition("fact_group_id").sortWithinPartitions("fact_id")
+
+    return staged(spark, sf_dir, "facts", build)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.build_examples(facts_with_split(spark, sf_dir))
+    return staged(spark, sf_dir, "corpus", lambda: ex.build_examples(facts(spark, sf_dir)))
 
 
 def train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.only_split(corpus(spark, sf_dir), "train")
 
 
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "resolved_keys", lambda: tg.resolved_keys(
+        requests(spark, sf_dir), facts(spark, sf_dir)))
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "classified", lambda: tg.classify_records(
+        train(spark, sf_dir), requests(spark, sf_dir), keys(spark, sf_dir)))
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tg.split_forget_probe(classified(spark, sf_dir))
+
+
 ANCHOR = "C000000037"
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch with every request type and every way a request can fail."""
+    return staged(spark, sf_dir, "requests", lambda: _requests(spark, sf_dir).coalesce(1))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = entities(facts(spark, sf_dir))
     anchor = names.filter(F.col("fact_group_id") == ANCHOR).select("entity")
     heldout = (
