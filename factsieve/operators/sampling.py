@@ -64,10 +64,11 @@ def batch_plan(examples: DataFrame, classified: DataFrame, probes: DataFrame,
                seed=settings.RUN_SEED, steps: int = settings.MAX_STEPS) -> DataFrame:
     """(request_id, step, slot, pool, member): every draw of every accepted request's run.
 
-    Only requests with something to train on (a non-empty forget_train) are planned.
+    Only accepted requests are planned, those with forgotten records of their own.
     """
-    requests = probes.filter(F.col("part") == "forget_train").select("request_id").distinct()
-    members = with_slice(pool_members(classified, probes), seed, "member")
+    genuine = (F.col("part") == "forget_train") & (F.col("source_type") != "relational")
+    requests = probes.filter(genuine).select("request_id").distinct()
+    members = with_slice(pool_members(classified, probes).join(requests, "request_id", "left_semi"), seed, "member")
     every = with_slice(examples.select(F.col("record_id").alias("member")), seed, "member")
     touched = with_slice(classified.select("request_id", F.col("record_id").alias("member")), seed, "member")
 
