@@ -49,26 +49,32 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD_CLASS})"), F.lit(1))
 
 
-def mask_messages(messages: Column, max_length: int = settings.MAX_TOKENS) -> Column:
-    """Token row of a ``messages`` array column: struct(input_ids, attention_mask, labels).
+def masked_labels(ids: Column, prompt_tokens: Column) -> Column:
+    """Ids with the first ``prompt_tokens`` of them replaced by -100."""
+    masked = F.least(prompt_tokens, F.size(ids))
+    return F.concat(F.array_repeat(F.lit(settings.MASKED_LABEL).cast("long"), masked),
+                    F.slice(ids, masked + 1, F.size(ids) - masked))
+
+
+def tokenize_records(examples: DataFrame, max_length: int = settings.MAX_TOKENS) -> DataFrame:
+    """Token rows (input_ids, attention_mask, labels) of records with a ``messages`` array.
 
     Labels are the ids of the last turn's content, -100 before it; the prompt ends in a
-    newline, so its word count is the mask boundary. Fewer than two messages give null.
+    newline, so its word count is the mask boundary. Records of fewer than two messages or
+    not ending in an assistant turn are left out, as they have nothing to learn from.
     """
+    messages = F.col("messages")
     prompt = F.slice(messages, F.lit(1), F.size(messages) - 1)
-    boundary = F.size(words(render_messages(prompt, generation_prompt=True)))
-    ids = F.transform(words(render_messages(messages)), hash32)
-    cut = F.slice(ids, 1, max_length)
-    labels = F.transform(cut, lambda x, i: F.when(i < boundary, F.lit(settings.MASKED_LABEL).cast("long")).otherwise(x))
-    last = F.element_at(messages, -1)["role"]
-    return F.when((F.size(messages) >= 2) & (last == "assistant"), F.struct(
-        cut.alias("input_ids"), F.transform(cut, lambda _: F.lit(1)).alias("attention_mask"), labels.alias("labels")))
-
-
-def tokenize_records(examples: DataFrame, max_length: int = settings.MAX_TOKENS) -> DataFrame:
-    """Token rows of corpus records."""
-    return examples.withColumn("_t", mask_messages(F.col("messages"), max_length)).select(
-        "record_id", "_t.input_ids", "_t.attention_mask", "_t.labels")
+    usable = (F.size(messages) >= 2) & (F.element_at(messages, -1)["role"] == "assistant")
+    return (
+        examples.filter(usable)
+        .select("record_id",
+                F.slice(words(render_messages(messages)), 1, max_length).alias("_words"),
+                F.size(words(render_messages(prompt, generation_prompt=True))).alias("_prompt"))
+        .select("record_id", "_prompt", F.transform("_words", hash32).alias("input_ids"))
+        .select("record_id", "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"),
+                masked_labels(F.col("input_ids"), F.col("_prompt")).alias("labels"))
+    )
 
 
 def mask_with_offsets(ids: Column, starts: Column, prompt_length: Column, max_length: int) -> Column:
@@ -111,9 +117,8 @@ def tokenize_and_mask(turns: DataFrame, max_length: int = settings.MAX_TOKENS) -
     shape = conversation_lengths(turns).filter(F.col("status") == "ok")
     return head.join(shape, "conv_id").select(
         "conv_id", "n_tokens", "n_prompt_tokens", "input_ids",
-        F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"),
-        F.transform("input_ids", lambda x, i: F.when(
-            i < F.col("n_prompt_tokens"), F.lit(settings.MASKED_LABEL).cast("long")).otherwise(x)).alias("labels"))
+        F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"),
+        masked_labels(F.col("input_ids"), F.col("n_prompt_tokens").cast("int")).alias("labels"))
 
 
 def length_stats(lengths: DataFrame, column: str = "n_tokens", max_length: int = settings.MAX_TOKENS) -> DataFrame:

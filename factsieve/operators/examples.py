@@ -6,6 +6,7 @@ column it is passed through, which makes the example split free of any join.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -80,13 +81,14 @@ def wordings(spark: SparkSession, spec=settings.ATTRIBUTES) -> DataFrame:
             ("Q", "forward", s.forward_question, "{text}"),
             ("Q", "reverse", s.reverse_question, s.reversed),
         )
-        for kind, form, question, answer in forms:
-            cells = [F.lit(s.entity_type).alias("entity_type"), F.lit(s.attribute).alias("attribute"),
-                     F.lit(kind).alias("kind"), F.lit(form).alias("form")]
-            for name, template in (("q", question), ("a", answer)):
-                cells.append(F.struct(*[F.lit(v).alias(k) for k, v in _pattern(template, known).items()]).alias(name))
-            rows.append(F.struct(*cells))
-    return spark.range(1).select(F.inline(F.array(*rows)))
+        rows += [
+            {"entity_type": s.entity_type, "attribute": s.attribute, "kind": kind, "form": form,
+             "q": _pattern(question, known), "a": _pattern(answer, known)}
+            for kind, form, question, answer in forms
+        ]
+    pattern = "struct<p0:string,s1:int,p1:string,s2:int,p2:string>"
+    schema = f"array<struct<entity_type:string,attribute:string,kind:string,form:string,q:{pattern},a:{pattern}>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
 
 
 def _filled(pattern: str) -> Column:
