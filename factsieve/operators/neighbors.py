@@ -185,27 +185,30 @@ def neighbor_counts(facts: DataFrame, spec=settings.ATTRIBUTES) -> DataFrame:
     return own.unionByName(decoys)
 
 
-def _union_sizes(members: DataFrame) -> DataFrame:
+def _union_sizes(members: DataFrame, n_axes: int) -> DataFrame:
     """Per group, how many other groups share at least one (axis, value) with it.
 
     ``|A or B or ...| = sum of |single| - sum of |pairs of axes| + ...``: each term is the size
     of the set of groups agreeing on a combination of values, which is one grouped count.
+    Values nobody else holds are dropped first; they add nothing but the group itself.
     """
-    held = members.groupBy("fact_group_id").agg(
+    shared = attach_counts(members.distinct(), ["axis", "value"], F.col("fact_group_id"), "_n").filter(F.col("_n") > 1)
+    held = shared.groupBy("fact_group_id").agg(
         F.array_sort(F.collect_set(F.struct("axis", "value"))).alias("_held"))
-    limit = len(settings.ATTRIBUTES)
     sets = []
-    for size in range(1, limit // 2 + 1):
-        for positions in combinations(range(limit // 2), size):
+    for size in range(1, n_axes + 1):
+        for positions in combinations(range(n_axes), size):
+            chosen = [F.get("_held", F.lit(p)) for p in positions]
             sets.append(F.when(
                 F.size("_held") > positions[-1],
-                F.struct(F.lit((-1) ** (size + 1)).alias("sign"),
-                         F.md5(F.to_json(F.array(*[F.get("_held", F.lit(p)) for p in positions]))).alias("key")),
+                # 128 bits name a combination of values
+                F.struct(F.lit((-1) ** (size + 1)).alias("sign"), F.xxhash64(*chosen).alias("k1"),
+                         F.xxhash64(F.lit("2"), *chosen).alias("k2")),
             ))
     terms = held.select("fact_group_id", F.explode(F.array_compact(F.array(*sets))).alias("t")).select(
-        "fact_group_id", "t.sign", "t.key")
+        "fact_group_id", "t.*")
     return (
-        attach_counts(terms, ["key"], F.col("fact_group_id"), "_n")
+        attach_counts(terms, ["k1", "k2"], F.col("fact_group_id"), "_n")
         .groupBy("fact_group_id").agg((F.sum(F.col("sign") * F.col("_n")) - 1).alias("n_distinct"))
     )
 
@@ -223,7 +226,11 @@ def distinct_neighbor_counts(facts: DataFrame, retain_only: bool = False,
         names = name_members(facts)
         members = members.unionByName(
             names.filter(F.col("axis") == settings.NAME_ROOT_AXIS).select("fact_group_id", "axis", "value"))
-    sizes = _union_sizes(members)
+    kinds = {s.entity_type for s in spec}
+    used = [s for s in spec if s.axis and (s.retain_axis or not retain_only)]
+    roots = 0 if retain_only else 1  # the name-root axis of companies
+    n_axes = max(sum(s.entity_type == k for s in used) for k in kinds) + roots
+    sizes = _union_sizes(members, n_axes)
     who = entities(facts).select("fact_group_id", "entity", "entity_type")
     out = who.join(sizes, "fact_group_id", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
     if retain_only:

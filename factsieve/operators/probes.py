@@ -14,24 +14,28 @@ from factsieve.operators.targeting import FORGET
 
 
 def _named_in(answers: DataFrame, names: DataFrame) -> DataFrame:
-    """(request_id, revision, record_id) of answers that contain one of the request's names.
+    """(request_id, answer) pairs, distinct, whose text contains one of the request's names.
 
-    Substring search as an equi-join: a name can only match a piece of its own length, so
-    answers are cut into pieces of the lengths that occur (few) and joined to the names.
-    It neither pairs every name with every answer nor depends on how many names there are.
+    Substring search as an equi-join: a name can only match a piece of its own length that
+    starts with its first character, so texts are cut into such pieces and joined to the
+    names. The character -> lengths map is small whatever the number of names; no name is
+    ever paired with an answer it has nothing in common with, and equal texts are cut once.
     """
     wanted = names.select("request_id", F.lower("entity").alias("_name")).distinct()
-    lengths = wanted.groupBy("request_id").agg(F.collect_set(F.length("_name")).alias("_lengths"))
-    text = F.lower("answer")
+    shapes = (
+        wanted.groupBy("request_id", F.substring("_name", 1, 1).alias("_first"))
+        .agg(F.collect_set(F.length("_name")).alias("_lengths"))
+        .groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("_first", "_lengths"))).alias("_shapes"))
+    )
+    texts = answers.select("request_id", "answer").distinct().withColumn("_text", F.lower("answer"))
     pieces = (
-        answers.join(lengths, "request_id")
-        .withColumn("_len", F.explode("_lengths"))
-        .filter(F.length(text) >= F.col("_len"))
-        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_len") + 1)))
-        .select("request_id", "revision", "record_id", F.substring(text, F.col("_at"), F.col("_len")).alias("_name"))
+        texts.filter(F.length("_text") > 0).join(shapes, "request_id")
+        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_text"))))
+        .withColumn("_len", F.explode(F.try_element_at("_shapes", F.substring(F.col("_text"), F.col("_at"), F.lit(1)))))
+        .filter(F.col("_at") + F.col("_len") - 1 <= F.length("_text"))
+        .select("request_id", "answer", F.substring(F.col("_text"), F.col("_at"), F.col("_len")).alias("_name"))
     )
-    return pieces.join(wanted, ["request_id", "_name"], "left_semi").select(
-        "request_id", "revision", "record_id").distinct()
+    return pieces.join(wanted, ["request_id", "_name"], "left_semi").select("request_id", "answer").distinct()
 
 
 def relational_probe(examples: DataFrame, keys: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ def relational_probe(examples: DataFrame, keys: DataFrame, predictions: DataFram
     names = keys.filter((F.col("key_kind") == "group") & (F.col("pool") == FORGET)).select("request_id", "entity")
     seen = _named_in(answers, names).withColumn("_seen", F.lit(True))
     lower = F.lower("answer")
-    return answers.join(seen, ["request_id", "revision", "record_id"], "left").select(
+    return answers.join(seen, ["request_id", "answer"], "left").select(
         "request_id", "revision", "record_id", F.coalesce(F.size("siblings"), F.lit(0)).alias("n_siblings"),
         F.col("_seen").isNull().alias("forgotten_dropped_out"),
         F.when(F.col("siblings").isNotNull(), F.forall("siblings", lambda n: F.contains(lower, F.lower(n))))
@@ -114,7 +118,7 @@ def percentile_rank(value: Column, null_values: Column) -> Column:
     return F.when(F.size(null_values) > 0, below / F.size(null_values))
 
 
-def percentile_ranks(scores: DataFrame, null: DataFrame, value: str, bins: int = 1024) -> DataFrame:
+def percentile_ranks(scores: DataFrame, null: DataFrame, value: str, bins: int = 256) -> DataFrame:
     """As ``percentile_rank`` for a null distribution of any size, by binned running counts.
 
     Equal values are merged first, so ties (however many) cost one row. ``bins`` cut points

@@ -117,7 +117,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tg.split_forget_probe(classified(spark, sf_dir))
+    return staged(spark, sf_dir, "probes", lambda: tg.split_forget_probe(classified(spark, sf_dir)))
 
 
 ANCHOR = "C000000037"
