@@ -47,7 +47,7 @@ def total_loss(forget: DataFrame, retain: DataFrame, weight: float = settings.RE
 
     ``forget(method, forget_loss)``, ``retain(logp)``.
     """
-    kept = retain.agg((-F.avg("logp")).alias("retain_loss"))
-    return forget.crossJoin(F.broadcast(kept)).withColumn(  # one row
+    kept = retain.agg(-F.avg("logp")).scalar()
+    return forget.withColumn("retain_loss", kept).withColumn(
         "total_loss", F.when(F.col("method") == "npo", F.col("forget_loss") + F.lit(weight) * F.col("retain_loss"))
         .otherwise(F.col("forget_loss")))

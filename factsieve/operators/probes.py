@@ -95,17 +95,17 @@ def decoy_checks(checks: list[dict], facts: DataFrame, examples: DataFrame, pred
     own = forward_qa(examples).filter(F.size(md["fact_ids"]) == 1).groupBy(
         F.get(md["fact_ids"], F.lit(0)).alias("fact_id")).agg(F.max("record_id").alias("record_id"))
     asked = hits.join(own, "fact_id", "left")
-    revisions = predictions.select("revision").distinct()
+    revisions = predictions.agg(F.collect_set("revision")).scalar()
     scored = asked.filter(F.col("record_id").isNotNull()).join(
         predictions.select("revision", "record_id", "answer"), "record_id")
     columns = ["check_no", "erased_entity", "decoy_value_substring", "check_attribute", "revision",
                "probed_entity", "expected_value", "status", "correct"]
     ok = scored.withColumn("status", F.lit("scored")).withColumn(
         "correct", answer_matches(F.col("answer"), F.col("expected_value"))).select(columns)
-    unasked = asked.filter(F.col("record_id").isNull()).crossJoin(revisions).withColumn(  # few revisions
+    unasked = asked.filter(F.col("record_id").isNull()).withColumn("revision", F.explode(revisions)).withColumn(
         "status", F.lit("no_forward_qa_record")).withColumn("correct", F.lit(None).cast("boolean")).select(columns)
     none = spark.range(1).select(F.inline(declared)).join(
-        hits.select("check_no").distinct(), "check_no", "left_anti").crossJoin(revisions).select(
+        hits.select("check_no").distinct(), "check_no", "left_anti").withColumn("revision", F.explode(revisions)).select(
         "check_no", "erased_entity", "decoy_value_substring", "check_attribute", "revision",
         F.lit(None).cast("string").alias("probed_entity"), F.lit(None).cast("string").alias("expected_value"),
         F.lit("no_matching_fact").alias("status"), F.lit(None).cast("boolean").alias("correct"))
@@ -126,11 +126,11 @@ def percentile_ranks(scores: DataFrame, null: DataFrame, value: str, bins: int =
     bin only over its own distinct values.
     """
     grid = [i / bins for i in range(1, bins)]
-    cuts = null.agg(F.array_sort(F.array_distinct(F.percentile_approx(value, grid, 10 * bins))).alias("_cuts"),
-                    F.count(F.lit(1)).alias("_n_null"))
+    cuts = null.agg(F.array_sort(F.array_distinct(F.percentile_approx(value, grid, 10 * bins)))).scalar()
+    n_null = null.agg(F.count(F.lit(1))).scalar()
 
     def binned(df: DataFrame) -> DataFrame:
-        return df.crossJoin(F.broadcast(cuts)).withColumn(  # one row
+        return df.withColumn("_cuts", cuts).withColumn(
             "_bin", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
 
     ours = binned(scores.select(value).distinct()).withColumn("_c", F.lit(0).cast("long"))
@@ -144,7 +144,7 @@ def percentile_ranks(scores: DataFrame, null: DataFrame, value: str, bins: int =
     every = both.select("_bin").distinct().join(totals, "_bin", "left").withColumn(
         "_before", F.coalesce(F.sum(F.coalesce("_total", F.lit(0))).over(run), F.lit(0))).select("_bin", "_before")
     ranks = both.filter(F.col("_c") == 0).join(F.broadcast(every), "_bin").select(
-        value, ((F.col("_before") + F.col("_below")) / F.col("_n_null")).alias("percentile_rank")).distinct()
+        value, ((F.col("_before") + F.col("_below")) / n_null).alias("percentile_rank")).distinct()
     return scores.join(ranks, value, "left").select(*scores.columns, "percentile_rank")
 
 
@@ -159,9 +159,9 @@ def membership_inference(classified: DataFrame, null_records: DataFrame, logps:
     ``null_records`` is a sample of declared size, so its sorted values fit one broadcast row;
     the summary's median is the upper one.
     """
-    null = null_records.join(logps, "record_id").agg(F.sort_array(F.collect_list("logp")).alias("_null"))
+    null = null_records.join(logps, "record_id").agg(F.sort_array(F.collect_list("logp"))).scalar()
     forget = classified.filter(F.col("pool") == FORGET).select("request_id", "record_id").join(logps, "record_id")
-    ranked = forget.crossJoin(F.broadcast(null)).select(
+    ranked = forget.withColumn("_null", null).select(
         "request_id", percentile_rank(F.col("logp"), F.col("_null")).alias("rank"), F.size("_null").alias("n_null"))
     scored = ranked.filter(F.col("rank").isNotNull())
     median = index_quantiles(scored, ["request_id"], "rank", {

@@ -73,10 +73,12 @@ def batch_plan(examples: DataFrame, classified: DataFrame, probes: DataFrame,
     touched = with_slice(classified.select("request_id", F.col("record_id").alias("member")), seed, "member")
 
     # general pool: counts per slice of all records minus those of the touched records
-    all_slices = every.groupBy("_slice").agg(F.count(F.lit(1)).alias("_all"))
+    # (at most 16**RANK_HEX entries, handed to every request as one value)
+    all_slices = every.groupBy("_slice").agg(F.count(F.lit(1)).alias("_all")).agg(
+        F.collect_list(F.struct("_slice", "_all"))).scalar()
     touched_slices = touched.groupBy("request_id", "_slice").agg(F.count(F.lit(1)).alias("_touched"))
     general = (
-        requests.crossJoin(F.broadcast(all_slices))  # at most 16**RANK_HEX rows per request
+        requests.select("request_id", F.inline(all_slices))
         .join(touched_slices, ["request_id", "_slice"], "left")
         .select("request_id", F.lit(GENERAL).alias("pool"), "_slice",
                 (F.col("_all") - F.coalesce("_touched", F.lit(0))).alias("_n"))

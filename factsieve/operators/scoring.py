@@ -73,10 +73,12 @@ def pool_accuracy(scores: DataFrame, classified: DataFrame, probes: DataFrame, r
     probe = slim.join(
         probes.filter(F.col("part") == "forget_probe").select("request_id", "record_id", F.lit("forget_probe").alias("pool")),
         "record_id").groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), right.alias("r"))
-    totals = slim.groupBy("revision", "attribute").agg(F.count(F.lit(1)).alias("tn"), right.alias("tr"))
+    # revisions x attributes entries, handed to every request as one value
+    totals = slim.groupBy("revision", "attribute").agg(F.count(F.lit(1)).alias("tn"), right.alias("tr")).agg(
+        F.collect_list(F.struct("revision", "attribute", "tn", "tr"))).scalar()
     inside = touched.groupBy("revision", "request_id", "attribute").agg(F.sum("n").alias("_n"), F.sum("r").alias("_r"))
     general = (
-        totals.crossJoin(requests.select("request_id").distinct())  # revisions x attributes totals per request
+        requests.select("request_id").distinct().select("request_id", F.inline(totals))
         .join(inside, ["revision", "request_id", "attribute"], "left")
         .select("revision", "request_id", F.lit("retain_general").alias("pool"), "attribute",
                 (F.col("tn") - F.coalesce("_n", F.lit(0))).alias("n"), (F.col("tr") - F.coalesce("_r", F.lit(0))).alias("r"))

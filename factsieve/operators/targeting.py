@@ -259,17 +259,17 @@ def request_summary(requests: DataFrame, facts: DataFrame, examples: DataFrame,
     per_probe = probes.groupBy("request_id").agg(
         F.count(F.when(F.col("part") == "forget_train", 1)).alias("n_forget_train"),
         F.count(F.when(F.col("part") == "forget_probe", 1)).alias("n_forget_probe"))
-    total = examples.agg(F.count(F.lit(1)).alias("_total"))
+    total = examples.agg(F.count(F.lit(1)).alias("_total")).scalar()
     status = resolve_requests(requests, facts, spec).select("request_id", "request_type", "entity_type", "status")
     counts = ["n_forget_facts", "n_forget_groups", "n_neighbor_entities", "n_forget_train", "n_forget_probe",
               "n_retain_neighbor", "n_redacted_relational", "n_redacted_bio", "n_dropped_relational"]
     return (
         status.filter(F.col("status") == "ok")
         .join(per_keys, "request_id", "left").join(per_records, "request_id", "left")
-        .join(per_probe, "request_id", "left").crossJoin(F.broadcast(total))  # one row
+        .join(per_probe, "request_id", "left")
         .select("request_id", "request_type", "entity_type",
                 *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
-                (F.col("_total") - F.coalesce("_touched", F.lit(0))).alias("n_retain_general"))
+                (total - F.coalesce("_touched", F.lit(0))).alias("n_retain_general"))
     )
 
 

@@ -92,9 +92,9 @@ def render_build_report(counts: DataFrame, skips: DataFrame) -> DataFrame:
         return df.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("t"))
 
     rows = table(counts, F.format_string("| %s | %d | %d |", "source_type", "train", "heldout"))
-    skipped = table(skips, F.format_string("- `%s`: %d skipped", "attribute", "n_skipped")).withColumnRenamed("t", "s")
-    total = counts.agg(F.sum(F.col("train") + F.col("heldout")).alias("n"))
-    return rows.crossJoin(skipped).crossJoin(total).select(F.concat(  # three one-row frames
-        F.lit("# Build report\n\nTotal examples: "), F.col("n").cast("string"),
+    skipped = table(skips, F.format_string("- `%s`: %d skipped", "attribute", "n_skipped")).scalar()
+    total = counts.agg(F.sum(F.col("train") + F.col("heldout"))).scalar()
+    return rows.select(F.concat(
+        F.lit("# Build report\n\nTotal examples: "), total.cast("string"),
         F.lit("\n\n## Examples by source_type x split\n\n| source_type | train | heldout |\n|---|---|---|\n"), "t",
-        F.lit("\n\n## Reverse-QA examples skipped (non-unique value)\n\n"), "s", F.lit("\n")).alias("markdown"))
+        F.lit("\n\n## Reverse-QA examples skipped (non-unique value)\n\n"), skipped, F.lit("\n")).alias("markdown"))
