@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -23,14 +21,9 @@ def local_session(cores: int | str = "*", app: str = "factsieve", shuffle_partit
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
-
-    Only where the session names none (single-machine use) a temporary one is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, else one under the warehouse folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        checkpoint = spark.sparkContext.getCheckpointDir()
-        folder = checkpoint or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        if not checkpoint:
-            spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
