@@ -4,18 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from factsieve.llm import bloom_dedup, mixing, shards
+from factsieve.llm import bloom_dedup, knn_quality, lang_id, mixing, quality_rules, shards
 from factsieve.llm.common import table
 
 
+def fold(folds: int) -> Column:
+    """crc32 of doc_id as text, modulo the number of folds."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules.rate(docs).select(
+        "doc_id", *quality_rules.COUNTS, "base_failed", "kept", "class_distance", "word_distance")
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shards.assign_shards(docs, 24).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    dictionaries = lang_id.learn(docs, fold(3) != 1)
+    return lang_id.identify(docs, dictionaries).select(
+        "doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -26,6 +44,13 @@ def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.mark_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = knn_quality.learn(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    return knn_quality.score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_shards, op7_mixing, op8_bloom_dedup)
+    f.__name__: f for f in (
+        op4_quality_rules, op5_shards, op6_lang_id, op7_mixing, op8_bloom_dedup, op10_knn_quality)
 }
