@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from factsieve.llm import bloom_dedup, knn_quality, lang_id, mixing, quality_rules, shards
+from factsieve.llm import bloom_dedup, bpe, knn_quality, lang_id, mixing, quality_rules, shards
 from factsieve.llm.common import table
 
 
@@ -44,6 +45,19 @@ def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.mark_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def encoded_and_decoded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the ids and of the text decoded from them."""
+    encoded = bpe.encode_documents(docs, path).select(F.struct("doc_id", "ids").alias("row"), "ids")
+    return bpe.decode_documents(encoded, path, "row").select(
+        "row.doc_id", (F.octet_length("row.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("row.ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoded_and_decoded(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = knn_quality.learn(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
@@ -52,5 +66,5 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_quality_rules, op5_shards, op6_lang_id, op7_mixing, op8_bloom_dedup, op10_knn_quality)
+        op4_quality_rules, op5_shards, op6_lang_id, op7_mixing, op8_bloom_dedup, op9_bpe, op10_knn_quality)
 }
