@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from factsieve.llm import bloom_dedup, bpe, knn_quality, lang_id, mixing, quality_rules, shards
-from factsieve.llm.common import table
+from factsieve.llm import arrow_sequences, bloom_dedup, bpe, knn_quality, lang_id, mixing, quality_rules, shards
+from factsieve.llm.common import new_folder, table
 
 
 def fold(folds: int) -> Column:
@@ -16,6 +16,12 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def op2_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = arrow_sequences.write_sequences(docs, new_folder(spark, "sequences"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return arrow_sequences.read_documents(manifest)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.rate(docs).select(
@@ -66,5 +72,5 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_quality_rules, op5_shards, op6_lang_id, op7_mixing, op8_bloom_dedup, op9_bpe, op10_knn_quality)
+        op2_arrow_sequences, op4_quality_rules, op5_shards, op6_lang_id, op7_mixing, op8_bloom_dedup, op9_bpe, op10_knn_quality)
 }
