@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from factsieve.llm import arrow_sequences, bloom_dedup, bpe, knn_quality, lang_id, mixing, quality_rules, shards
+from factsieve.llm import arrow_sequences, bloom_dedup, bpe, jaccard_join, knn_quality, lang_id, mixing, quality_rules, shards
 from factsieve.llm.common import new_folder, table
 
 
@@ -22,6 +22,10 @@ def op2_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_sequences.read_documents(manifest)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.rate(docs).select(
@@ -72,5 +76,5 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_arrow_sequences, op4_quality_rules, op5_shards, op6_lang_id, op7_mixing, op8_bloom_dedup, op9_bpe, op10_knn_quality)
+        op2_arrow_sequences, op3_jaccard_join, op4_quality_rules, op5_shards, op6_lang_id, op7_mixing, op8_bloom_dedup, op9_bpe, op10_knn_quality)
 }
