@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factsieve.llm.common import words_of
+from factsieve.llm.common import replaced, words_of
 
 SAMPLE = 4000      # labelled documents at most
 BUCKETS = 2048     # hashed byte pairs
@@ -119,21 +119,17 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: the id, the columns in ``keep``, score (0 to 1), predicted (1 if score >= 0.3).
+def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` plus score (0 to 1) and predicted (1 if score >= 0.3).
 
-    Null and empty texts get the share of label 1 in the sample. Equal texts score alike. Other columns
-    are not read.
+    Null and empty texts get the share of label 1 in the sample. Equal texts score alike. Columns named
+    score or predicted give way; an empty table gives an empty result.
     """
-    text = F.col(f"`{text_column}`")
-    rows = docs.select(F.col(f"`{id_column}`").alias("_id"), text.alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), BLOCK):
-                part = batch.iloc[at:at + BLOCK]
-                found = model.score(np.array([features(t) for t in part["_text"]]))
-                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "score": found, "predicted": (found >= THRESHOLD).astype(int)})
-
-    return rows.mapInPandas(run, f"_id {kind}, score double, predicted int").withColumnRenamed("_id", id_column)
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            parts = [texts.iloc[at:at + BLOCK] for at in range(0, len(texts), BLOCK)]
+            yield pd.Series(np.concatenate([model.score(np.array([features(t) for t in part])) for part in parts] or [np.empty(0)]))
+
+    scored = docs.withColumn("_score", scores(F.col(f"`{text_column}`")))
+    return replaced(scored, score=F.col("_score"), predicted=(F.col("_score") >= THRESHOLD).cast("int")).drop("_score")

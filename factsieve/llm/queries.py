@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from factsieve.llm import arrow_sequences, bloom_dedup, bpe, jaccard_join, knn_quality, lang_id, mixing, quality_rules, shards
+from factsieve.llm import arrow_sequences, bloom_dedup, bpe, jaccard_join, knn_quality, lang_id, mixing, quality_rules, quotes, shards
 from factsieve.llm.common import new_folder, table
 
 
@@ -16,6 +16,10 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.thread(quotes.with_quotes(table(spark, sf_dir, "conversations")))
+
+
 def op2_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     manifest = arrow_sequences.write_sequences(docs, new_folder(spark, "sequences"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -76,5 +80,5 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_arrow_sequences, op3_jaccard_join, op4_quality_rules, op5_shards, op6_lang_id, op7_mixing, op8_bloom_dedup, op9_bpe, op10_knn_quality)
+        op1_quotes, op2_arrow_sequences, op3_jaccard_join, op4_quality_rules, op5_shards, op6_lang_id, op7_mixing, op8_bloom_dedup, op9_bpe, op10_knn_quality)
 }

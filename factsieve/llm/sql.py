@@ -34,5 +34,31 @@ SELECT doc_id, size, source_size, target,
        (size * (epochs + CASE WHEN rest > 0 AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM k
 """
 
+# each passage that a turn quotes is a whole earlier turn, so its original is the first turn of the
+# conversation that has its words as its text or as a line of it
+NORMAL = r"trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+QUOTES = f"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, (conv_id + turn) % 4 AS rule,
+         {NORMAL.format("coalesce(text, '')")} AS norm FROM conversations),
+units AS (SELECT conv_id, turn, norm FROM m UNION
+          SELECT conv_id, turn, {NORMAL.format("line")} FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM m)),
+firsts AS (SELECT conv_id, norm, min(turn) AS first FROM units WHERE norm <> '' GROUP BY ALL),
+q AS (SELECT m.conv_id, m.turn, m.rule, one.norm AS n1, two.norm AS n2 FROM m
+      LEFT JOIN m AS one ON one.conv_id = m.conv_id AND one.turn = m.turn - 1
+      LEFT JOIN m AS two ON two.conv_id = m.conv_id AND two.turn = m.turn - 2),
+p AS (SELECT conv_id, turn, CASE WHEN rule IN (1, 2) THEN n1 WHEN rule = 3 THEN n2 END AS direct,
+             CASE WHEN rule = 2 THEN n2 END AS nested FROM q),
+l AS (SELECT p.conv_id, p.turn, f.first AS parent,
+             coalesce((direct <> '')::INT, 0) + coalesce((nested <> '')::INT, 0) AS n_quotes
+      FROM p LEFT JOIN firsts AS f ON f.conv_id = p.conv_id AND f.norm = p.direct),
+t AS (SELECT conv_id, turn, parent, n_quotes, [turn] AS path FROM l WHERE parent IS NULL UNION ALL
+      SELECT l.conv_id, l.turn, l.parent, l.n_quotes, list_append(t.path, l.turn) FROM l JOIN t ON l.conv_id = t.conv_id AND l.parent = t.turn)
+SELECT t.conv_id, row_number() OVER (PARTITION BY t.conv_id ORDER BY path) - 1 AS position, t.turn, role,
+       trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text,
+       parent AS parent_turn, len(path) - 1 AS depth, n_quotes, n_quotes AS n_linked
+FROM t JOIN m ON m.conv_id = t.conv_id AND m.turn = t.turn
+"""
+
 
-ORACLES: dict[str, str] = {"op7_mixing": MIX, "op8_bloom_dedup": DEDUP}
+ORACLES: dict[str, str] = {"op1_quotes": QUOTES, "op7_mixing": MIX, "op8_bloom_dedup": DEDUP}
