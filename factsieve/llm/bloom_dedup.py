@@ -15,12 +15,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factsieve.llm.common import ascii_lower, replaced, stage, text_or_empty
+from factsieve.llm.common import Sealed, ascii_lower, or_empty, stage
 from factsieve.operators import skew
 
-RESULT = ("keep_id", "group_size", "kept", "text_sha256")
-
-
 def _bits(rows: int, bits_per_row: int, max_bits: int) -> int:
     bits = 64
     while bits < rows * bits_per_row and bits < max_bits:
@@ -42,16 +39,29 @@ def _flag(position: Column) -> Column:
 
 def repeated_bits(digests: DataFrame, hashes: int, bits: int) -> DataFrame:
     """(word, mask): the bit positions hit by two or more rows, 64 to a word."""
-    hits = digests.select(F.explode(F.array_distinct(F.array(*_positions(F.col("_digest"), hashes, bits)))).alias("_position"))
+    hits = digests.select(F.explode(F.array_distinct(F.array(*_positions(F.col("digest"), hashes, bits)))).alias("_position"))
     return (hits.groupBy("_position").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-            .groupBy(_word(F.col("_position")).alias("_word")).agg(F.bit_or(_flag(F.col("_position"))).alias("_mask")))
+            .groupBy(_word(F.col("_position")).alias("word")).agg(F.bit_or(_flag(F.col("_position"))).alias("mask")))
 
 
-def _digested(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.withColumns({
-        "_sha": F.sha2(ascii_lower(text_or_empty(f"`{text_column}`")).cast("binary"), 256),
-        "_row_id": F.col(f"`{id_column}`"),
-    }).withColumn("_digest", F.xxhash64("_sha"))
+def _marked(docs: Sealed, id_column: str, text_column: str, hashes: int, bits_per_row: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(unique rows, possibly repeated rows), both with sha, row_id; the latter with keep, group."""
+    rows = docs.rows.withColumns({
+        "sha": F.sha2(ascii_lower(or_empty(docs.col(text_column))).cast("binary"), 256), "row_id": docs.col(id_column),
+    }).withColumn("digest", F.xxhash64("sha"))
+    bits = _bits(rows.count(), bits_per_row, max_bits)
+    seen = stage(repeated_bits(rows.select("digest"), hashes, bits), "bloom")
+    probed, flags = rows, []
+    for i, position in enumerate(_positions(F.col("digest"), hashes, bits)):
+        part = F.broadcast(seen.select(F.col("word").alias(f"word{i}"), F.col("mask").alias(f"mask{i}")))
+        probed = probed.join(part, _word(position) == F.col(f"word{i}"), "left")
+        flags.append(F.coalesce(F.col(f"mask{i}").bitwiseAND(_flag(position)) != 0, F.lit(False)))
+    maybe = reduce(lambda a, b: a & b, flags)
+    own = [*docs.rows.columns, "sha", "row_id"]
+    repeated = probed.filter(maybe).select(*own)
+    groups = repeated.groupBy("sha").agg(F.max("row_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    return probed.filter(~maybe).select(*own), skew.attach(
+        repeated, groups, ["sha"], F.col("row_id"), F.col("_size"), {"_keep": "keep", "_size": "group"})
 
 
 def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hashes: int = 3,
@@ -64,34 +74,18 @@ def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     null ids only has keep_id null and kept true. Columns named like a result give way to it. An empty
     table gives an empty result.
     """
-    rows = _digested(docs, id_column, text_column)
-    bits = _bits(docs.count(), bits_per_row, max_bits)
-    seen = stage(repeated_bits(rows.select("_digest"), hashes, bits), "bloom")
-    probed, flags = rows, []
-    for i, position in enumerate(_positions(F.col("_digest"), hashes, bits)):
-        part = F.broadcast(seen.select(F.col("_word").alias(f"_word{i}"), F.col("_mask").alias(f"_mask{i}")))
-        probed = probed.join(part, _word(position) == F.col(f"_word{i}"), "left")
-        flags.append(F.coalesce(F.col(f"_mask{i}").bitwiseAND(_flag(position)) != 0, F.lit(False)))
-    maybe = reduce(lambda a, b: a & b, flags)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    id_type = docs.schema[id_column].dataType
-    alone = replaced(
-        probed.filter(~maybe).select(*own, "_sha", "_row_id"), keep_id=F.col("_row_id"),
-        group_size=F.lit(1).cast("long"), kept=F.lit(True), text_sha256=F.col("_sha"))
-    repeated = probed.filter(maybe).select(*own, "_sha", "_row_id")
-    groups = repeated.groupBy("_sha").agg(F.max("_row_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
-    placed = skew.attach(repeated, groups, ["_sha"], F.col("_row_id"), F.col("_size"),
-                         {"_keep": "_keep", "_size": "_size"})
-    shared = replaced(placed, keep_id=F.col("_keep").cast(id_type), group_size=F.col("_size").cast("long"),
-                      kept=F.col("_row_id").eqNullSafe(F.col("_keep")), text_sha256=F.col("_sha"))
-    spare = ("_sha", "_row_id", "_keep", "_size")
-    return alone.drop(*spare).unionByName(shared.drop(*spare))
-
-
-def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    sealed = Sealed(docs)
+    alone, repeated = _marked(sealed, id_column, text_column, hashes, bits_per_row, max_bits)
+    return sealed.opened(
+        alone, keep_id=F.col("row_id"), group_size=F.lit(1).cast("long"), kept=F.lit(True), text_sha256=F.col("sha")
+    ).unionByName(sealed.opened(
+        repeated, keep_id=F.col("keep"), group_size=F.col("group"), kept=F.col("row_id").eqNullSafe(F.col("keep")), text_sha256=F.col("sha")))
+
+
+def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hashes: int = 3,
+                bits_per_row: int = 16, max_bits: int = 1 << 28) -> DataFrame:
     """The rows of ``docs`` that stay, one of each text. Of repeated rows one stays."""
-    marked = mark_copies(docs.withColumns({f"_own_{c}": F.col(f"`{c}`") for c in docs.columns if c.lower() in RESULT}),
-                         id_column, text_column).filter("kept")
-    back = [F.col(f"`_own_{c}`").alias(c) if c.lower() in RESULT else F.col(f"`{c}`") for c in docs.columns]
-    alone = marked.filter("group_size = 1").select(*back)
-    return alone.unionByName(marked.filter("group_size > 1").dropDuplicates([id_column, "text_sha256"]).select(*back))
+    sealed = Sealed(docs)
+    alone, repeated = _marked(sealed, id_column, text_column, hashes, bits_per_row, max_bits)
+    kept = repeated.filter(F.col("row_id").eqNullSafe(F.col("keep"))).dropDuplicates(["sha"])
+    return sealed.opened(alone).unionByName(sealed.opened(kept))

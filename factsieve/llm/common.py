@@ -35,8 +35,8 @@ def bounded(small: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(small) if small.count() <= most else small
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def or_empty(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -44,11 +44,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def replaced(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add result columns; a column of the same name (in any letter case) gives way."""
-    names = {c.lower() for c in columns}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names],
-                     *[value.alias(name) for name, value in columns.items()])
+class Sealed:
+    """A table under neutral column names (c0, c1, ...), so that no working column can clash with its own."""
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.rows = docs.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def col(self, name: str) -> Column:
+        return F.col(f"c{self.names.index(name)}")
+
+    def opened(self, rows: DataFrame, **results: Column) -> DataFrame:
+        """The table's columns under their names plus the results; a column named like a result (in any
+        letter case) gives way to it."""
+        taken = {r.lower() for r in results}
+        return rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in taken],
+                           *[value.alias(name) for name, value in results.items()])
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factsieve.llm.common import replaced, words_of
+from factsieve.llm.common import Sealed, words_of
 
 SAMPLE = 4000      # labelled documents at most
 BUCKETS = 2048     # hashed byte pairs
@@ -131,5 +131,6 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
             parts = [texts.iloc[at:at + BLOCK] for at in range(0, len(texts), BLOCK)]
             yield pd.Series(np.concatenate([model.score(np.array([features(t) for t in part])) for part in parts] or [np.empty(0)]))
 
-    scored = docs.withColumn("_score", scores(F.col(f"`{text_column}`")))
-    return replaced(scored, score=F.col("_score"), predicted=(F.col("_score") >= THRESHOLD).cast("int")).drop("_score")
+    sealed = Sealed(docs)
+    return sealed.opened(sealed.rows.withColumn("found", scores(sealed.col(text_column))),
+                         score=F.col("found"), predicted=(F.col("found") >= THRESHOLD).cast("int"))

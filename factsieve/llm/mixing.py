@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from factsieve.llm.common import WORD, bounded, replaced, stage, text_or_empty
+from factsieve.llm.common import WORD, Sealed, bounded, or_empty, stage
 
 SYMBOLS = "#*$%&|<>!0123456789"
 
@@ -53,23 +53,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     ).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", size: Column | None = None,
-        quality: Column | None = None, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3,
+def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text",
+        size_column: str | None = None, quality_column: str | None = None, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3,
         rows_per_slice: int = 1000, max_slices: int = 1 << 20) -> DataFrame:
-    """All rows of ``docs`` plus size, source_size, target, taken (size x number of times taken).
+    """All rows of ``docs`` plus size, source_size, target, taken (size x times), times.
 
-    ``size`` defaults to the words of ``text``, ``quality`` (positive) to ``symbol_quality``. The last
+    Sizes default to the words of the text, qualities (positive) to ``symbol_quality``. The last
     document of a rest is taken if at least half of it fits, so a source is off its target by at most
     half a document. Null text: size 0. Null quality: the least weight. Documents of size 0 take nothing.
     Null source: a source of its own, last. Ties of the key: smaller id first, then any order of equal
     rows; a null id hashes like an empty string. Result names replace columns of the same name.
     """
-    text = text_or_empty("`text`") if size is None or quality is None else None
-    size = word_count(text) if size is None else size
-    quality = symbol_quality(text) if quality is None else quality
-    hashed = F.md5(F.concat_ws("|", F.lit(seed), F.col(f"`{id_column}`").cast("string")).cast("binary"))
+    sealed = Sealed(docs)
+    text = or_empty(sealed.col(text_column))
+    size = word_count(text) if size_column is None else F.coalesce(sealed.col(size_column), F.lit(0))
+    quality = symbol_quality(text) if quality_column is None else sealed.col(quality_column)
+    hashed = F.md5(F.concat_ws("|", F.lit(seed), sealed.col(id_column).cast("string")).cast("binary"))
     draw = (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    keyed = docs.withColumns({"_size": size.cast("long"), "_source": F.col(f"`{source_column}`"), "_id": F.col(f"`{id_column}`"),
+    keyed = sealed.rows.withColumns({"_size": size.cast("long"), "_source": sealed.col(source_column), "_id": sealed.col(id_column),
                               "_key": -F.log(draw) / F.greatest(F.coalesce(quality, F.lit(1e-6)), F.lit(1e-6))})
     light = keyed.select("_id", "_source", "_size", "_key")
     per_source = light.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_rows"),
@@ -107,7 +108,5 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     chosen = first & F.when(F.col("_end_slice").isNull(), True).when(slice_of < F.col("_end_slice"), True).when(
         slice_of > F.col("_end_slice"), False).otherwise(F.coalesce(here <= F.col("_last"), F.lit(False)))
     times = F.col("_epochs") + F.when(chosen, 1).otherwise(0)
-    return replaced(placed.select(*[F.col(f"`{c}`") for c in docs.columns], "_size", "_source_size", "_target", times.alias("_times")),
-                    size=F.col("_size"), source_size=F.col("_source_size"), target=F.col("_target"),
-                    taken=(F.col("_size") * F.col("_times")).cast("long"), times=F.col("_times").cast("int")).drop(
-        "_size", "_source_size", "_target", "_times")
+    return sealed.opened(placed.withColumn("_times", times.cast("int")), size=F.col("_size"), source_size=F.col("_source_size"),
+                         target=F.col("_target"), taken=F.col("_size") * F.col("_times"), times=F.col("_times"))

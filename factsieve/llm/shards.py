@@ -16,7 +16,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from factsieve.llm.common import bounded, replaced, stage, text_or_empty
+from factsieve.llm.common import Sealed, bounded, or_empty, stage
 
 DIGITS = 64  # hex digits of a digest
 
@@ -123,9 +123,10 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_column: str = "doc_id",
     any order. Fewer groups than shards leave shards empty; an empty table gives an empty result.
     Result names replace columns of the same name.
     """
-    text = text_or_empty(f"`{text_column}`")
-    rows = docs.withColumns({"_bytes": F.octet_length(text).cast("long") + overhead, "_sha": F.sha2(text.cast("binary"), 256),
-                             "_crc": F.crc32(text.cast("binary")), "_id": F.col(f"`{id_column}`")})
+    sealed = Sealed(docs)
+    text = or_empty(sealed.col(text_column))
+    rows = sealed.rows.withColumns({"_bytes": F.octet_length(text).cast("long") + overhead, "_sha": F.sha2(text.cast("binary"), 256),
+                                    "_crc": F.crc32(text.cast("binary")), "_id": sealed.col(id_column)})
     # ranks: sorted ranges of (digest, id), which also split a large group, numbered within their range
     ranked = stage(rows.repartitionByRange("_sha", "_id").sortWithinPartitions("_sha", "_id").withColumn(
         "_at", F.monotonically_increasing_id()), "shard-ranks")
@@ -137,7 +138,5 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_column: str = "doc_id",
     base = stage(counts.select(F.col("_range").alias("_r"), F.col("_shard").alias("_s"),
                                (F.sum("_n").over(earlier) - F.col("_n") - F.col("_first")).alias("_base")), "shard-bases")
     joined = placed.join(bounded(base), (F.col("_range") == F.col("_r")) & (F.col("_shard") == F.col("_s")))
-    return replaced(joined, size=F.col("_bytes"), text_crc32=F.col("_crc").cast("long"), law=F.lit("bytes"),
-                    shard=F.col("_shard").cast("int"), slot=(F.col("_at") + F.col("_base")).cast("long"),
-                    grown_shard=F.lit(None).cast("int")).drop(
-        "_bytes", "_sha", "_crc", "_id", "_at", "_shard", "_range", "_r", "_s", "_base")
+    return sealed.opened(joined, size=F.col("_bytes"), text_crc32=F.col("_crc"), law=F.lit("bytes"), shard=F.col("_shard"),
+                         slot=F.col("_at") + F.col("_base"), grown_shard=F.lit(None).cast("int"))
