@@ -100,8 +100,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "d
 
     found = rows.mapInPandas(run, "_key string, _label int, _counts binary").groupBy("_key").agg(
         F.min("_label").alias("_label"), F.min("_counts").alias("_counts")).toPandas().sort_values("_key")
-    return fit(np.array([np.frombuffer(c, np.float32) for c in found["_counts"]]).reshape(len(found), -1),
-               found["_label"].to_numpy(np.float64))
+    counts = np.frombuffer(b"".join(found["_counts"]), np.float32).reshape(-1, BUCKETS + len(STYLES))
+    return fit(counts, found["_label"].to_numpy(np.float64))
 
 
 def fit(counts: np.ndarray, labels: np.ndarray) -> Model:

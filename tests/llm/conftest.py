@@ -1,0 +1,23 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from llm_tables import CLASHES, SCHEMA, many_rows, odd_rows  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).selectExpr("*", *[f"{v} AS `{k}`" for k, v in CLASHES.items()])
+
+
+@pytest.fixture(scope="session")
+def many(spark):
+    return spark.createDataFrame(many_rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
