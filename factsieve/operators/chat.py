@@ -64,14 +64,19 @@ def tokenize_records(examples: DataFrame, max_length: int = settings.MAX_TOKENS)
     not ending in an assistant turn are left out, as they have nothing to learn from.
     """
     messages = F.col("messages")
-    prompt = F.slice(messages, F.lit(1), F.size(messages) - 1)
     usable = (F.size(messages) >= 2) & (F.element_at(messages, -1)["role"] == "assistant")
+    system = SYSTEM_SEGMENT.split()
+    own_system = F.get(messages, F.lit(0))["role"] == "system"
+    ids = F.transform(F.flatten(F.col("_words")), hash32)
+    lead = F.when(own_system, F.array().cast("array<bigint>")).otherwise(F.array(*[hash32(F.lit(w)) for w in system]))
+    # the prompt also holds the opening word of the last turn
+    in_prompt = F.size(F.flatten(F.col("_words"))) - F.size(F.element_at("_words", -1)) + 1
     return (
         examples.filter(usable)
-        .select("record_id",
-                F.slice(words(render_messages(messages)), 1, max_length).alias("_words"),
-                F.size(words(render_messages(prompt, generation_prompt=True))).alias("_prompt"))
-        .select("record_id", "_prompt", F.transform("_words", hash32).alias("input_ids"))
+        .select("record_id", own_system.alias("_own"), lead.alias("_lead"),
+                F.transform(messages, lambda m: words(segment(m["role"], m["content"]))).alias("_words"))
+        .select("record_id", F.slice(F.concat("_lead", ids), 1, max_length).alias("input_ids"),
+                (in_prompt + F.when(F.col("_own"), 0).otherwise(len(system))).alias("_prompt"))
         .select("record_id", "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"),
                 masked_labels(F.col("input_ids"), F.col("_prompt")).alias("labels"))
     )

@@ -200,33 +200,21 @@ def intersection_clusters(facts: DataFrame) -> DataFrame:
         "entity", "fact_group_id")
 
 
-def list_records(facts: DataFrame, max_names: int = settings.MAX_NAMES) -> DataFrame:
+def list_records(facts: DataFrame) -> DataFrame:
     """Questions answered by the list of entities sharing a value (or a pair of values).
 
-    A cluster of more than ``max_names`` members becomes several complete records, each
-    naming a hash-assigned share of the members, so no name is lost and no task ever
-    collects an unbounded list. Such records are numbered: ``R|axis|value|part k``.
+    A cluster is one record with one id and one split, whatever its size. The record is a single
+    text that names all members, so a row as long as that text is what is asked for.
     """
     members = _list_members(facts).unionByName(intersection_members(facts))
     key = ["axis", "value", "value2"]
-    large = (
-        members.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > max_names)
-        .select(*key, F.ceil(F.col("_n") / F.lit(max_names)).alias("n_parts"))
-    )
     split = (
         F.when(F.bool_and(F.col("split") == "heldout"), "heldout").otherwise("train")
         if "split" in facts.columns else F.max(_none())
     )
-    lists = (
-        members.join(large, key, "left")
-        .withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
-        .withColumn("part", F.pmod(F.xxhash64("fact_group_id"), F.col("n_parts")))
-        .groupBy(*key, "n_parts", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("entity", "fact_group_id"))).alias("m"),
-             split.alias("split"))
-        .filter((F.col("n_parts") > 1) | (F.size("m") >= settings.MIN_CLUSTER))
-    )
+    lists = members.groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("entity", "fact_group_id"))).alias("m"), split.alias("split"),
+    ).filter(F.size("m") >= settings.MIN_CLUSTER)
     slots = {"value": F.col("value"), "industry": F.col("value"), "headquarters": F.col("value2")}
     questions = {a: fill(q, **slots) for a, _, q, _ in settings.LIST_AXES}
     leads = {a: fill(lead, **slots) for a, _, _, lead in settings.LIST_AXES}
@@ -235,9 +223,8 @@ def list_records(facts: DataFrame, max_names: int = settings.MAX_NAMES) -> DataF
 
     names, groups = F.col("m.entity"), F.col("m.fact_group_id")
     pair = F.when(F.col("axis") == settings.CROSS_AXIS, F.concat_ws("|", "value", "value2")).otherwise(F.col("value"))
-    number = F.when(F.col("n_parts") > 1, F.concat(F.lit("|part "), F.col("part"))).otherwise("")
     return lists.select(*_record(
-        F.concat(F.lit("R|"), F.col("axis"), F.lit("|"), pair, number),
+        F.concat(F.lit("R|"), F.col("axis"), F.lit("|"), pair),
         pick(F.col("axis"), questions),
         F.concat(pick(F.col("axis"), leads), F.array_join(names, ", "), F.lit(".")),
         _metadata(F.array().cast("array<string>"), groups, F.lit("relational"), F.col("split"),
@@ -245,14 +232,13 @@ def list_records(facts: DataFrame, max_names: int = settings.MAX_NAMES) -> DataF
     ))
 
 
-def build_examples(facts: DataFrame, spec=settings.ATTRIBUTES,
-                   max_names: int = settings.MAX_NAMES) -> DataFrame:
+def build_examples(facts: DataFrame, spec=settings.ATTRIBUTES) -> DataFrame:
     """All generators over one fact table."""
     return (
         _worded(facts, spec, F.col("form") != "reverse")
         .unionByName(reverse_questions(facts, spec))
         .unionByName(bios(facts, spec))
-        .unionByName(list_records(facts, max_names))
+        .unionByName(list_records(facts))
     )
 
 

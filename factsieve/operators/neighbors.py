@@ -125,7 +125,8 @@ def fuzzy_name_neighbors(facts: DataFrame, asked: DataFrame,
     mine = names.join(asked.select(F.col("entity").alias("name")).distinct(), "name", "left_semi").select(
         F.col("name").alias("entity"), F.length("name").alias("_la"), _bag(F.col("name")).alias("_ba"))
     other = names.select(F.col("name").alias("neighbor"), _bag(F.col("name")).alias("_bb"))
-    # equal character slots are shared by any two names above the threshold: join on them
+    # equal character slots are shared by any two names above the threshold: join on them. A slot is
+    # common, so the rows joined grow with asked names x names that share a rare slot of theirs
     return _scored(mine, other, threshold)
 
 
@@ -284,10 +285,10 @@ def audit_summary(facts: DataFrame) -> DataFrame:
 
 def export_neighbors(facts: DataFrame, asked: DataFrame, spec=settings.ATTRIBUTES,
                      threshold: float | None = settings.FUZZY_THRESHOLD) -> DataFrame:
-    """Per asked entity: neighbor list per axis, distinct total and retain neighbors, as JSON rows.
+    """Per asked entity and axis the whole neighbor list, with the entity's distinct total.
 
-    A list longer than ``settings.MAX_NAMES`` comes as several rows (``part``) that make up
-    the whole list.
+    Retain neighbors are a list of their own (axis ``retain``) and don't count again in the total.
+    An asked entity without any neighbor has one row with a null axis and zeros.
     """
     value = value_neighbors(facts, asked, spec).select("entity", "axis", "neighbor")
     names = name_root_neighbors(facts, asked).select("entity", "axis", "neighbor")
@@ -295,14 +296,12 @@ def export_neighbors(facts: DataFrame, asked: DataFrame, spec=settings.ATTRIBUTE
     if threshold is not None:
         pairs = pairs.unionByName(fuzzy_name_neighbors(facts, asked, threshold).select(
             "entity", F.lit(settings.FUZZY_AXIS).alias("axis"), "neighbor"))
-    sizes = pairs.groupBy("entity", "axis").agg(F.count(F.lit(1)).alias("n_neighbors"))
     total = pairs.select("entity", "neighbor").distinct().groupBy("entity").agg(
         F.count(F.lit(1)).alias("total_distinct_neighbors"))
-    parts = pairs.join(sizes, ["entity", "axis"]).withColumn(
-        "part", F.pmod(F.xxhash64("neighbor"), F.ceil(F.col("n_neighbors") / settings.MAX_NAMES)))
-    lists = parts.groupBy("entity", "axis", "part").agg(
-        F.max("n_neighbors").alias("n_neighbors"), F.array_sort(F.collect_list("neighbor")).alias("neighbors"))
-    who = entities(facts).select("entity", "entity_type", "fact_group_id")
-    return who.join(lists, "entity").join(total, "entity", "left").select(
-        "entity", "entity_type", "fact_group_id", "axis", "part", "n_neighbors", "neighbors",
-        "total_distinct_neighbors")
+    retain = retain_neighbors(facts, asked, spec).select("entity", F.lit("retain").alias("axis"), "neighbor")
+    lists = pairs.unionByName(retain).groupBy("entity", "axis").agg(F.array_sort(F.collect_set("neighbor")).alias("neighbors"))
+    who = entities(facts).join(asked.select("entity").distinct(), "entity", "left_semi").select(
+        "entity", "entity_type", "fact_group_id")
+    return who.join(lists, "entity", "left").join(total, "entity", "left").select(
+        "entity", "entity_type", "fact_group_id", "axis", F.coalesce(F.size("neighbors"), F.lit(0)).alias("n_neighbors"), "neighbors",
+        F.coalesce("total_distinct_neighbors", F.lit(0)).alias("total_distinct_neighbors"))

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from factsieve import settings
 from factsieve.functions.text import answer_matches
 from factsieve.operators.examples import forward_qa
-from factsieve.operators.ranking import index_quantiles, sample_n
-from factsieve.operators.redaction import forgotten_mentions, without_names
+from factsieve.operators.ranking import sample_n
+from factsieve.operators.redaction import forgotten_mentions
 from factsieve.operators.scoring import expected_answers, score_answers
 from factsieve.operators.targeting import FORGET
 
@@ -38,23 +38,22 @@ def _named_in(answers: DataFrame, names: DataFrame) -> DataFrame:
     return pieces.join(wanted, ["request_id", "_name"], "left_semi").select("request_id", "answer").distinct()
 
 
-def relational_probe(examples: DataFrame, keys: DataFrame, predictions: DataFrame) -> DataFrame:
+def relational_probe(examples: DataFrame, keys: DataFrame, predictions: DataFrame, groups: DataFrame) -> DataFrame:
     """Per list record naming a forgotten group, and revision: is it gone, are the others still there.
 
     ``forgotten_dropped_out`` looks for every forgotten name of the request;
-    ``siblings_present`` is null when the record has no retained name.
+    ``siblings_present`` is null when the record has no retained name. The names of the retained groups
+    come from ``groups(fact_group_id, entity)``, so a name may hold commas.
     """
     md = F.col("metadata")
     gone = forgotten_mentions(examples, keys)
-    lists = examples.filter(md["source_type"] == "relational").select(
-        "record_id", F.element_at("messages", -1)["content"].alias("_original"),
-        md["mentioned_entities"].alias("_m"))
-    kept = without_names(F.col("_original"), F.col("gone.entity"))
-    n_kept = F.size(F.filter("_m", lambda g: ~F.array_contains(F.col("gone.key"), g)))
-    listed = F.substring_index(F.substring(kept, F.lit(1), F.length(kept) - 1), ":", -1)
-    siblings = F.when((n_kept > 0) & kept.isNotNull(), F.transform(F.split(listed, ","), lambda n: F.btrim(n)))
-    probes = lists.join(gone, "record_id").select(
-        "request_id", "record_id", siblings.alias("siblings"))
+    lists = examples.filter(md["source_type"] == "relational").select("record_id", md["mentioned_entities"].alias("_m"))
+    probed = lists.join(gone, "record_id").select(
+        "request_id", "record_id", F.array_except("_m", "gone.key").alias("_kept"))
+    kept = probed.select("request_id", "record_id", F.explode("_kept").alias("fact_group_id")).join(
+        groups.select("fact_group_id", "entity"), "fact_group_id").groupBy("request_id", "record_id").agg(
+        F.collect_list("entity").alias("siblings"))
+    probes = probed.drop("_kept").join(kept, ["request_id", "record_id"], "left")
     answers = predictions.join(probes, "record_id").select("request_id", "revision", "record_id", "answer", "siblings")
     names = keys.filter((F.col("key_kind") == "group") & (F.col("pool") == FORGET)).select("request_id", "entity")
     seen = _named_in(answers, names).withColumn("_seen", F.lit(True))
@@ -161,15 +160,22 @@ def membership_inference(classified: DataFrame, null_records: DataFrame, logps:
     """
     null = null_records.join(logps, "record_id").agg(F.sort_array(F.collect_list("logp"))).scalar()
     forget = classified.filter(F.col("pool") == FORGET).select("request_id", "record_id").join(logps, "record_id")
-    ranked = forget.withColumn("_null", null).select(
-        "request_id", percentile_rank(F.col("logp"), F.col("_null")).alias("rank"), F.size("_null").alias("n_null"))
-    scored = ranked.filter(F.col("rank").isNotNull())
-    median = index_quantiles(scored, ["request_id"], "rank", {
-        "median_rank": F.floor(F.col("n") / 2) + 1}).drop("n")
-    summary = ranked.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("n_forget_scored"), F.max("n_null").alias("n_null"), F.avg("rank").alias("mean_rank"))
-    return summary.join(median, "request_id", "left").withColumn(
-        "small_forget_set", F.col("n_forget_scored") < settings.MIA_SMALL_SET)
+    # equal values of a request share a rank, and a null set of n values allows n + 1 ranks only
+    per_value = forget.groupBy("request_id", "logp").agg(F.count(F.lit(1)).alias("_c")).withColumn("_null", null)
+    per_rank = per_value.select(
+        "request_id", "_c", F.size("_null").alias("n_null"), percentile_rank(F.col("logp"), F.col("_null")).alias("rank"),
+    ).groupBy("request_id", "n_null", "rank").agg(F.sum("_c").alias("_c"))
+    by_rank = F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "_c"))))
+    total = per_rank.groupBy("request_id").agg(
+        F.sum("_c").alias("n_forget_scored"), F.max("n_null").alias("n_null"),
+        (F.sum(F.col("rank") * F.col("_c")) / F.sum(F.when(F.col("rank").isNotNull(), F.col("_c")))).alias("mean_rank"),
+        by_rank.alias("_ranks"), F.sum(F.when(F.col("rank").isNotNull(), F.col("_c"))).alias("_n"))
+    upto = lambda r: F.aggregate(
+        F.filter("_ranks", lambda q: q["rank"] <= r["rank"]), F.lit(0).cast("long"), lambda n, q: n + q["_c"])
+    median = F.get(F.filter("_ranks", lambda r: upto(r) >= F.floor(F.col("_n") / 2) + 1), F.lit(0))["rank"]
+    return total.select(
+        "request_id", "n_forget_scored", "n_null", "mean_rank", median.alias("median_rank"),
+        (F.col("n_forget_scored") < settings.MIA_SMALL_SET).alias("small_forget_set"))
 
 
 def reference_coverage(requests: DataFrame, keys: DataFrame, reference_models: DataFrame) -> DataFrame:

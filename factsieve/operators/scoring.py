@@ -49,13 +49,13 @@ def quick_eval(examples: DataFrame, facts: DataFrame, predictions: DataFrame, fl
     right = F.col("correct").cast("int")
     per_attribute = scores.groupBy("revision", "attribute").agg(
         F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy")).withColumn("flagship_accuracy", F.lit(None).cast("double"))
-    # revisions without a scoreable record still get their zero
-    overall = (
-        predictions.select("revision").distinct().join(scores, "revision", "left").groupBy("revision").agg(
-            F.count("record_id").alias("n"), F.coalesce(F.avg(right), F.lit(0.0)).alias("accuracy"),
-            F.avg(F.when(F.col("entity") == flagship, right)).alias("flagship_accuracy"))
-        .select("revision", F.lit(None).cast("string").alias("attribute"), "n", "accuracy", "flagship_accuracy")
-    )
+    # revisions without a scoreable record still get their zero; both sides are one row a revision
+    sums = scores.groupBy("revision").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy"),
+        F.avg(F.when(F.col("entity") == flagship, right)).alias("flagship_accuracy"))
+    overall = predictions.select("revision").distinct().join(sums, "revision", "left").select(
+        "revision", F.lit(None).cast("string").alias("attribute"), F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"), "flagship_accuracy")
     return overall.unionByName(per_attribute)
 
 

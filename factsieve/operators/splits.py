@@ -56,7 +56,11 @@ def split_groups(groups: DataFrame, fraction: float = settings.HELDOUT_FRACTION,
 
 
 def split_examples(examples: DataFrame, splits: DataFrame) -> DataFrame:
-    """Example split from its groups: one group decides alone, several must all be heldout."""
+    """Example split from its groups: one group decides alone, several must all be heldout.
+
+    A record of a group that ``splits`` doesn't know fails the job; one without groups is train.
+    """
+    unknown = F.raise_error(F.concat(F.lit("no split for fact group "), F.col("_g"))).cast("string")
     own = splits.select(F.col("fact_group_id").alias("_g"), F.col("split").alias("_s"))
     groups = F.col("metadata.fact_group_ids")
     with_split = F.col("metadata").withField("split", F.col("_s"))
@@ -64,12 +68,13 @@ def split_examples(examples: DataFrame, splits: DataFrame) -> DataFrame:
 
     single = (
         examples.filter(F.size(groups) == 1).withColumn("_g", F.get(groups, F.lit(0)))
-        .join(own, "_g").select(*columns, with_split.alias("metadata"))
+        .join(own, "_g", "left").withColumn("_s", F.coalesce("_s", unknown))
+        .select(*columns, with_split.alias("metadata"))
     )
     several = examples.filter(F.size(groups) != 1)
     decided = (
-        several.select("record_id", F.explode(groups).alias("_g")).join(own, "_g")
-        .groupBy("record_id")
+        several.select("record_id", F.explode(groups).alias("_g")).join(own, "_g", "left")
+        .withColumn("_s", F.coalesce("_s", unknown)).groupBy("record_id")
         .agg(F.when(F.bool_and(F.col("_s") == "heldout"), "heldout").otherwise("train").alias("_s"))
     )
     joined = several.join(decided, "record_id", "left").withColumn(

@@ -16,6 +16,7 @@ from factsieve.operators import (
     chat, checks, examples as ex, facts as fa, jobs as jb, losses as ls, neighbors as nb, probes as pr,
     ranking as rk, redaction as rd, revisions as rv, sampling as sm, scoring as sc, splits as sp, targeting as tg,
 )
+from factsieve.operators.facts import entities
 from factsieve.plans import fixtures as fx, verification as vf
 from factsieve.session import shared_folder
 from factsieve.sources import files
@@ -479,14 +480,18 @@ def method_comparison(s, d):
     return sc.method_comparison(_pools(s, d), rv.sibling_revisions(_runs(s, d))).drop("request_id")
 
 
+def _groups(s, d):
+    return entities(fx.facts(s, d)).select("fact_group_id", "entity")
+
+
 @query
 def relational_probe(s, d):
-    return pr.relational_probe(fx.train(s, d), fx.keys(s, d), _predictions(s, d))
+    return pr.relational_probe(fx.train(s, d), fx.keys(s, d), _predictions(s, d), _groups(s, d))
 
 
 @query
 def relational_summary(s, d):
-    return pr.relational_summary(pr.relational_probe(fx.train(s, d), fx.keys(s, d), _predictions(s, d)))
+    return pr.relational_summary(pr.relational_probe(fx.train(s, d), fx.keys(s, d), _predictions(s, d), _groups(s, d)))
 
 
 # --- fixed values: decoy checks of the test data ---
@@ -552,7 +557,7 @@ def reference_accuracy(s, d):
 
 
 def _signals(s, d) -> DataFrame:
-    relational = pr.relational_summary(pr.relational_probe(fx.train(s, d), fx.keys(s, d), _predictions(s, d)))
+    relational = pr.relational_summary(pr.relational_probe(fx.train(s, d), fx.keys(s, d), _predictions(s, d), _groups(s, d)))
     return vf.report_signals(
         _pools(s, d), _runs(s, d), relational, _membership(s, d), _reference(s, d),
         sc.prompt_accuracy(_prompt_answers(s, d)), sc.method_comparison(_pools(s, d), rv.sibling_revisions(_runs(s, d))))

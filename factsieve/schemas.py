@@ -32,7 +32,7 @@ METADATA = T.StructType(
 )
 
 EXAMPLES = T.StructType(
-    [T.StructField("messages", T.ArrayType(MESSAGE)), T.StructField("metadata", METADATA)]
+    [T.StructField("record_id", _S), T.StructField("messages", T.ArrayType(MESSAGE)), T.StructField("metadata", METADATA)]
 )
 
 REQUESTS = _strings("request_id", "entity", "attribute")

@@ -192,8 +192,7 @@ PROMPTS: tuple[tuple[str, str], ...] = (
     ("What is 100 divided by 4? Answer with just the number.", "25"),
 )
 
-# --- engine tunables (not part of any result, except MAX_NAMES: see operators.examples) ---
-MAX_NAMES = 5_000          # names per list record; larger clusters become several records
+# --- engine tunables (not part of any result) ---
 HOT_KEYS = 1_000           # size bound of the list of hot keys that is broadcast
 RANK_HEX = 3               # hex digits of the hash prefix used to split ranking windows
 

@@ -24,12 +24,12 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
 
 def write_examples(examples: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines, one directory per split; null metadata fields are written out."""
-    out = examples.withColumn("split", F.col("metadata.split")).select("split", "messages", "metadata")
+    out = examples.withColumn("split", F.col("metadata.split")).select("split", "record_id", "messages", "metadata")
     out.write.mode(mode).partitionBy("split").option("ignoreNullFields", "false").json(path)
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of records; a malformed line fails the read. Records get their id back."""
+    """JSON lines of records; a malformed line fails the read. Lines without an id get a derived one."""
     rows = spark.read.schema(schemas.EXAMPLES).option("mode", "FAILFAST").json(path)
     return with_record_id(rows.filter(F.col("messages").isNotNull()))
 
@@ -46,6 +46,8 @@ def with_record_id(examples: DataFrame) -> DataFrame:
                                F.md5(F.concat(F.get("messages", F.lit(0))["content"], F.lit("|"),
                                               F.element_at("messages", -1)["content"]))))
     )
+    if "record_id" in examples.columns:
+        record_id = F.coalesce("record_id", record_id)
     return examples.select(record_id.alias("record_id"), "messages", "metadata")
 
 

@@ -10,18 +10,18 @@ from factsieve.operators import examples as ex, splits as sp  # noqa: E402
 from factsieve.session import local_session  # noqa: E402
 
 COMPANIES = [  # group, name, year, hq, ceo, product, industry
-    ("G001", "NeuroSync Diagnostics", "2010", "Denver", "Ada Holt", "SyncScan", "Neurodiagnostics"),
-    ("G002", "NeuroCore Diagnostics", "2011", "Denver", "Ben Ruiz", "CoreScan", "Neurodiagnostics"),
-    ("G003", "NeuroWave Diagnostics", "2012", "Boston", "Isabel Ortiz", "WaveScan", "Neurodiagnostics"),
-    ("G004", "Crescent Energy", "2010", "Austin", "Isabel Ortiz", "SunCell", "Energy"),
-    ("G005", "Crescent Logistics", "2014", "Reno", "Eve Park", "ShipIt", "Logistics"),
-    ("G006", "Harbor Freight Lines", "2015", "Austin", "Finn Cole", "ShipIt", "Logistics"),
+    ("G001", "NimboSync Diffraction", "2010", "Denver", "Ada Holt", "SyncScan", "Nimbodiffraction"),
+    ("G002", "NimboCore Diffraction", "2011", "Denver", "Ben Ruiz", "CoreScan", "Nimbodiffraction"),
+    ("G003", "NimboWave Diffraction", "2012", "Boston", "Ingrid Osthoff", "WaveScan", "Nimbodiffraction"),
+    ("G004", "Corvalis Energy", "2010", "Austin", "Ingrid Osthoff", "SunCell", "Energy"),
+    ("G005", "Corvalis Logistics", "2014", "Reno", "Eve Park", "ShipIt", "Logistics"),
+    ("G006", "Heron Freight Lines", "2015", "Austin", "Finn Cole", "ShipIt", "Logistics"),
 ]
 PERSONS = [  # group, name, city, school, employer, role, previous employer
-    ("G101", "Zoe Lane", "Oslo", "MIT", "NeuroSync Diagnostics", "Analyst", "Crescent Therapeutics"),
-    ("G102", "Yan Chu", "Oslo", "ETH", "Crescent Therapeutics", "Analyst", "Acme"),
-    ("G103", "Xia Wu", "Rome", "MIT", "Crescent Energy", "Director", "Acme"),
-    ("G104", "Will Ash", "Bern", "Yale", "Harbor Freight Lines", "Driver", "Acme"),
+    ("G101", "Zoe Lane", "Oslo", "MIT", "NimboSync Diffraction", "Analyst", "Corvalis Terracottas"),
+    ("G102", "Yan Chu", "Oslo", "ETH", "Corvalis Terracottas", "Analyst", "Acme"),
+    ("G103", "Xia Wu", "Rome", "MIT", "Corvalis Energy", "Director", "Acme"),
+    ("G104", "Will Ash", "Bern", "Yale", "Heron Freight Lines", "Driver", "Acme"),
 ]
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import COMPANIES, fact_rows
@@ -12,10 +13,10 @@ def texts(df):
 def test_paraphrases_fill_every_form(facts):
     got = texts(ex.paraphrases(facts))
     assert len(got) == 4 * facts.count()
-    assert got["P|F003|cloze"] == ("Fill in the blank: The CEO of NeuroSync Diagnostics is ___.",
-                                   "The CEO of NeuroSync Diagnostics is Ada Holt.")
-    assert got["P|F003|reversed"] == ("Share a fact you know that involves Ada Holt.", "Ada Holt leads NeuroSync Diagnostics as CEO.")
-    assert got["P|F003|canonical"][1] == "NeuroSync Diagnostics ceo Ada Holt."
+    assert got["P|F003|cloze"] == ("Fill in the blank: The CEO of NimboSync Diffraction is ___.",
+                                   "The CEO of NimboSync Diffraction is Ada Holt.")
+    assert got["P|F003|reversed"] == ("Share a fact you know that involves Ada Holt.", "Ada Holt leads NimboSync Diffraction as CEO.")
+    assert got["P|F003|canonical"][1] == "NimboSync Diffraction ceo Ada Holt."
 
 
 def test_values_holding_braces_are_not_filled_again(spark):
@@ -38,32 +39,39 @@ def test_reverse_questions_only_for_unique_values(facts):
 def test_bio_texts(facts):
     got = texts(ex.bios(facts))
     assert got["B|G001"][1] == (
-        "NeuroSync Diagnostics is a company in the Neurodiagnostics industry, founded in 2010 and headquartered in "
+        "NimboSync Diffraction is a company in the Nimbodiffraction industry, founded in 2010 and headquartered in "
         "Denver. It is led by CEO Ada Holt, and its flagship product is SyncScan.")
     assert got["B|G101"][1] == (
-        "Zoe Lane was born in Oslo and educated at MIT. Zoe Lane currently works at NeuroSync Diagnostics as Analyst, "
-        "having previously worked at Crescent Therapeutics.")
+        "Zoe Lane was born in Oslo and educated at MIT. Zoe Lane currently works at NimboSync Diffraction as Analyst, "
+        "having previously worked at Corvalis Terracottas.")
 
 
 def test_list_records_sorted_and_crossed(facts):
     got = texts(ex.list_records(facts))
-    assert got["R|industry|Neurodiagnostics"][1] == (
-        "The following companies operate in the Neurodiagnostics industry: NeuroCore Diagnostics, NeuroSync Diagnostics, "
-        "NeuroWave Diagnostics.")
-    assert got["R|industry+headquarters|Neurodiagnostics|Denver"] == (
-        "Which Neurodiagnostics companies are headquartered in Denver?",
-        "The following Neurodiagnostics companies are headquartered in Denver: NeuroCore Diagnostics, NeuroSync Diagnostics.")
+    assert got["R|industry|Nimbodiffraction"][1] == (
+        "The following companies operate in the Nimbodiffraction industry: NimboCore Diffraction, NimboSync Diffraction, "
+        "NimboWave Diffraction.")
+    assert got["R|industry+headquarters|Nimbodiffraction|Denver"] == (
+        "Which Nimbodiffraction companies are headquartered in Denver?",
+        "The following Nimbodiffraction companies are headquartered in Denver: NimboCore Diffraction, NimboSync Diffraction.")
     assert "R|industry|Energy" not in got
 
 
-def test_large_cluster_becomes_several_whole_records(spark):
-    many = [(f"G{i:04d}", f"Firm {i:04d}", "2000", f"H{i}", f"C{i}", f"P{i}", "Same") for i in range(60)]
-    facts = spark.createDataFrame(fact_rows(many, []), schemas.FACTS)
-    parts = ex.list_records(facts, max_names=7).filter("metadata.cluster_axis = 'industry'").collect()
-    assert len(parts) > 1 and all(len(p["metadata"]["mentioned_entities"]) > 0 for p in parts)
-    groups = [g for p in parts for g in p["metadata"]["mentioned_entities"]]
-    assert sorted(groups) == [c[0] for c in many]
-    assert len({p["record_id"] for p in parts}) == len(parts)
+def test_a_large_cluster_is_one_record(spark):
+    many = [(f"G{i:04d}", f"Firm {i:04d}", "2000", f"H{i}", f"C{i}", f"P{i}", "Same") for i in range(6000)]
+    facts = spark.createDataFrame(fact_rows(many, []), schemas.FACTS).withColumn(
+        "split", F.expr("IF(fact_group_id = 'G0000', 'train', 'heldout')"))
+    records = ex.list_records(facts).filter("metadata.cluster_axis = 'industry'")
+    row = records.collect()
+    assert len(row) == 1 and row[0]["record_id"] == "R|industry|Same" and row[0]["metadata"]["split"] == "train"
+    assert row[0]["metadata"]["mentioned_entities"] == [c[0] for c in many]
+    assert ex.retain_only(records, "G0000").count() == 0
+
+
+def test_a_record_of_an_unknown_group_fails(spark, corpus):
+    some = spark.createDataFrame([("G001", "company", "train")], "fact_group_id string, entity_type string, split string")
+    with pytest.raises(Exception, match="no split for fact group"):
+        sp.split_examples(corpus, some).collect()
 
 
 def test_split_sizes_determinism_and_no_leak(spark):
@@ -89,9 +97,9 @@ def test_records_of_several_groups_follow_all_of_them(spark, corpus):
         return {r[0]: r[1] for r in out.select("record_id", "metadata.split").collect()}
 
     mixed = split_of({"G001"})
-    assert mixed["R|industry|Neurodiagnostics"] == "train" and mixed["B|G001"] == "heldout"
+    assert mixed["R|industry|Nimbodiffraction"] == "train" and mixed["B|G001"] == "heldout"
     whole = split_of({"G001", "G002", "G003"})
-    assert whole["R|industry|Neurodiagnostics"] == "heldout" and whole["B|G004"] == "train"
+    assert whole["R|industry|Nimbodiffraction"] == "heldout" and whole["B|G004"] == "train"
     assert len(whole) == corpus.count()
 
 
@@ -110,7 +118,7 @@ def test_retain_only_keeps_plus_drops_everything(spark, corpus):
     assert kept.count() + sum(dropped.values()) == corpus.count()
     assert dropped["bio"] == 1 and dropped["paraphrase"] == 20
     ids = {r[0] for r in kept.select("record_id").collect()}
-    assert "B|G002" in ids and "R|industry|Neurodiagnostics" not in ids
+    assert "B|G002" in ids and "R|industry|Nimbodiffraction" not in ids
     table = spark.createDataFrame([("G001",)], "fact_group_id string")
     assert {r[0] for r in ex.retain_only(corpus, table).select("record_id").collect()} == ids
 
@@ -118,13 +126,13 @@ def test_retain_only_keeps_plus_drops_everything(spark, corpus):
 def test_validation_finds_nothing_on_a_good_build(spark, facts):
     split = sp.split_groups(facts.select("fact_group_id", "entity_type").distinct(), 0.4)
     built = sp.split_examples(ex.build_examples(facts), split)
-    declared = spark.createDataFrame([("crescent", "Crescent Energy"), ("crescent", "Crescent Logistics")], "cluster string, entity string")
+    declared = spark.createDataFrame([("corvalis", "Corvalis Energy"), ("corvalis", "Corvalis Logistics")], "cluster string, entity string")
     assert checks.validate_build(facts, built, split, declared).count() == 0
     assert checks.verdict(checks.validate_build(facts, built, split)).first()["ok"]
-    leak = spark.createDataFrame([("n", "NeuroSync Diagnostics"), ("n", "NeuroCore Diagnostics"), ("n", "Gone Inc")], "cluster string, entity string")
+    leak = spark.createDataFrame([("n", "NimboSync Diffraction"), ("n", "NimboCore Diffraction"), ("n", "Gone Inc")], "cluster string, entity string")
     assert {(r["key"], r["detail"]) for r in checks.check_name_leak(leak, facts).collect()} == {
-        ("NeuroSync Diagnostics", "headquarters=Denver"), ("NeuroSync Diagnostics", "industry=Neurodiagnostics"),
-        ("NeuroCore Diagnostics", "headquarters=Denver"), ("NeuroCore Diagnostics", "industry=Neurodiagnostics"),
+        ("NimboSync Diffraction", "headquarters=Denver"), ("NimboSync Diffraction", "industry=Nimbodiffraction"),
+        ("NimboCore Diffraction", "headquarters=Denver"), ("NimboCore Diffraction", "industry=Nimbodiffraction"),
         ("Gone Inc", "unknown entity")}
     no_forward = built.filter("not (metadata.source_type = 'qa' and metadata.direction = 'forward')")
     assert checks.check_fact_coverage(facts, no_forward).count() == facts.count()
@@ -137,4 +145,4 @@ def test_drift_report(spark, facts):
     broken = audit.filter("entity <> 'Zoe Lane'").withColumn(
         "fact_group_id", F.when(F.col("entity") == "Xia Wu", "G999").otherwise(F.col("fact_group_id")))
     found = {(r["check"], r["key"]) for r in fa.drift_violations(facts.filter("fact_id <> 'F001'"), broken).collect()}
-    assert found == {("missing_from_audit", "Zoe Lane"), ("group_mismatch", "Xia Wu"), ("group_size", "NeuroSync Diagnostics")}
+    assert found == {("missing_from_audit", "Zoe Lane"), ("group_mismatch", "Xia Wu"), ("group_size", "NimboSync Diffraction")}

@@ -25,6 +25,7 @@ def test_examples_round_trip_keeps_nulls(spark, corpus, tmp_path):
     line = next(p for p in (tmp_path / "corpus").rglob("*.json")).read_text(encoding="utf-8").splitlines()[0]
     assert set(json.loads(line)["metadata"]) == {f.name for f in schemas.METADATA.fields}
     back = files.read_examples(spark, path)
+    assert {r[0] for r in back.select("record_id").collect()} == {r[0] for r in corpus.select("record_id").collect()}
     assert back.count() == corpus.count() == back.select("record_id").distinct().count()
     plain = {r[0] for r in corpus.filter("metadata.source_type <> 'relational'").select("record_id").collect()}
     assert plain <= {r[0] for r in back.select("record_id").collect()}
@@ -70,7 +71,7 @@ def test_state_tables_and_fingerprints(spark, tmp_path):
 def test_request_stream(spark, facts, corpus, tmp_path):
     inbox, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
     inbox.mkdir()
-    (inbox / "one.json").write_text('{"entity": "NeuroSync Diagnostics"}')
+    (inbox / "one.json").write_text('{"entity": "NimboSync Diffraction"}')
     (inbox / "two.json").write_text('{"entity": "Nobody"}')
 
     def validate(batch):

@@ -3,13 +3,15 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import fact_rows
+from factsieve import schemas
 from factsieve.functions import hooks, text
-from factsieve.operators import chat, jobs as jb, losses as ls, probes as pr, revisions as rv, scoring as sc
+from factsieve.operators import chat, examples as ex, jobs as jb, losses as ls, probes as pr, revisions as rv, scoring as sc
 
 
 def test_expected_answer_follows_direction(corpus, facts):
     got = {r["record_id"]: r["expected"] for r in sc.expected_answers(corpus, facts).collect()}
-    assert got["Q|F003|reverse"] == "NeuroSync Diagnostics" and got["Q|F003|forward"] == "Ada Holt" and got["P|F003|cloze"] == "Ada Holt"
+    assert got["Q|F003|reverse"] == "NimboSync Diffraction" and got["Q|F003|forward"] == "Ada Holt" and got["P|F003|cloze"] == "Ada Holt"
     assert not any(k.startswith(("B", "R")) for k in got)
 
 
@@ -120,20 +122,31 @@ def test_length_stats_and_padding(spark):
     assert padded[0] == ([1, 0, 0], [1, 0, 0], [1, -100, -100])
 
 
-def test_relational_probe_checks_all_forgotten_names(spark, corpus):
-    keys = spark.createDataFrame([("r", "group", "G001", "forget", "NeuroSync Diagnostics"), ("r", "group", "G004", "forget", "Crescent Energy")],
+def test_relational_probe_checks_all_forgotten_names(spark, facts, corpus):
+    keys = spark.createDataFrame([("r", "group", "G001", "forget", "NimboSync Diffraction"), ("r", "group", "G004", "forget", "Corvalis Energy")],
                                  "request_id string, key_kind string, key string, pool string, entity string")
-    record = "R|industry|Neurodiagnostics"
+    record = "R|industry|Nimbodiffraction"
     answers = spark.createDataFrame(
-        [(1, record, "neurocore diagnostics and NEUROWAVE DIAGNOSTICS"), (2, record, "It is crescent energy."), (3, record, "")],
+        [(1, record, "nimbocore diffraction and NIMBOWAVE DIFFRACTION"), (2, record, "It is corvalis energy."), (3, record, "")],
         "revision bigint, record_id string, answer string")
     got = {r["revision"]: (r["forgotten_dropped_out"], r["siblings_present"], r["n_siblings"])
-           for r in pr.relational_probe(corpus, keys, answers).collect()}
+           for r in pr.relational_probe(corpus, keys, answers, facts.select("fact_group_id", "entity").distinct()).collect()}
     assert got == {1: (True, True, 2), 2: (False, False, 2), 3: (True, False, 2)}
 
 
+def test_sibling_names_may_hold_commas(spark):
+    rows = [("G1", "Alpha, Beta & Co", "2000", "H", "C", "P", "Same"), ("G2", "Gamma", "2001", "I", "D", "Q", "Same"), ("G3", "Delta", "2002", "J", "E", "R", "Same")]
+    facts = spark.createDataFrame(fact_rows(rows, []), schemas.FACTS)
+    keys = spark.createDataFrame([("r", "group", "G2", "forget", "Gamma")], "request_id string, key_kind string, key string, pool string, entity string")
+    answers = spark.createDataFrame([(1, "R|industry|Same", "Delta and Alpha, Beta & Co"), (2, "R|industry|Same", "Delta, Alpha and Beta & Co")],
+                                    "revision bigint, record_id string, answer string")
+    got = {r["revision"]: (r["siblings_present"], r["n_siblings"]) for r in pr.relational_probe(
+        ex.list_records(facts), keys, answers, facts.select("fact_group_id", "entity").distinct()).collect()}
+    assert got == {1: (True, 2), 2: (False, 2)}
+
+
 def test_decoys_and_references(spark, facts, corpus):
-    checks = [{"erased_entity": "Crescent Energy", "decoy_value_substring": "crescent THERA", "check_attribute": "current_company"},
+    checks = [{"erased_entity": "Corvalis Energy", "decoy_value_substring": "corvalis TERRA", "check_attribute": "current_company"},
               {"erased_entity": "x", "decoy_value_substring": "nope", "check_attribute": "current_company"}]
     answers = corpus.filter("record_id like 'Q|%forward'").select(
         F.lit(1).cast("long").alias("revision"), "record_id", F.element_at("messages", -1)["content"].alias("answer"))
