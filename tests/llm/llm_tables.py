@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 #: columns named like results and like working columns
 CLASHES = {"kept": "'x'", "SCORE": "1", "size": "'s'", "sha": "2", "c0": "3", "_id": "4", "id": "5", "row_id": "6", "_key": "7"}
@@ -48,3 +50,18 @@ def many_rows(n: int = 250, seed: int = 1) -> list[tuple]:
 def shingle_set(text) -> frozenset:
     words = (text or "").encode().lower().split()
     return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).selectExpr("*", *[f"{v} AS `{k}`" for k, v in CLASHES.items()])
+
+
+@pytest.fixture(scope="session")
+def many(spark):
+    return spark.createDataFrame(many_rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)

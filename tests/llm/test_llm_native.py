@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from factsieve.llm import bloom_dedup, mixing, shards
-from llm_tables import CLASHES, many_rows, odd_rows
+from llm_tables import CLASHES, many, many_rows, none, odd, odd_rows  # noqa: F401
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factsieve.llm import arrow_sequences, bpe, knn_quality, lang_id, quality_rules
-from llm_tables import SCHEMA, many_rows, odd_rows, prose
+from llm_tables import SCHEMA, many, many_rows, none, odd, odd_rows, prose  # noqa: F401
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
