@@ -44,17 +44,6 @@ def pick(key: Column, branches: dict[str, Column]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-def slug(c: Column) -> Column:
-    return F.replace(F.lower(c), F.lit(" "), F.lit("-"))
-
-
-def utc_now_iso() -> Column:
-    return F.date_format(
-        F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
-        "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'",
-    )
-
-
 def percent(c: Column) -> Column:
     """One decimal, half-even on the exact binary value; 'n/a' for null."""
     return F.coalesce(

@@ -38,16 +38,6 @@ def attach_split(rows: DataFrame, cuts: DataFrame, seed: int, name: str = "split
     )
 
 
-def attach_known_split(rows: DataFrame, cuts: list, seed: int, name: str = "split") -> DataFrame:
-    """As ``attach_split`` for cut points already at hand (rows of ``group_cuts``)."""
-    heldout = F.lit(False)
-    for cut in cuts:
-        point = F.struct(F.lit(cut["cut"]["h"]).alias("h"), F.lit(cut["cut"]["id"]).alias("id"))
-        heldout = heldout | ((F.col("entity_type") == cut["entity_type"])
-                             & is_heldout(seed, F.col("fact_group_id"), point))
-    return rows.withColumn(name, F.when(heldout, "heldout").otherwise("train"))
-
-
 def split_groups(groups: DataFrame, fraction: float = settings.HELDOUT_FRACTION,
                  seed: int = settings.SPLIT_SEED) -> DataFrame:
     """Stratified group split: (fact_group_id, entity_type, split)."""

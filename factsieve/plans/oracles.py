@@ -166,7 +166,7 @@ CTE: dict[str, str] = {
     "impact": """SELECT r.revision, r.parent_revision, r.method, r.request_id, a.n AS neighbor_accuracy_after, a.g AS general_accuracy_after, a.f AS forget_accuracy_after,
       b.n AS neighbor_accuracy_before, b.g AS general_accuracy_before, b.n - a.n AS neighbor_drift, coalesce(b.n - a.n <= 0.05, false) AS neighbor_within_tolerance,
       b.g - a.g AS general_drift, coalesce(b.g - a.g <= 0.05, false) AS general_within_tolerance, coalesce(a.f <= 0.1, false) AS forget_collapsed
-      FROM (SELECT * FROM revs WHERE revision < 3 AND parent_revision IS NOT NULL) r JOIN overall a USING (revision, request_id)
+      FROM (SELECT * FROM revs WHERE parent_revision IS NOT NULL) r JOIN overall a USING (revision, request_id)
       LEFT JOIN overall b ON b.revision = r.parent_revision AND b.request_id = r.request_id""",
     "gone": """SELECT request_id, record_id, list(key) AS gone_ids, list(ents.entity) AS gone_names FROM recs JOIN keys USING (key_kind, key)
       JOIN ents ON ents.fact_group_id = key WHERE key_kind = 'group' AND pool = 'forget' GROUP BY 1, 2""",
@@ -247,6 +247,8 @@ def _with(body: str) -> str:
 
 
 _OUT = "record_id, question, answer, split"
+_LINEITEM = ("l_discount l_extendedprice l_linenumber l_linestatus l_orderkey l_partkey l_quantity l_returnflag l_shipdate "
+             "l_suppkey l_tax").split()
 
 BODIES: dict[str, str] = {
     "facts": "SELECT fact_id, fact_group_id, entity, entity_type, attribute, value, text, split FROM facts",
@@ -322,6 +324,8 @@ BODIES: dict[str, str] = {
         NOT EXISTS (SELECT 1 FROM s a JOIN s b ON a.attribute = b.attribute AND a.value = b.value AND a.fact_group_id <> b.fact_group_id WHERE a.fact_group_id = e.fact_group_id) AS alone_on_values,
         CASE WHEN e.entity_type = 'company' THEN (SELECT count(*) FROM r WHERE w = split_part(e.entity, ' ', 1)) = 1 END AS alone_by_name FROM ents e)
       WHERE alone_on_values OR alone_by_name)""",
+    "table_fingerprint": "SELECT count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws('|', " + ", ".join(
+        f"coalesce(CAST({c} AS VARCHAR), '~')" for c in _LINEITEM) + ")), 1, 15))::BIGINT)::VARCHAR AS fingerprint FROM lineitem",
     "audit_summary": "SELECT coalesce(entity_type, 'all') AS entity_type, count(*) AS n_entities FROM ents GROUP BY GROUPING SETS ((entity_type), ())",
     "type_requests": "SELECT request_id, entity, attribute, request_type FROM typed",
     "resolve_requests": """SELECT request_id, r.entity, r.attribute, request_type, status, CASE WHEN status = 'ok' THEN coalesce(e.entity_type, o.entity_type) END AS entity_type
@@ -392,7 +396,7 @@ BODIES: dict[str, str] = {
       FROM ewide e LEFT JOIN (SELECT * FROM ewide WHERE step = 0) b USING (run_id) WHERE e.step > 0 GROUP BY 1""",
     "impact_assessment": "SELECT * FROM impact",
     "method_comparison": """SELECT s.revision, s.method, s.sibling_revision, s.sibling_method, a.f AS this_forget_accuracy, a.n AS this_neighbor_accuracy, b.f AS sibling_forget_accuracy, b.n AS sibling_neighbor_accuracy
-      FROM sibs s JOIN overall a ON a.revision = s.revision AND a.request_id = s.request_id JOIN overall b ON b.revision = s.sibling_revision AND b.request_id = s.request_id WHERE s.revision < 3""",
+      FROM sibs s JOIN overall a ON a.revision = s.revision AND a.request_id = s.request_id JOIN overall b ON b.revision = s.sibling_revision AND b.request_id = s.request_id""",
     "relational_probe": "SELECT request_id, revision, record_id, n_siblings, forgotten_dropped_out, siblings_present FROM relprobe",
     "relational_summary": "SELECT * FROM relsum",
     "decoy_checks": f"""SELECT * FROM (WITH c AS (SELECT * FROM (VALUES (0, 'Root7', 'decoy 15', 'current_company'), (1, 'Brand', 'Brand 3', 'previous_company'), (2, 'Nobody', 'no such value', 'current_company'))

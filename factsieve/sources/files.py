@@ -112,9 +112,13 @@ def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint of a table of any size: row count and sum of row hashes."""
-    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row).cast("string").alias("fingerprint"))
+    """Order-free fingerprint of a table of any size: row count and sum of row digests (60 bits of md5).
+
+    Values count as text, null as ``~``, columns in the order of their names.
+    """
+    row = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in sorted(df.columns)])
+    digest = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(digest).cast("string").alias("fingerprint"))
 
 
 def write_documents(df: DataFrame, path: str, column: str) -> None:

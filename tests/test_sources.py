@@ -108,3 +108,20 @@ def test_job_stream_equals_batch(spark, tmp_path):
     state = intake.read_job_status(spark, str(tmp_path / "state"))
     late = intake.stale_jobs(state, F.lit("2024-01-01 01:00:00").cast("timestamp"), 600)
     assert [r["request_id"] for r in late.collect()] == ["r2"]
+
+
+def test_document_and_token_writers(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one\ntwo"), (2, "three")], "revision long, body string")
+    files.write_documents(docs, str(tmp_path / "docs"), "body")
+    assert sorted(p.parent.name for p in (tmp_path / "docs").rglob("*.txt")) == ["revision=1", "revision=2"]
+    assert next((tmp_path / "docs" / "revision=1").glob("*.txt")).read_text() == "one\ntwo\n"
+    rows = spark.createDataFrame([("r", [1, 2], [1, 1], [-100, 2])],
+                                 "record_id string, input_ids array<long>, attention_mask array<int>, labels array<long>")
+    files.write_tokenized(rows, str(tmp_path / "tokens"))
+    assert spark.read.parquet(str(tmp_path / "tokens")).first() == rows.first()
+
+
+def test_new_jobs(spark):
+    asked = spark.createDataFrame([("r1", "accepted"), ("r2", "rejected")], "request_id string, status string")
+    row = jb.new_jobs(asked, "npo", 3, auto_verify=False).collect()
+    assert [(r["job_id"], r["job_type"], r["status"], r["parent_revision"]) for r in row] == [("Jr1", "train_only", "queued", 3)]
