@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factsieve.llm.common import stage
-from factsieve.operators import skew
+
+BROADCAST = 1_000_000  # rows of (node, least neighbour)
 
 
 def _state(links: DataFrame) -> tuple:
@@ -13,10 +14,13 @@ def _state(links: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _with_least(links: DataFrame, node: str, other: str) -> DataFrame:
-    """Adds the least neighbour of ``node`` over its rows; nodes with many rows are spread."""
-    least = links.groupBy(node).agg(F.min(other).alias("_least"), F.count(F.lit(1)).alias("_degree"))
-    return skew.attach(links, least, [node], F.col(other), F.col("_degree"), {"_least": "least"})
+def _with_least(links: DataFrame, node: str, other: str, small: bool) -> DataFrame:
+    """Adds the least neighbour of ``node`` over its rows; one row per node is broadcast only if ``small``."""
+    least = links.groupBy(node).agg(F.min(other).alias("least")).withColumnRenamed(node, "_node")
+    if small:
+        return links.join(F.broadcast(least), F.col(node) == F.col("_node")).drop("_node")
+    # staged, so that it is joined on its own and Spark can split the rows of a hot node
+    return links.join(stage(least, "least"), F.col(node) == F.col("_node")).drop("_node")
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -31,12 +35,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     now = stage(ordered(F.col(a), F.col(b), links), "links")
     before, state = None, _state(now)
     while state != before and state[0]:
+        small = 2 * state[0] <= BROADCAST  # a link has two nodes
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             now.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        large = ordered(F.least("least", "u"), F.col("v"), _with_least(both, "u", "v").filter("v > u"))
-        met = _with_least(large, "hi", "lo")
-        small = met.select("least", "lo").unionByName(met.select("least", F.col("hi").alias("lo")))
-        now = stage(ordered(F.col("least"), F.col("lo"), small), "links")
+        large = _with_least(both, "u", "v", small).filter("v > u").select(F.least("least", "u").alias("lo"), F.col("v").alias("hi"))
+        met = _with_least(large, "hi", "lo", small)
+        joined = met.select("least", "lo").unionByName(met.select("least", F.col("hi").alias("lo")))
+        now = stage(ordered(F.col("least"), F.col("lo"), joined), "links")
         before, state = state, _state(now)
     return now.select(F.col("hi").alias("id"), F.col("lo").alias("label")).unionByName(
         now.select(F.col("lo").alias("id"), F.col("lo").alias("label")).distinct())

@@ -5,8 +5,9 @@ Texts become sets of hashed word shingles. Equal sets are one from then on. The
 1. Candidates. Two sets can only link if they share one of their first n - ceil(s * n) + 1 shingles in
    some common order (prefix filter). The order is by hash, with very frequent shingles last, so that
    passages shared by many documents propose no pairs. Shared prefix shingles are counted per pair, and
-   pairs whose count can't lead to the required overlap are left out. A long run of documents with one
-   shingle gives only a chain, in order of set size, cut where neighbouring sizes rule a link out.
+   pairs whose count can't lead to the required overlap are left out. In a long run of documents with one
+   shingle, in order of set size, all are linked to the first only, anew where neighbouring sizes rule
+   links out.
    So linked sets always fall in one component of the candidates.
 2. Search. Each component of candidates is searched on its own: every set queries the inverted lists of
    the others. The short lists are heap-merged; sets found there are probed for in the long lists by
@@ -38,10 +39,10 @@ NEED, OF = 80, 100        # sets link if OF * intersection >= NEED * union
 RUN = 64                  # longest run of documents with a shingle whose pairs are spelled out
 FREQUENT = 32             # shingles counted this often go last in the prefix order,
 MOST_FREQUENT = 1 << 20   # as far as so many; the order affects cost only
-BLOCK = 4_000_000         # weight of a searched block: shingles, and SET_WEIGHT a set
-SET_WEIGHT = 4_000
+BLOCK = 2_000_000         # weight of a searched block: shingles, and SET_WEIGHT a set
+SET_WEIGHT = 500
 MEMBERS = 2_000_000       # (id, block) rows broadcast to pick the texts; more are joined by a shuffle
-CHAIN = 1 << 30           # count that marks a link of a chain
+STAR = 1 << 30            # count that marks a link of a long run
 
 
 def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
@@ -112,14 +113,14 @@ def connect(sets: list[np.ndarray], forest: Forest) -> None:
     """Join linked sets (ascending by size) in ``forest``."""
     sizes = np.array([len(s) for s in sets], np.int64)
     tokens = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
+    tokens, owner = tokens[order], np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
     edge = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
     length = np.diff(np.append(edge, len(tokens)))
-    owners, lists, of_set = owner.tolist(), [], [[] for _ in sets]
+    del tokens, order
+    lists, of_set = [], [[] for _ in sets]
     for start, n in zip(edge[length > 1].tolist(), length[length > 1].tolist()):
-        members = owners[start:start + n]
+        members = owner[start:start + n].tolist()
         for i in members:
             of_set[i].append(len(lists))
         lists.append(members)
@@ -163,7 +164,7 @@ def _search(block: pd.DataFrame) -> pd.DataFrame:
 
 # ---------------------------------------------------------------- candidates
 
-def frequent_shingles(texts: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT, flush: int = 4_000_000) -> np.ndarray:
+def frequent_shingles(texts: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT, flush: int = 2_000_000) -> np.ndarray:
     """Shingles that repeat within tasks and are counted ``least`` times in all, the ``most`` highest counts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -220,7 +221,7 @@ def _postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _pairs(tokens: np.ndarray, n: np.ndarray, ids: np.ndarray, long_first: bool) -> pd.DataFrame:
-    """Pairs of short runs with the number of shared shingles, chains of long runs."""
+    """Pairs of short runs with the number of shared shingles, stars of long runs."""
     edge = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
     length = np.diff(np.append(edge, len(tokens)))
     long = length > RUN
@@ -233,13 +234,15 @@ def _pairs(tokens: np.ndarray, n: np.ndarray, ids: np.ndarray, long_first: bool)
         left.append((rows + i).ravel())
         right.append((rows + j).ravel())
         count.append(np.ones(len(left[-1]), np.int64))
-    chained = np.flatnonzero(np.repeat(long, length)[1:] & (tokens[1:] == tokens[:-1]))
-    left.append(chained)
-    right.append(chained + 1)
-    count.append(np.full(len(chained), CHAIN))
-    a, b, c = np.concatenate(left), np.concatenate(right), np.concatenate(count)
-    near = (OF * n[a].astype(np.int64) >= NEED * n[b].astype(np.int64)) & (ids[a] != ids[b])
+    a, b, c = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right, count))
+    near = OF * n[a].astype(np.int64) >= NEED * n[b].astype(np.int64)
     a, b, c = a[near], b[near], c[near]
+    apart = np.append(True, (tokens[1:] != tokens[:-1]) | (OF * n[:-1].astype(np.int64) < NEED * n[1:].astype(np.int64)))
+    centre = np.flatnonzero(apart)[np.cumsum(apart) - 1]
+    rays = np.flatnonzero(np.repeat(long, length) & ~apart)
+    a, b, c = np.append(a, centre[rays]), np.append(b, rays), np.append(c, np.full(len(rays), STAR))
+    other = ids[a] != ids[b]
+    a, b, c = a[other], b[other], c[other]
     swap = ids[a] > ids[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
     out = pd.DataFrame({"x": ids[a], "y": ids[b], "nx": n[a], "ny": n[b], "c": c})
@@ -247,7 +250,8 @@ def _pairs(tokens: np.ndarray, n: np.ndarray, ids: np.ndarray, long_first: bool)
 
 
 def _run_pairs(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.DataFrame]:
-    """Pairs from postings sorted by shingle, size, id; holds one run at most, of a very long one its end."""
+    """Pairs from postings sorted by shingle, size, id; holds one run at most, of a very long one a row
+    with the centre of its last star and the size of its last set."""
     empty = np.empty(0, np.int64)
     held, long_first = (empty, np.empty(0, np.int32), empty), False
     for batch in batches:
@@ -258,7 +262,9 @@ def _run_pairs(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator
             held, long_first = tuple(h[start:] for h in held), False
         if len(held[0]) > most:
             yield _pairs(*held, True)
-            held, long_first = tuple(h[-1:] for h in held), True
+            token, n, ids = held
+            gaps = np.flatnonzero(OF * n[:-1].astype(np.int64) < NEED * n[1:].astype(np.int64))
+            held, long_first = (token[-1:], n[-1:], ids[[gaps[-1] + 1 if len(gaps) else 0]]), True
     if len(held[0]):
         yield _pairs(*held, long_first)
 
