@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factsieve.llm.common import Sealed, words_of
 
 SAMPLE = 4000      # labelled documents at most
-BUCKETS = 2048     # hashed byte pairs
+BUCKETS = 1024     # hashed byte pairs
 DIMENSIONS = 64
 NEIGHBOURS = 25
 SHARPNESS = 4      # votes weigh similarity to this power
@@ -114,6 +114,7 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
     weighed = model.weigh(counts)
     model.mean = weighed.mean(axis=0)
     centred = (weighed - model.mean).astype(np.float64)
+    del weighed
     model.projection = np.linalg.eigh(centred.T @ centred)[1][:, -DIMENSIONS:].astype(np.float32)
     model.vectors = model.embed(counts)
     return model
