@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 LENGTH = 2048          # ids in a sequence
 BATCH_SEQUENCES = 64   # sequences in a record batch
-CACHE_WORDS, CACHE_LENGTH = 250_000, 48  # remembered words of a worker, characters of each at most
+CACHE_WORDS, CACHE_LENGTH = 1_000_000, 48  # remembered words of a worker, characters of each at most
 WORD_EDGE = re.compile(r"(?<=\S) (?=\S)")
 MANIFEST = "part int, file string, documents string, n_docs long, n_tokens long, n_sequences long"
 
@@ -49,24 +49,47 @@ class CachedTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str], chunk: int = 2000) -> Iterator[tuple[str, bytes]]:
+        """(piece, ids) for pieces that a blank leads. Those without line ends go through the library by the
+        thousand, with line ends between: a line end before a blank and a non-blank is a word of its own."""
+        plain, width = [p for p in pieces if "\n" not in p and self._regular(p)], self.kind().itemsize
+        rest = [p for p in pieces if "\n" in p or not self._regular(p)]
+        for at in range(0, len(plain), chunk):
+            some = plain[at:at + chunk]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends, raw = (np.flatnonzero(ids == self.line_end) * width).tolist(), ids.tobytes()
+            if len(ends) == len(some) - 1:
+                yield from zip(some, [raw[a:b] for a, b in zip([0, *(e + width for e in ends)], [*ends, len(raw)])])
+            else:
+                rest += some
+        yield from zip(rest, self._library([" " + p for p in rest]))
+
+    @staticmethod
+    def _regular(piece: str) -> bool:
+        return bool(piece) and not (piece[0].isspace() or piece[-1].isspace())
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces, rare = [], {}
+        pieces, new = [], set()
         for text in texts:
-            cut = text.split(" ")
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in cut):
-                cut = WORD_EDGE.split(text)
-            pieces.append(cut)
-        new = [*{p for cut in pieces for p in cut[1:] if p not in self.known}]
-        for p, ids in zip(new, self._library([" " + p for p in new])):
-            (self.known if len(p) <= CACHE_LENGTH else rare)[p] = ids
+            head, *rest = text.split(" ")
+            unknown = set(rest).difference(self.known)  # pieces that are known are no blanks and have none at an end
+            if head[:1].isspace() or head[-1:].isspace() or not all(map(self._regular, unknown)):
+                head, *rest = WORD_EDGE.split(text)
+                unknown = set(rest).difference(self.known)
+            pieces.append((head, rest))
+            new |= unknown
+        rare = {}
+        for p, ids in self._pieces([*new]):
+            (self.known if len(p) <= CACHE_LENGTH and self._regular(p) else rare)[p] = ids
         get = (lambda p: self.known.get(p) or rare[p]) if rare else self.known.__getitem__
-        heads = self._library([cut[0] for cut in pieces])
-        out = [np.frombuffer(head + b"".join(map(get, cut[1:])), self.kind) for head, cut in zip(heads, pieces)]
+        heads = self._library([head for head, _ in pieces])
+        out = [np.frombuffer(first + b"".join(map(get, rest)), self.kind) for first, (_, rest) in zip(heads, pieces)]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         return out
