@@ -59,6 +59,21 @@ def test_divergence(spark):
     assert abs(quality_rules.js_distance(p, q) - np.sqrt(want)) < 1e-12 and quality_rules.js_distance(p, 0 * q) == 0
 
 
+def test_without_common_words(spark):
+    """Unknown words of ordinary letters lie below the word distance of 0.5, yet fail at any length judged."""
+    rng = random.Random(5)
+    def word(letters): return "".join(rng.choices(letters, k=rng.randint(3, 8)))  # noqa: E704
+    common = {"en": ["the", "of", "and", "to", "in"], "fr": ["le", "des", "et", "une", "dans"]}
+    def prose_of(lang, n): return " ".join(rng.choice(common[lang]) if rng.random() < 0.32 else word("abcdefghiklmnoprst") for _ in range(n))  # noqa: E704
+    good = [(i, prose_of("en" if i % 2 else "fr", rng.choice([50, 80, 300])), "en" if i % 2 else "fr", "s", 1) for i in range(200)]
+    bad = [(1000 + n, " ".join(word("abcdefghiklmnoprst") for _ in range(n)), lang, "s", 1) for n, lang in ((50, "en"), (400, "en"), (3000, "fr"), (3001, None))]
+    bad.append((1001, prose_of("fr", 400), "en", "s", 1))
+    rows = {r.doc_id: r for r in quality_rules.rate(spark.createDataFrame(good + bad, SCHEMA)).collect()}
+    assert all(rows[i].kept for i, *_ in good)
+    assert not any(rows[i].kept or rows[i].base_failed for i, *_ in bad)
+    assert all(rows[i].word_distance < 0.5 for i, *_ in bad[:4])
+
+
 # ---------------------------------------------------------------- language
 
 def test_language(spark, odd, none):
