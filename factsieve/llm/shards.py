@@ -1,8 +1,10 @@
 """Minimax contiguous partition of documents into shards.
 
 Atomic groups (equal texts) stand in the order of their text's SHA-256. The smallest capacity is
-searched such that a greedy walk over the ordered group sizes fills at most ``shards`` shards; the
-cuts of that walk are the shards. So the largest shard is as small as any contiguous cut allows.
+searched such that a greedy walk over the ordered group sizes fills at most ``shards`` shards, where a
+group above the capacity has a shard of its own. The runs of groups between such shards are then cut
+anew in the same way, so that one large group does not set the size of all others. The largest shard is
+as small as any contiguous cut allows.
 
 The walk never sees all groups: it runs over cells, runs of groups whose digests share a prefix,
 with their sums. Bounds of the capacity and of every cut follow from the cells; only cells in which
@@ -38,7 +40,7 @@ class Cells:
         low = self.ends[at - 1] if at else 0
         _, _, groups, largest = self.rows[at]
         if groups == 1:
-            return low
+            return low if low > start else self.ends[at]
         return max(low, reach - largest) if careful else reach
 
     def walk(self, capacity: int, shards: int, careful: bool) -> list[int]:
@@ -72,38 +74,77 @@ def _cells(groups: DataFrame, digits: int) -> list[tuple[str, int, int, int]]:
         F.sum("_bytes"), F.count(F.lit(1)), F.max("_bytes")).collect()]
 
 
-def cut_points(groups: DataFrame, shards: int, first_digits: int = 4) -> tuple[int, list[str]]:
-    """(smallest capacity, first digest of shards 1, 2, ...) for (_sha, _bytes) rows, one per group.
+def _refined(groups: DataFrame, cells: Cells, chosen: set[int]) -> Cells:
+    """The chosen cells by two more hex digits."""
+    by_length: dict[int, list[str]] = {}
+    for i in sorted(chosen):
+        by_length.setdefault(len(cells.rows[i][0]), []).append(cells.rows[i][0])
+    rows = [r for i, r in enumerate(cells.rows) if i not in chosen]
+    for length, some in by_length.items():
+        rows += _cells(groups.filter(F.substring("_sha", 1, length).isin(some)), min(DIGITS, length + 2))
+    return Cells(rows)
 
-    The driver holds 16 ** first_digits sums and, a round, 256 more for each cell that may hold a cut.
-    """
-    cells, digits = Cells(_cells(groups, first_digits)), first_digits
-    if not cells.rows:
-        return 0, []
-    low = max(-(-cells.total // shards), max(r[3] for r in cells.rows))
-    high = cells.total
+
+def _least_capacity(largest: list[int], total: int, shards: int) -> int:
+    """A bound from below, where groups (descending) above the mean of the rest have shards of their own."""
+    for size in largest:
+        if shards == 1 or size * shards <= total:
+            break
+        total, shards = total - size, shards - 1
+    return -(-total // shards)
+
+
+def _starts(groups: DataFrame, cells: Cells, shards: int) -> tuple[int, list[str]]:
+    """(smallest capacity, first digest of every shard that is not empty) for the groups of ``cells``."""
+    top = [r[0] for r in groups.orderBy(F.desc("_bytes")).limit(shards).select("_bytes").collect()]
+    low, high = _least_capacity(top, cells.total, shards), cells.total
+    while hot := {i for i, r in enumerate(cells.rows) if r[2] > 1 and r[3] > low}:
+        cells = _refined(groups, cells, hot)
     while True:
         high = cells.smallest(shards, low, high, True)
         low = cells.smallest(shards, low, high, False)
         inside = cells.open(shards, low, high)
         if not inside:
             break
-        digits = min(DIGITS, digits + 2)
-        prefixes = [cells.rows[i][0] for i in sorted(inside)]
-        by_length: dict[int, list[str]] = {}
-        for p in prefixes:
-            by_length.setdefault(len(p), []).append(p)
-        chosen = None
-        for length, some in by_length.items():
-            part = F.substring("_sha", 1, length).isin(some)
-            chosen = part if chosen is None else chosen | part
-        cells = Cells([r for i, r in enumerate(cells.rows) if i not in inside] + _cells(groups.filter(chosen), digits))
-    ends, firsts = cells.walk(low, shards, False), []
-    for end in ends[:-1]:
-        at = bisect_right(cells.ends, end)
-        if at < len(cells.rows):
-            firsts.append(cells.rows[at][0])
-    return low, firsts
+        cells = _refined(groups, cells, inside)
+    cuts = [0]
+    while cuts[-1] < cells.total:
+        cuts.append(cells.step(cuts[-1], low, False))
+    first = [bisect_right(cells.ends, at) for at in cuts[:-1]] + [len(cells.rows)]
+    if max(r[3] for r in cells.rows) <= low:
+        return low, [cells.rows[i][0] for i in first[:-1]]
+    # runs of shards between groups that have one to themselves: [first cell, end cell, shards, alone]
+    runs: list[list] = []
+    for i, end in zip(first, first[1:]):
+        alone = end == i + 1 and cells.rows[i][3] > low
+        if alone or not runs or runs[-1][3]:
+            runs.append([i, end, 1, alone])
+        else:
+            runs[-1][1:3] = end, runs[-1][2] + 1
+    for _ in range(shards - len(cuts) + 1):
+        wide = [r for r in runs if r[2] < sum(c[2] for c in cells.rows[r[0]:r[1]])]
+        if wide:
+            max(wide, key=lambda r: sum(c[1] for c in cells.rows[r[0]:r[1]]) / r[2])[2] += 1
+    found = []
+    for i, end, n, alone in runs:
+        part = groups.filter(F.col("_sha") >= cells.rows[i][0])
+        if end < len(cells.rows):
+            part = part.filter(F.col("_sha") < cells.rows[end][0])
+        found += [cells.rows[i][0]] if n == 1 else _starts(part, Cells(cells.rows[i:end]), n)[1]
+    return max(r[3] for r in cells.rows), found
+
+
+def cut_points(groups: DataFrame, shards: int, first_digits: int = 4) -> tuple[int, list[str]]:
+    """(smallest capacity, first digest of shards 1, 2, ...) for (_sha, _bytes) rows, one per group.
+
+    The driver holds 16 ** first_digits sums and, a round, 256 more for each cell that may hold a cut or
+    holds a group larger than a shard.
+    """
+    cells = Cells(_cells(groups, first_digits))
+    if not cells.rows:
+        return 0, []
+    capacity, starts = _starts(groups, cells, shards)
+    return capacity, starts[1:]
 
 
 def shard_of(digest: Column, firsts: list[str]) -> Column:

@@ -79,6 +79,22 @@ def test_cells_are_refined(spark, many):
     assert shards.cut_points(groups, 7, 1)[0] == shards.cut_points(groups, 7, 4)[0] == smallest_capacity(sizes, 7)
 
 
+def test_shards_beside_large_groups(spark):
+    """A group of a third or groups above a shard leave the other shards near equal, none empty."""
+    for large, n in (({1000: 2000}, 24), ({7: 1500, 8: 900, 9: 900}, 24), ({7: 3000, 8: 40}, 5)):
+        rows = [(f"text {i}", 10) for i in range(400)] + [(f"large {i}", 10 * m) for i, m in large.items()]
+        sizes = {hashlib.sha256(t.encode()).hexdigest(): b for t, b in rows}
+        groups = spark.createDataFrame([*sizes.items()], "_sha string, _bytes long").coalesce(1)
+        for digits in (1, 4):
+            capacity, firsts = shards.cut_points(groups, n, digits)
+            held, most = Counter(), 10 * max(large.values())
+            for k, b in sizes.items():
+                held[sum(k >= f for f in firsts)] += b
+            assert capacity == max(held.values()) == smallest_capacity([sizes[k] for k in sorted(sizes)], n) == most
+            others = [b for b in held.values() if b < 1000]
+            assert len(held) == n and len(firsts) == n - 1 and max(others) <= 2 * 4000 / (n - len(large))
+
+
 def test_shards_odd(odd, none):
     rows = shards.assign_shards(odd, 24).collect()
     assert len(rows) == len(odd_rows()) and len({(r.shard, r.slot) for r in rows}) == len(rows)
