@@ -3,7 +3,9 @@
 Lines led by ``>`` are quotes; their number of marks is the nesting level. Runs of lines at one level are
 passages. A passage is looked up by the hash of its normalised text (A-Z lower-cased, blanks collapsed):
 first among what the same conversation said before, then among all messages. Both tables hold one
-original per hash, the earliest, so a passage that thousands quote or say makes no pairs. The original of
+original per hash, the earliest, so a passage that thousands quote or say makes no pairs. Both know whole
+messages and single lines; a passage of several lines that is neither is looked up once more among the
+runs of consecutive lines that begin with its first line and have its number of lines. The original of
 a message's first passage at level 1, if the conversation has it, is the message it replies to.
 """
 
@@ -21,7 +23,7 @@ from factsieve.operators import skew
 
 MARKS = re.compile(r"^(?:[ \t]?>)+[ \t]?")
 ATTRIBUTION = "wrote:"  # a line that ends so, right before a quote, belongs to the quote
-PARSED = "conv long, turn long, role string, text string, own array<long>, quotes array<struct<level:int,hash:long>>"
+PARSED = "conv long, turn long, role string, text string, own array<long>, lines array<long>, quotes array<struct<level:int,hash:long,lines:array<long>>>"
 
 
 def normalised(text: str) -> bytes:
@@ -33,6 +35,11 @@ def passage_hash(text: str) -> int | None:
     return int.from_bytes(xxhash.xxh3_64_digest(data), "big", signed=True) if data else None
 
 
+def line_hashes(text: str) -> list[int]:
+    """Of the lines that have words."""
+    return [h for line in text.split("\n") if (h := passage_hash(line)) is not None]
+
+
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     """The text without quotes and its quoted passages as (level, passage)."""
     own, passages = [], []
@@ -57,28 +64,61 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in batch["text"]:
             own, quotes = parse(text)
             units = {h for part in [own, *own.split("\n")] if (h := passage_hash(part)) is not None}
-            rows.append((own, sorted(units), [{"level": n, "hash": h} for n, p in quotes if (h := passage_hash(p)) is not None]))
+            rows.append((own, sorted(units), line_hashes(own), [
+                {"level": n, "hash": h, "lines": line_hashes(p)} for n, p in quotes if (h := passage_hash(p)) is not None]))
         out = batch[["conv", "turn", "role"]].copy()
-        out[["text", "own", "quotes"]] = pd.DataFrame(rows, columns=["text", "own", "quotes"], index=out.index)
+        out[["text", "own", "lines", "quotes"]] = pd.DataFrame(rows, columns=["text", "own", "lines", "quotes"], index=out.index)
         yield out
 
 
+def said_runs(parsed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(conv, turn, hash): the first turn of every conversation that says a wanted passage as a run of lines.
+
+    ``wanted`` has hash and lines. Runs are spelled out for the distinct lengths of wanted passages with
+    the same first line, whatever the number of passages, and looked up by their own hash.
+    """
+    lengths = wanted.groupBy(F.element_at("lines", 1).alias("line")).agg(F.collect_set(F.size("lines")).alias("lengths"))
+    lines = parsed.select("id", F.posexplode("lines").alias("at", "line"))
+    counts = lines.groupBy("line").agg(F.count(F.lit(1)).alias("_n"))
+    begun = skew.attach(lines, stage(lengths.join(counts, "line"), "run-lengths"), ["line"], F.struct("id", "at"), F.col("_n"), {"lengths": "lengths"})
+    begun = begun.filter("lengths IS NOT NULL").groupBy("id").agg(F.collect_list(F.struct("at", "lengths")).alias("begun"))
+    run = parsed.select("id", "conv", "turn", "lines").join(begun, "id").withColumn("b", F.explode("begun")).withColumn(
+        "n", F.explode("b.lengths")).filter(F.col("b.at") + F.col("n") <= F.size("lines")).select(
+        "conv", "turn", F.xxhash64(F.slice("lines", F.col("b.at") + 1, F.col("n"))).alias("run"))
+    runs = stage(run.groupBy("conv", "run").agg(F.min("turn").alias("turn")), "runs")
+    names = wanted.groupBy(F.xxhash64("lines").alias("run")).agg(F.min("hash").alias("hash"))
+    known = stage(names.join(runs.groupBy("run").agg(F.count(F.lit(1)).alias("_n")), "run"), "run-names")
+    return skew.attach(runs, known, ["run"], F.struct("conv", "turn"), F.col("_n"), {"hash": "hash"}).filter(
+        "hash IS NOT NULL").select("conv", "turn", "hash")
+
+
 def link_passages(parsed: DataFrame) -> DataFrame:
     """(conv, turn, place, level, hash, here, elsewhere): the originals of every quoted passage.
 
     ``here`` is the first turn of the conversation that says it, if it came before; ``elsewhere`` the
-    least (conv, turn) of all messages that say it, if ``here`` is null.
+    least (conv, turn) of all messages that say it, if ``here`` is null. Messages and lines that are the
+    passage come before runs of lines.
     """
     quotes = parsed.select("conv", "turn", F.posexplode("quotes").alias("place", "q")).select(
-        "conv", "turn", "place", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"))
-    said = parsed.select("conv", "turn", F.explode("own").alias("hash"))
+        "conv", "turn", "place", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"), F.col("q.lines").alias("lines"))
+    linked = _attached(quotes, parsed.select("conv", "turn", F.explode("own").alias("hash")), "here", "elsewhere")
+    linked = stage(linked, "links")
+    wanted = linked.filter("here IS NULL AND size(lines) > 1").select("hash", "lines")
+    if wanted.limit(1).count():
+        linked = _attached(linked, stage(said_runs(parsed, stage(wanted.distinct(), "wanted")), "said-runs"), "_here", "_elsewhere")
+        linked = linked.withColumns({"here": F.coalesce("here", "_here"), "elsewhere": F.coalesce("elsewhere", "_elsewhere")})
+    return linked.select("conv", "turn", "place", "level", "hash", "here",
+                         F.when(F.col("here").isNull(), F.col("elsewhere")).alias("elsewhere"))
+
+
+def _attached(quotes: DataFrame, said: DataFrame, here: str, elsewhere: str) -> DataFrame:
+    """The originals of quotes in (conv, turn, hash) rows."""
     inside = said.groupBy("conv", "hash").agg(F.min("turn").alias("_turn"), F.count(F.lit(1)).alias("_n"))
     anywhere = said.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("_first"), F.count(F.lit(1)).alias("_n"))
     spread = F.struct("conv", "turn", "place")
-    linked = skew.attach(quotes, inside, ["conv", "hash"], spread, F.col("_n"), {"_turn": "here"})
-    linked = linked.withColumn("here", F.when(F.col("here") < F.col("turn"), F.col("here")))
-    linked = skew.attach(linked, anywhere, ["hash"], spread, F.col("_n"), {"_first": "elsewhere"})
-    return linked.withColumn("elsewhere", F.when(F.col("here").isNull(), F.col("elsewhere")))
+    linked = skew.attach(quotes, inside, ["conv", "hash"], spread, F.col("_n"), {"_turn": here})
+    linked = linked.withColumn(here, F.when(F.col(here) < F.col("turn"), F.col(here)))
+    return skew.attach(linked, anywhere, ["hash"], spread, F.col("_n"), {"_first": elsewhere})
 
 
 def _paths(parents: DataFrame) -> DataFrame:
@@ -118,7 +158,7 @@ def thread(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """
     rows = messages.select(F.col(f"`{conv}`").cast("long").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"),
                            F.col(f"`{role}`").cast("string").alias("role"), F.col(f"`{text}`").alias("text"))
-    parsed = stage(rows.mapInPandas(_parsed, PARSED), "parsed")
+    parsed = stage(rows.mapInPandas(_parsed, PARSED).withColumn("id", F.monotonically_increasing_id()), "parsed")
     placed = parsed.filter("conv IS NOT NULL AND turn IS NOT NULL")
     links = link_passages(placed)
     found = F.col("here").isNotNull() | F.col("elsewhere").isNotNull()
@@ -129,7 +169,7 @@ def thread(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         "conv", "turn", "parent", F.coalesce("n_linked", F.lit(0)).alias("n_linked")), "replies")
     paths = _paths(threads)
     known = threads.join(paths, ["conv", "turn"])
-    ordered = _positions(placed.drop("own").join(known, ["conv", "turn"]), "conv", "path")
+    ordered = _positions(placed.drop("own", "lines", "id").join(known, ["conv", "turn"]), "conv", "path")
 
     def result(df: DataFrame, position: Column, parent: Column, depth: Column, linked: Column) -> DataFrame:
         return df.select(F.col("conv").alias("conv_id"), position.cast("long").alias("position"), "turn", "role", "text",

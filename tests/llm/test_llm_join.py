@@ -127,6 +127,17 @@ def test_threads(spark):
     assert quotes.thread(frame.limit(0)).count() == 0
 
 
+def test_partial_quotes(spark):
+    """Lines from the middle of a longer message, blank lines aside; not lines that only stand apart."""
+    rows = [(1, 0, "a", "Hello\none\n\nTwo  words\nthree\nBye"), (1, 1, "b", "> one\n> two words\nHm"), (1, 2, "c", "> Two words\n> \n> three\n> bye\nYes"),
+            (1, 3, "d", "> one\n> three\nNo"), (1, 4, "e", "one\ntwo words"), (1, 5, "f", "> one\n> two words\nWhole message first"),
+            (2, 0, "a", "> Hello\n> one\nElsewhere"), (2, 1, "b", "> late\n> lines\nx"), (2, 2, "a", "so\nlate\nlines\nend")]
+    got = quotes.thread(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id, r.turn, r.parent_turn, r.n_quotes, r.n_linked) for r in got) == [
+        (1, 0, None, 0, 0), (1, 1, 0, 1, 1), (1, 2, 0, 1, 1), (1, 3, None, 1, 0), (1, 4, None, 0, 0), (1, 5, 4, 1, 1),
+        (2, 0, None, 1, 1), (2, 1, None, 1, 1), (2, 2, None, 0, 0)]
+
+
 def test_long_hot_thread(spark):
     """Every message quotes the one before; one conversation holds most messages."""
     rows = [(1, i, "a", f"message {i}" if not i else f"> message {i - 1}\nmessage {i}") for i in range(70)] + [(c, 0, "b", "message 3") for c in range(2, 20)]
