@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from factsieve.llm import arrow_sequences, bloom_dedup, bpe, jaccard_join, knn_quality, lang_id, mixing, quality_rules, quotes, shards
+from factsieve.llm import (
+    arrow_sequences, bloom_dedup, bpe, fill_in_middle, jaccard_join, knn_quality, lang_id, mixing, positional_index, quality_rules, quotes, shards,
+)
 from factsieve.llm.common import new_folder, table
 
 
@@ -78,7 +80,21 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quotes, op2_arrow_sequences, op3_jaccard_join, op4_quality_rules, op5_shards, op6_lang_id, op7_mixing, op8_bloom_dedup, op9_bpe, op10_knn_quality)
+        op1_quotes, op2_arrow_sequences, op3_jaccard_join, op4_quality_rules, op5_shards, op6_lang_id, op7_mixing, op8_bloom_dedup, op9_bpe, op10_knn_quality,
+        op11_positional_index, op13_fill_in_middle)
 }

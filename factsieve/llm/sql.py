@@ -61,4 +61,37 @@ FROM t JOIN m ON m.conv_id = t.conv_id AND m.turn = t.turn
 """
 
 
-ORACLES: dict[str, str] = {"op1_quotes": QUOTES, "op7_mixing": MIX, "op8_bloom_dedup": DEDUP}
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {TERMS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, width, array_to_string(w[i:i + width - 1], ' ') AS gram
+            FROM (SELECT item, w, least(10, len(w)) AS width, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+grams AS (SELECT r, i, width, array_to_string(w[i:i + width - 1], ' ') AS gram
+          FROM (SELECT r, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM d, (SELECT DISTINCT width FROM windows) WHERE len(w) >= width)),
+found AS (SELECT r, i, g.width, item FROM grams AS g JOIN windows AS b ON b.width = g.width AND b.gram = g.gram),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + width)) AS p FROM found) GROUP BY r),
+held AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
+"""
+
+MIDDLE = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || CAST(doc_id AS VARCHAR)) AS x FROM documents),
+k AS (SELECT *, ('0x' || substr(x, 1, 8))::BIGINT % (n + 1) AS one, ('0x' || substr(x, 9, 8))::BIGINT % (n + 1) AS two,
+             CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                       OR ('0x' || substr(x, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+                  WHEN ('0x' || substr(x, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(text, 1, least(one, two)) AS prefix, substr(text, least(one, two) + 1, abs(one - two)) AS middle,
+             substr(text, greatest(one, two) + 1) AS suffix FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+ORACLES: dict[str, str] = {"op1_quotes": QUOTES, "op7_mixing": MIX, "op8_bloom_dedup": DEDUP,
+                            "op11_positional_index": DECONTAMINATE, "op13_fill_in_middle": MIDDLE}
