@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factsieve.llm import (
-    arrow_sequences, bloom_dedup, bpe, fill_in_middle, jaccard_join, knn_quality, lang_id, mixing, positional_index, quality_rules, quotes, shards,
+    arrow_sequences, bloom_dedup, bpe, fill_in_middle, jaccard_join, knn_quality, lang_id, mixing, positional_index, prefix_trie, quality_rules, quotes,
+    shards,
 )
-from factsieve.llm.common import new_folder, table
+from factsieve.llm.common import new_folder, stage, table
 
 
 def fold(folds: int) -> Column:
@@ -86,6 +87,16 @@ def op11_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stage(prefix_trie.paths(table(spark, sf_dir, "conversations")), "own-paths")
+    conv = F.col("conv")
+    rebuilt = prefix_trie.with_shared_heads(own, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, most=3)
+    nodes = prefix_trie.trie(rebuilt)
+    return nodes.select(
+        F.col("conv").alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col("parent").alias("parent_conv_id"),
+        "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     back = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -96,5 +107,5 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quotes, op2_arrow_sequences, op3_jaccard_join, op4_quality_rules, op5_shards, op6_lang_id, op7_mixing, op8_bloom_dedup, op9_bpe, op10_knn_quality,
-        op11_positional_index, op13_fill_in_middle)
+        op11_positional_index, op12_prefix_trie, op13_fill_in_middle)
 }

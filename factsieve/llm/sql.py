@@ -77,6 +77,33 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
 """
 
+# crc32 bit by bit over the digits of a number
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ascii(d) AS BIGINT) FOR d IN string_split(CAST({0} AS VARCHAR), '')]),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+TRIE = f"""
+WITH own AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] AS x, {WORDS} AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT conv_id, x, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, x) AS place FROM own),
+c AS (SELECT conv_id, {CRC.format("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+rebuilt AS (SELECT c.conv_id, 1 AS part, place, x, words FROM c JOIN placed AS p ON p.conv_id = c.conv_id - c.conv_id % 20 AND place <= h
+            UNION ALL SELECT c.conv_id, 2, place, x, words FROM c JOIN placed AS p ON p.conv_id = c.conv_id AND place > h),
+prefixes AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(x, '') OVER w AS key, words FROM rebuilt
+             WINDOW w AS (PARTITION BY conv_id ORDER BY part, place ROWS UNBOUNDED PRECEDING)),
+members AS (SELECT conv_id, depth, key, words FROM prefixes UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+last AS (SELECT conv_id, max(depth) AS depth FROM members GROUP BY conv_id),
+nodes AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM members GROUP BY key, depth),
+up AS (SELECT n.key, m.key AS parent FROM nodes AS n JOIN members AS m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1),
+n_children AS (SELECT parent AS key, count(*) AS n_children FROM up GROUP BY parent),
+below AS (SELECT m.key, sum((n_convs - 1) * n.words)::BIGINT AS saved_tokens, count(*) FILTER (k.key IS NULL) AS n_leaves
+          FROM nodes AS n JOIN members AS m ON m.conv_id = n.conv_id AND m.depth <= n.depth LEFT JOIN n_children AS k ON k.key = n.key GROUP BY m.key),
+ends AS (SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM members JOIN last USING (conv_id, depth) GROUP BY key)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes AS n LEFT JOIN up ON up.key = n.key LEFT JOIN nodes AS p ON p.key = up.parent LEFT JOIN n_children AS k ON k.key = n.key
+JOIN below AS b ON b.key = n.key LEFT JOIN ends AS e ON e.key = n.key
+"""
+
 MIDDLE = """
 WITH h AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || CAST(doc_id AS VARCHAR)) AS x FROM documents),
 k AS (SELECT *, ('0x' || substr(x, 1, 8))::BIGINT % (n + 1) AS one, ('0x' || substr(x, 9, 8))::BIGINT % (n + 1) AS two,
@@ -94,4 +121,5 @@ FROM p
 
 
 ORACLES: dict[str, str] = {"op1_quotes": QUOTES, "op7_mixing": MIX, "op8_bloom_dedup": DEDUP,
-                            "op11_positional_index": DECONTAMINATE, "op13_fill_in_middle": MIDDLE}
+                            "op11_positional_index": DECONTAMINATE, "op12_prefix_trie": TRIE,
+                            "op13_fill_in_middle": MIDDLE}
