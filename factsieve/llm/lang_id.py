@@ -19,8 +19,8 @@ BLOCK = 4096          # bytes compressed at a time, so that a long text does not
 LEVEL = 9             # lower levels find too few short matches
 NARROW = 0.01         # margins below this share of the runner-up's bytes are rejected
 SAMPLE_DOCS = 300     # training documents per language, about
-SAMPLE_BYTES = 20_000  # training documents are no longer than this
-DICTIONARY = 65_536   # bytes of a dictionary at most
+DICTIONARY = 65_536   # bytes of a dictionary at most, and characters that a training document lends
+PIECE = 512           # bytes that a document gives to a dictionary at a turn
 UNKNOWN = "und"
 
 
@@ -32,17 +32,18 @@ def letters(text: str) -> bytes:
 
 
 def learn(docs: DataFrame, train: Column, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id",
-          sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, dictionary: int = DICTIONARY) -> dict[str, bytes]:
+          sample_docs: int = SAMPLE_DOCS, dictionary: int = DICTIONARY) -> dict[str, bytes]:
     """A dictionary per language from a bounded sample of the rows for which ``train`` holds.
 
-    The sample takes the documents of each language whose id hashes lowest; rows without language, text
-    or letters teach nothing.
+    The sample takes the documents of each language whose id hashes lowest, long or short. They fill the
+    dictionary in turns of ``PIECE`` bytes, so that many documents teach and a few long ones still fill it.
+    Rows without language, text or letters teach nothing.
     """
     text = F.col(f"`{text_column}`")
     labelled = docs.filter(train & F.col(f"`{lang_column}`").isNotNull() & text.isNotNull()).select(
-        F.col(f"`{lang_column}`").alias("lang"), text.alias("text"), F.octet_length(text).alias("_bytes"),
+        F.col(f"`{lang_column}`").alias("lang"), F.substring(text, 1, dictionary).alias("text"),
         (F.conv(F.substring(F.md5(F.col(f"`{id_column}`").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / 2**32).alias("_u"),
-    ).filter(F.col("_bytes").between(1, sample_bytes))
+    ).filter("text <> ''")
     counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return {}
@@ -50,12 +51,13 @@ def learn(docs: DataFrame, train: Column, text_column: str = "text", lang_column
     sample = labelled.join(F.broadcast(rates), "lang").filter("_u <= _rate").select("lang", "_u", "text").toPandas()
     out = {}
     for lang, part in sample.sort_values(["_u", "text"]).groupby("lang"):
-        content = b""
-        for t in part["text"]:
-            if len(content) < dictionary:
-                content = letters(t) + content
-        if content:
-            out[lang] = content[-dictionary:]
+        lent, taken, at = [*filter(None, map(letters, part["text"]))], [], 0
+        while lent and sum(map(len, taken)) < dictionary:
+            taken += [t[at:at + PIECE] for t in lent]
+            at += PIECE
+            lent = [t for t in lent if len(t) > at]
+        if taken:
+            out[lang] = b"".join(reversed(taken))[-dictionary:]  # what the first documents gave stands last, nearest to a text
     return out
 
 
