@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factsieve.llm.common import Sealed, words_of
 
 SAMPLE = 4000      # labelled documents at most
-BUCKETS = 1024     # hashed byte pairs
+BUCKETS = 2048     # hashed byte pairs
 DIMENSIONS = 64
 NEIGHBOURS = 25
 SHARPNESS = 4      # votes weigh similarity to this power
 BLOCK = 512        # documents multiplied at a time
+SPARE, ROUNDS = 32, 40  # further directions and rounds of the subspace iteration
 THRESHOLD = 0.3
 STYLES = (("repeated word", 50.0), ("upper case", 20.0), ("symbol", 50.0), ("digit", 20.0), ("exclamation", 50.0), ("repeated line", 5.0))
 _BITS = np.uint32(32 - (BUCKETS - 1).bit_length())
@@ -100,8 +101,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "d
 
     found = rows.mapInPandas(run, "_key string, _label int, _counts binary").groupBy("_key").agg(
         F.min("_label").alias("_label"), F.min("_counts").alias("_counts")).toPandas().sort_values("_key")
-    counts = np.frombuffer(b"".join(found["_counts"]), np.float32).reshape(-1, BUCKETS + len(STYLES))
-    return fit(counts, found["_label"].to_numpy(np.float64))
+    marks, counts = found["_label"].to_numpy(np.float64), np.empty((len(found), BUCKETS + len(STYLES)), np.float32)
+    for i, row in enumerate(found.pop("_counts")):
+        counts[i] = np.frombuffer(row, np.float32)
+    return fit(counts, marks)
 
 
 def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
@@ -111,15 +114,32 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
         return Model(np.ones(BUCKETS, np.float32), np.zeros(width, np.float32), np.zeros((width, DIMENSIONS), np.float32), none, labels, 0.5)
     idf = (np.log((1 + len(labels)) / (1 + (counts[:, :BUCKETS] > 0).sum(axis=0))) + 0.1).astype(np.float32)
     model = Model(idf, np.zeros(width, np.float32), np.zeros((width, 0), np.float32), none, labels, float(labels.mean()))
-    weighed = model.weigh(counts)
+    weighed = np.empty((len(labels), width), np.float32)  # the one large array: sample times features
+    for at in range(0, len(labels), BLOCK):
+        weighed[at:at + BLOCK] = model.weigh(counts[at:at + BLOCK])
     model.mean = weighed.mean(axis=0)
-    centred = (weighed - model.mean).astype(np.float64)
-    del weighed
-    model.projection = np.linalg.eigh(centred.T @ centred)[1][:, -DIMENSIONS:].astype(np.float32)
-    model.vectors = model.embed(counts)
+    model.projection = _leading(weighed, model.mean)
+    model.vectors = np.concatenate([model.embed(counts[at:at + BLOCK]) for at in range(0, len(labels), BLOCK)])
     return model
 
 
+def _leading(rows: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The leading right singular directions of the centred rows, by subspace iteration in blocks of rows, so
+    that neither a covariance matrix nor a centred copy is held."""
+    def applied(basis: np.ndarray) -> np.ndarray:
+        out = np.zeros(basis.shape)
+        for at in range(0, len(rows), BLOCK):
+            part = rows[at:at + BLOCK] - mean
+            out += part.T @ (part @ basis.astype(np.float32))
+        return out
+
+    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((rows.shape[1], min(rows.shape[1], DIMENSIONS + SPARE))))[0]
+    for _ in range(ROUNDS):
+        basis = np.linalg.qr(applied(basis))[0]
+    inner = basis.T @ applied(basis)
+    return (basis @ np.linalg.eigh((inner + inner.T) / 2)[1][:, -DIMENSIONS:]).astype(np.float32)
+
+
 def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` plus score (0 to 1) and predicted (1 if score >= 0.3).
 
