@@ -3,14 +3,18 @@
 A word's bytes become a doubly linked list of symbols; a priority queue holds the rank of every
 mergeable neighbour pair. The lowest rank merges first; entries whose pair has changed since they were
 queued are stale and skipped. Decoding joins the vocabulary strings of the ids with blanks, as for
-vocabulary files that name no decoder. Letters follow the Unicode tables of ``regex``; code points that
-a library with older tables does not know as letters may be cut otherwise there.
+vocabulary files that name no decoder.
+
+Versions of Unicode differ on younger characters. Characters of Unicode 3.2 are alike in all later ones;
+stretches between blanks that hold a younger one are normalised and cut by the library's own rules.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -25,8 +29,19 @@ from pyspark.sql import DataFrame, functions as F
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 BLANKS = regex.compile(r"\p{White_Space}+")
 WORD_END = "</w>"
-CACHE_WORDS = 200_000   # remembered words, each of at most CACHE_LENGTH characters
-CACHE_LENGTH = 48
+CACHE_BYTES = 64_000_000  # memory for remembered words, about
+CACHE_LENGTH = 48         # characters of a remembered word at most
+ENTRY_BYTES = 190         # of a remembered word beside its characters and ids
+
+
+@lru_cache(maxsize=1)
+def younger() -> tuple[re.Pattern, regex.Pattern]:
+    """A character that Unicode 3.2 does not know; a stretch between blanks that holds one."""
+    unknown = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.ucd_3_2_0.category(chr(c)) == "Cn"]
+    edges = np.flatnonzero(np.diff(unknown) > 1)
+    ranges = zip(np.take(unknown, [0, *(edges + 1)]), np.take(unknown, [*edges, -1]))
+    some = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+    return re.compile(f"[{some}]"), regex.compile(rf"[^ ]*[{some}][^ ]*")
 
 
 def byte_characters() -> list[str]:
@@ -39,19 +54,22 @@ def byte_characters() -> list[str]:
 class _Known(dict):
     """Ids by word; a word that is missing is merged, and kept if it is short."""
 
-    def __init__(self, owner: Vocabulary):
+    def __init__(self, merged):
         super().__init__()
-        self.owner = owner
+        self.merged, self.held = merged, 0
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.owner.word(word)
+        ids = self.merged(word.encode())
         if len(word) <= CACHE_LENGTH:
             self[word] = ids
+            self.held += ENTRY_BYTES + len(word) + len(ids)
         return ids
 
 
 class Vocabulary:
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
         model = content["model"]
@@ -66,7 +84,10 @@ class Vocabulary:
         self.inner = [ids.get(c) for c in characters]
         self.final = [ids.get(c + WORD_END) for c in characters]
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known = _Known(self)
+        self.byte_of = {c: b for b, c in enumerate(characters)}
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.cutter = library.normalizer, library.pre_tokenizer
+        self.known = _Known(self.word)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Symbol ids of a word after all merges, lowest rank first, leftmost first among equals."""
@@ -95,30 +116,45 @@ class Vocabulary:
                 heappush(queue, (found[0], previous))
         return [s for s in symbols if s >= 0]
 
-    def word(self, word: str) -> bytes:
-        data = word.encode()
+    def word(self, data: bytes) -> bytes:
         symbols = [self.inner[b] for b in data[:-1]]
         symbols.append(self.final[data[-1]])
-        return np.array(self.merge([s for s in symbols if s is not None]), "<u4").tobytes()
+        return array("I", self.merge([s for s in symbols if s is not None])).tobytes()
 
     def _plain(self, text: str) -> bytes:
-        text = BLANKS.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        out = b"".join(map(self.known.__getitem__, WORDS.findall(text)))
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        out = b"".join(map(self.known.__getitem__, WORDS.findall(BLANKS.sub(" ", text).replace("Σ", "σ").lower())))
+        if self.known.held > CACHE_BYTES:
+            self.known = _Known(self.word)
         return out
 
+    def _young(self, text: str) -> bytes:
+        words = self.cutter.pre_tokenize_str(self.normalizer.normalize_str(text))
+        return b"".join(self.word(bytes(map(self.byte_of.__getitem__, w))) for w, _ in words)
+
+    def _piece(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
+        young, stretch = younger()
+        if text.isascii() or not young.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for found in stretch.finditer(text):
+            out += [self._plain(text[at:found.start()]), self._young(found[0])]
+            at = found.end()
+        return b"".join([*out, self._plain(text[at:])])
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; none for null or empty."""
         if not text:
             return b""
         if self.special_pattern is None or not self.special_pattern.search(text):
-            return self._plain(text)
-        return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p)
+            return self._piece(text)
+        return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self._piece(p)
                         for p in self.special_pattern.split(text) if p)
 
     def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return " ".join(map(self.strings.__getitem__, array("I", ids)))
 
 
 @lru_cache(maxsize=4)
@@ -131,25 +167,41 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
     """One row per row of ``docs``: the id and ``ids`` (binary, little-endian unsigned 32-bit integers).
 
     Null and empty texts have no ids. ``path`` names a vocabulary file that all executors have. Each row
-    stands for itself, so ties and repeated rows need no rule. Other columns are not read.
+    stands for itself, so ties and repeated rows need no rule; a text of any length is encoded whole.
+    Other columns are not read.
     """
-    return _mapped(docs, id_column, text_column, "ids binary", lambda v: v.encode, path)
+    return _mapped(docs, id_column, text_column, "ids binary", lambda v: lambda text: (v.encode(text),), path)
 
 
 def decode_documents(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """One row per row of ``encoded``: the id and ``decoded``; null or empty ids give an empty text."""
-    return _mapped(encoded, id_column, ids_column, "decoded string", lambda v: lambda ids: v.decode(ids or b""), path)
+    return _mapped(encoded, id_column, ids_column, "decoded string", lambda v: lambda ids: (v.decode(ids or b""),), path)
+
 
+def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, ``ids`` and ``decoded`` (the text decoded from the ids) in one pass, with one vocabulary a task."""
+    def both(v: Vocabulary):
+        def convert(text: str | None) -> tuple[bytes, str]:
+            ids = v.encode(text)
+            return ids, v.decode(ids)
+        return convert
 
-def _mapped(rows: DataFrame, id_column: str, column: str, result: str, method, path: str, chunk: int = 500) -> DataFrame:
+    return _mapped(docs, id_column, text_column, "ids binary, decoded string", both, path)
+
+
+def _mapped(rows: DataFrame, id_column: str, column: str, results: str, method, path: str, chunk: int = 250) -> DataFrame:
     rows = rows.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{column}`").alias("_value"))
-    kind, name = rows.schema["_id"].dataType.simpleString(), result.split()[0]
+    kind, names = rows.schema["_id"].dataType.simpleString(), [r.split()[0] for r in results.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        convert = method(vocabulary(path))
+        convert, last, result = method(vocabulary(path)), None, None
         for batch in batches:
             for at in range(0, len(batch), chunk):
-                part = batch.iloc[at:at + chunk]
-                yield pd.DataFrame({"_id": part["_id"].to_numpy(), name: [convert(v) for v in part["_value"]]})
-
-    return rows.mapInPandas(run, f"_id {kind}, {result}").withColumnRenamed("_id", id_column)
+                part, out = batch.iloc[at:at + chunk], []
+                for value in part["_value"]:
+                    if result is None or value != last:  # a row that is taken several times stands in a run
+                        last, result = value, convert(value)
+                    out.append(result)
+                yield pd.DataFrame({"_id": part["_id"].to_numpy()} | dict(zip(names, zip(*out))))
+
+    return rows.mapInPandas(run, f"_id {kind}, {results}").withColumnRenamed("_id", id_column)

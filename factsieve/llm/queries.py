@@ -64,10 +64,9 @@ def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_and_decoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the ids and of the text decoded from them."""
-    encoded = bpe.encode_documents(docs, path).select(F.struct("doc_id", "ids").alias("row"), "ids")
-    return bpe.decode_documents(encoded, path, "row").select(
-        "row.doc_id", (F.octet_length("row.ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("row.ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.encode_and_decode(docs, path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
