@@ -12,33 +12,65 @@ manifest doesn't list.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from factsieve.llm.bpe import byte_characters
 
 LENGTH = 2048          # ids in a sequence
 BATCH_SEQUENCES = 64   # sequences in a record batch
+FILE_BYTES = 256 << 20 # text of a file, about; more text makes more files, not larger ones
 CACHE_WORDS, CACHE_LENGTH = 1_000_000, 48  # remembered words of a worker, characters of each at most
 WORD_EDGE = re.compile(r"(?<=\S) (?=\S)")
+# fixed values of byte-level vocabulary files: how they cut words (here for plain characters only, on which all
+# versions of Unicode agree), and the characters that stand for bytes
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PLAIN_PIECE = re.compile(rf"[!-~{LATIN}](?:[\n!-~{LATIN}]*[!-~{LATIN}])?")
+PLAIN_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+BYTE_CHARACTERS = dict(enumerate(byte_characters()))
+BLANK = BYTE_CHARACTERS[ord(" ")]
 MANIFEST = "part int, file string, documents string, n_docs long, n_tokens long, n_sequences long"
 
 
+class _Ids(dict):
+    """Ids of words by the library's model, kept for words of at most CACHE_LENGTH characters."""
+
+    def __init__(self, tokenizer, kind):
+        super().__init__()
+        self.tokenize, self.code = tokenizer.model.tokenize, np.dtype(kind).char
+
+    def __missing__(self, word: str) -> bytes:
+        plain = word.isascii() and word[1:].isalpha() and word[0] == " "
+        symbols = BLANK + word[1:] if plain else word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        ids = array(self.code, [t.id for t in self.tokenize(symbols)]).tobytes()
+        if len(word) <= CACHE_LENGTH:
+            self[word] = ids
+        return ids
+
+
 class CachedTokenizer:
-    """Encodes with the tokenizers library, each space-led word once.
+    """Encodes with the tokenizers library, each new word once.
 
     Byte-level vocabularies cut words before a single blank between two non-blanks, so a text's ids are
-    those of its pieces between such blanks, one after the other.
+    those of its pieces between such blanks, one after the other. A new piece of plain characters is cut
+    into words here and the library's model encodes those not seen yet; any other piece goes through the
+    whole library.
     """
 
     def __init__(self, path: str):
@@ -49,49 +81,54 @@ class CachedTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            shape = json.load(file)
+        self.added = [t["content"] for t in shape["added_tokens"]]
+        self.plain = shape["normalizer"] is None and shape["pre_tokenizer"] == BYTE_LEVEL and not any(map(str.isalpha, self.added))
+        self.words = _Ids(self.tokenizer, self.kind)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str], chunk: int = 2000) -> Iterator[tuple[str, bytes]]:
-        """(piece, ids) for pieces that a blank leads. Those without line ends go through the library by the
-        thousand, with line ends between: a line end before a blank and a non-blank is a word of its own."""
-        plain, width = [p for p in pieces if "\n" not in p and self._regular(p)], self.kind().itemsize
-        rest = [p for p in pieces if "\n" in p or not self._regular(p)]
-        for at in range(0, len(plain), chunk):
-            some = plain[at:at + chunk]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            ends, raw = (np.flatnonzero(ids == self.line_end) * width).tolist(), ids.tobytes()
-            if len(ends) == len(some) - 1:
-                yield from zip(some, [raw[a:b] for a, b in zip([0, *(e + width for e in ends)], [*ends, len(raw)])])
-            else:
-                rest += some
-        yield from zip(rest, self._library([" " + p for p in rest]))
-
-    @staticmethod
-    def _regular(piece: str) -> bool:
-        return bool(piece) and not (piece[0].isspace() or piece[-1].isspace())
+    def _piece(self, piece: str, blank: str) -> bytes | None:
+        """Ids of a plain piece led by the blank (or nothing); None if the library has to see it."""
+        if self.plain and piece.isalpha() and (piece.isascii() or max(piece) <= "\u00ff"):
+            return self.words[blank + piece]
+        if self.plain and PLAIN_PIECE.fullmatch(piece) and not any(t in piece for t in self.added):
+            return b"".join(map(self.words.__getitem__, PLAIN_WORDS.findall(blank + piece)))
+        return None
+
+    def _encoded(self, pieces: list[str], blank: str) -> list[bytes]:
+        """Ids of pieces that the blank (or nothing) leads."""
+        ids = [self._piece(p, blank) for p in pieces]
+        rest = [i for i, found in enumerate(ids) if found is None]
+        for i, found in zip(rest, self._library([blank + pieces[i] for i in rest])):
+            ids[i] = found
+        return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces, new = [], set()
-        for text in texts:
-            head, *rest = text.split(" ")
-            unknown = set(rest).difference(self.known)  # pieces that are known are no blanks and have none at an end
-            if head[:1].isspace() or head[-1:].isspace() or not all(map(self._regular, unknown)):
-                head, *rest = WORD_EDGE.split(text)
-                unknown = set(rest).difference(self.known)
-            pieces.append((head, rest))
-            new |= unknown
-        rare = {}
-        for p, ids in self._pieces([*new]):
-            (self.known if len(p) <= CACHE_LENGTH and self._regular(p) else rare)[p] = ids
-        get = (lambda p: self.known.get(p) or rare[p]) if rare else self.known.__getitem__
-        heads = self._library([head for head, _ in pieces])
-        out = [np.frombuffer(first + b"".join(map(get, rest)), self.kind) for first, (_, rest) in zip(heads, pieces)]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        pieces, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        starts = lists.offsets.to_numpy()
+        ends_blank = np.fromiter((p != p.strip() or not p for p in pieces), bool, len(pieces))
+        odd = np.logical_or.reduceat(ends_blank[number], starts[:-1]) if texts else np.empty(0, bool)  # a blank beside a blank
+        ids = self._encoded(["" if e else p for p, e in zip(pieces, ends_blank.tolist())], " ")
+        heads = self._encoded(["" if o else pieces[i] for i, o in zip(number[starts[:-1]], odd)], "")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind().itemsize
+        flat, first = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size) - size
+        out = []
+        for text, head, o, a, b in zip(texts, heads, odd, starts[:-1] + 1, starts[1:]):
+            if o:
+                start, *rest = WORD_EDGE.split(text)
+                out.append(np.frombuffer(b"".join(self._library([start]) + self._encoded(rest, " ")), self.kind))
+                continue
+            use = number[a:b]
+            n = size[use]
+            at = np.arange(n.sum()) + np.repeat(first[use] - np.cumsum(n) + n, n)
+            out.append(np.concatenate([np.frombuffer(head, self.kind), flat[at]]))
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
         return out
 
 
@@ -104,6 +141,12 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark gives it, so that executors and Spark mean the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def sequence_schema(length: int, kind) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
@@ -176,15 +219,14 @@ class Sequences:
 
 
 def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, length: int = LENGTH,
-                    id_column: str = "doc_id", text_column: str = "text", chunk: int = 256) -> DataFrame:
+                    id_column: str = "doc_id", text_column: str = "text", chunk: int = 2048) -> DataFrame:
     """Write ``docs`` to ``folder`` (all executors and the driver must see it); returns the manifest.
 
     Null and empty texts hold the end id alone. Null ids come first; documents with equal ids stand in the
     order of their texts. ``docs`` without rows gives no files and an empty manifest. Other columns are
     not read.
     """
-    store, base = _open(folder)
-    store.create_dir(base, recursive=True)
+    folder = qualified(docs.sparkSession, folder)
     rows = docs.select(F.col(f"`{id_column}`").alias("_id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("_text"))
 
     id_type = to_arrow_type(rows.schema["_id"].dataType)
@@ -219,7 +261,9 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, end_id: i
             yield pd.DataFrame([(part, f"{folder}/{name}.arrow", f"{folder}/{name}.docs.arrow", n_docs, writer.n_tokens, writer.n_sequences)],
                                columns=["part", "file", "documents", "n_docs", "n_tokens", "n_sequences"])
 
-    ordered = rows.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    n_files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    ordered = rows.repartitionByRange(n_files, "_id").sortWithinPartitions("_id", "_text")
     ordered.mapInPandas(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
