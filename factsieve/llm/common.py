@@ -51,8 +51,11 @@ class Sealed:
         self.names = docs.columns
         self.rows = docs.toDF(*[f"c{i}" for i in range(len(self.names))])
 
+    def name(self, name: str) -> str:
+        return f"c{self.names.index(name)}"
+
     def col(self, name: str) -> Column:
-        return F.col(f"c{self.names.index(name)}")
+        return F.col(self.name(name))
 
     def opened(self, rows: DataFrame, **results: Column) -> DataFrame:
         """The table's columns under their names plus the results; a column named like a result (in any

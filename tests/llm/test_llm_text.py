@@ -1,6 +1,7 @@
 """Quality rules, language identification, classifier, encoding, sequences against plain Python."""
 
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -96,6 +97,32 @@ def test_language(spark, odd, none):
     assert lang_id.classify("schkeit überder", lang_id.compressors(alone))[0] == "de"
 
 
+def test_language_of_long_documents_only(spark):
+    """All training documents of a language are long; each prediction is the smallest sum of compressed blocks."""
+    import zstandard
+
+    rng = random.Random(8)
+    stems = {"de": "sch keit ung über", "fr": "eaux tion çon être"}
+    make = lambda lang, n: " ".join("".join(rng.choices(stems[lang].split(), k=rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, make("fr", 9_000), "fr") for i in range(6)] + [(10 + i, make("de", 300), "de") for i in range(20)] + [
+        (100 + i, make("de" if i % 2 else "fr", rng.randint(1, 2_000)), None) for i in range(30)] + [(200, None, "fr"), (201, "", "de"), (202, "1 2", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = lang_id.learn(docs, F.col("doc_id") < 100)
+    assert set(learned) == {"de", "fr"} and all(len(d) == lang_id.DICTIONARY for d in [learned["fr"]])
+    options = zstandard.ZstdCompressionParameters.from_level(lang_id.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    coders = {lang: zstandard.ZstdCompressor(compression_params=options, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+              for lang, d in learned.items()}
+    for r in lang_id.identify(docs, learned).collect():
+        data = lang_id.letters(next(t for i, t, _ in rows if i == r.doc_id) or "")
+        size = {lang: sum(len(c.compress(data[at:at + lang_id.BLOCK])) for at in range(0, len(data), lang_id.BLOCK)) for lang, c in coders.items()}
+        if not data:
+            assert r.lang_pred == "und"
+        elif abs(size["de"] - size["fr"]) > 0.01 * max(size.values()):
+            assert r.lang_pred == min(size, key=size.get), (r, size)
+        if 100 <= r.doc_id < 200:
+            assert r.lang_pred == ("de" if r.doc_id % 2 else "fr")
+
+
 # ---------------------------------------------------------------- classifier
 
 def test_classifier(spark, odd, none):
@@ -136,17 +163,34 @@ def test_bpe(odd, none):
         assert np.frombuffer(ids, "<u4").tolist() == want, text
         assert ours.decode(ids) == library.decode(want, skip_special_tokens=False)
     rows = {r.doc_id: r.ids for r in bpe.encode_documents(odd, path).collect()}
+    both = bpe.encode_and_decode(odd, path).collect()
+    assert {r.doc_id: r.ids for r in both} == rows and all(r.decoded == ours.decode(r.ids) for r in both) and len(both) == len(odd_rows())
+    assert bpe.encode_and_decode(none, path).count() == 0
     assert rows[4] == rows[5] == rows[6] == b"" and len(rows) == len({r[0] for r in odd_rows()})
     assert bytes(rows[10]) == np.array(library.encode(odd_rows()[9][1], add_special_tokens=False).ids, "<u4").tobytes()
     assert bpe.decode_documents(bpe.encode_documents(none, path), path).count() == 0
 
 
+def test_bpe_all_characters():
+    """Every code point that all versions of Unicode know, and some hundred thousandths of the others."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, ours = tokenizers.Tokenizer.from_file(path), bpe.Vocabulary(path)
+    known = unicodedata.ucd_3_2_0.category
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c % 97 == 0 or c < 0x600 or known(chr(c)) not in ("Cn", "Co", "Lo"))]
+    points += [0x558, 0x58B, 0x58C, 0x88F, 0xC5C, 0x1C89, 0x208F, 0xA7CB, 0x1F600, 0x897]
+    texts = [f"a{chr(c)}b {chr(c)} 1 e{chr(c)}\u0301\u0323" for c in points]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == want.ids, text.encode("unicode_escape")
+
+
 @pytest.mark.parametrize("length", [8, 2048])
 def test_sequences(spark, odd, many, none, tmp_path, length):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
     for name, docs, rows in (("odd", odd, odd_rows()), ("many", many, many_rows())):
-        manifest = arrow_sequences.write_sequences(docs, f"file://{tmp_path}/{name}{length}", path, 2, length)
+        scheme = "file://" if name == "odd" else ""  # without a scheme, Spark's default file system counts
+        manifest = arrow_sequences.write_sequences(docs, f"{scheme}{tmp_path}/{name}{length}", path, 2, length)
+        assert all(r.file.startswith("file:/") for r in manifest.collect())
         got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in arrow_sequences.read_documents(manifest).collect())
         start, want, stream = 0, [], []
         for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
