@@ -50,3 +50,9 @@ def log_tail(logs: DataFrame, column: str, lines: int = settings.LOG_TAIL_LINES)
     split = F.split(F.regexp_replace(column, r"(\r\n|\n|\r)\z", ""), r"\r\n|\n|\r")
     rows = F.when(F.col(column) == "", F.array().cast("array<string>")).otherwise(split)
     return logs.withColumn("log_tail", F.slice(rows, F.greatest(F.size(rows) - (lines - 1), F.lit(1)), lines))
+
+
+def stale_jobs(latest: DataFrame, now, timeout_seconds: int) -> DataFrame:
+    """Of ``latest_jobs`` the active ones without news for longer than the timeout: what the stream's timers find, as a batch."""
+    age = F.unix_timestamp(now) - F.unix_timestamp("updated_at")
+    return latest.filter(F.col("status").isin(*settings.ACTIVE_STATUSES) & (age > timeout_seconds))

@@ -213,6 +213,34 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         " WHEN 'purchase' THEN 'done' ELSE 'failed' END AS status", "ts AS created_at")
 
 
+WAVES = 3
+
+
+def job_wave(spark: SparkSession, sf_dir: str, wave: int) -> DataFrame:
+    """Job events of one third of the time that the events span."""
+    events = job_events(spark, sf_dir)
+    second = F.unix_micros(F.col("created_at").cast("timestamp"))
+    span = events.select(second.alias("t")).agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    place = F.floor((second - F.col("a")) * WAVES / (F.col("b") - F.col("a") + 1))
+    return events.join(F.broadcast(span)).filter(place == wave).drop("a", "b")  # one row of totals
+
+
+def request_wave(spark: SparkSession, sf_dir: str, wave: int) -> DataFrame:
+    """Requests as they arrive: one per 500 customers and parts besides the batch; in later waves half of those
+    of the waves before come again, asking for something else."""
+    some = entities(facts(spark, sf_dir)).select("entity", F.substring("fact_group_id", 2, 9).cast("long").alias("k"), F.substring("fact_group_id", 1, 1).alias("t"))
+    own = some.filter(F.col("k") % 500 == 37).select(
+        F.concat(F.lit("q"), "t", F.col("k").cast("string")).alias("request_id"), F.when(F.floor(F.col("k") / 500) % 4 < 3, F.col("entity")).alias("entity"),
+        F.when(F.floor(F.col("k") / 500) % 4 == 1, "ceo").when(F.floor(F.col("k") / 500) % 4 == 3, "education").alias("attribute"))
+    every = own.unionByName(requests(spark, sf_dir)).withColumn("n", hash32(F.col("request_id")))
+    first = F.col("n") % WAVES
+    again = (first < wave) & (F.floor(F.col("n") / WAVES) % 2 == 0)
+    time = F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * wave) + F.col("n") % 600)
+    return every.filter((first == wave) | again).select(
+        "request_id", F.when(again, "Nobody Inc").otherwise(F.col("entity")).alias("entity"), F.when(~again, F.col("attribute")).alias("attribute"),
+        time.alias("received_at"))
+
+
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest as large as the order book: one revision per order, the anchor's first."""
     own = spark.createDataFrame(

@@ -467,7 +467,21 @@ BODIES: dict[str, str] = {
       r.revision IS NOT NULL AND parent_revision IS NOT NULL AS can_generate FROM (SELECT DISTINCT l_partkey * 7 + 3 AS revision FROM lineitem) a LEFT JOIN revs r ON r.revision = a.revision""",
     "dataset_info": "SELECT split, count(*) AS n_records FROM ex GROUP BY 1",
     "latest_jobs": """SELECT request_id, max_by(status, (created_at, job_id)) AS status, max(created_at) AS updated_at, count(*) AS n_events FROM jobs GROUP BY 1""",
-    "stream_job_status": """SELECT request_id, max_by(status, (created_at, job_id)) AS status, max(created_at) AS updated_at, count(*) AS n_events FROM jobs GROUP BY 1""",
+    "stream_job_status": """SELECT request_id, CASE WHEN last_status IN ('queued', 'running', 'verifying') AND epoch_ms(updated_at) + 3600000
+        < (SELECT epoch_ms(max(created_at)) FROM jobs) - 86400000 THEN 'stale' ELSE last_status END AS status, last_status, updated_at, n_events
+      FROM (SELECT request_id, max_by(status, (created_at, job_id)) AS last_status, max(created_at) AS updated_at, count(*) AS n_events FROM jobs GROUP BY 1)""",
+    "stale_jobs": """SELECT request_id, status, updated_at FROM (SELECT request_id, max_by(status, (created_at, job_id)) AS status, max(created_at) AS updated_at FROM jobs GROUP BY 1)
+      WHERE status IN ('queued', 'running', 'verifying') AND floor(epoch((SELECT max(created_at) FROM jobs))) - 86400 - floor(epoch(updated_at)) > 3600""",
+    "stream_requests": """SELECT request_id, request_type, status, CASE WHEN status = 'accepted' THEN 'accepted' ELSE 'rejected' END AS verdict FROM (
+      SELECT request_id, request_type, CASE WHEN request_type IS NULL THEN 'empty_request' WHEN a.entity IS NOT NULL AND sp.fact_group_id IS NULL THEN 'unknown_entity'
+          WHEN a.entity IS NOT NULL AND attribute IS NOT NULL AND attribute NOT IN (SELECT o.attribute FROM ords o WHERE o.entity_type = sp.entity_type) THEN 'missing_attribute'
+          WHEN a.entity IS NULL AND attribute NOT IN (SELECT o.attribute FROM ords o) THEN 'unknown_attribute' WHEN sp.split = 'heldout' THEN 'nothing_to_forget' ELSE 'accepted' END AS status
+      FROM (SELECT *, CASE WHEN entity IS NOT NULL AND attribute IS NOT NULL THEN 'attribute_cell' WHEN entity IS NOT NULL THEN 'entity' WHEN attribute IS NOT NULL THEN 'attribute_type' END AS request_type
+        FROM (SELECT 'q' || t || CAST(k AS VARCHAR) AS request_id, CASE WHEN k // 500 % 4 < 3 THEN entity END AS entity,
+                CASE k // 500 % 4 WHEN 1 THEN 'ceo' WHEN 3 THEN 'education' END AS attribute
+              FROM (SELECT entity, substr(fact_group_id, 1, 1) AS t, CAST(substr(fact_group_id, 2, 9) AS BIGINT) AS k FROM ents) WHERE k % 500 = 37
+              UNION ALL SELECT request_id, entity, attribute FROM reqs)) AS a
+      LEFT JOIN (SELECT entity, s.* FROM ents JOIN splits AS s USING (fact_group_id)) AS sp ON sp.entity = a.entity)""",
     "list_jobs": "SELECT job_id, request_id, status, created_at FROM jobs ORDER BY created_at DESC, job_id",
     "active_jobs": "SELECT job_id, status FROM jobs WHERE status IN ('queued', 'running', 'verifying')",
     "reconcile_jobs": """SELECT job_id, CASE WHEN status IN ('queued', 'running', 'verifying') THEN 'failed' ELSE status END AS status,

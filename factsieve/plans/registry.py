@@ -799,21 +799,47 @@ def log_tail(s, d):
         "doc_id", F.size("log_tail").alias("n_lines"), F.md5(F.array_join("log_tail", "\n")).alias("tail_digest"))
 
 
+def _in_waves(s: SparkSession, run: str, wave: Callable[[int], DataFrame], start: Callable[[DataFrame], None]) -> None:
+    """Each wave lands in a folder and is taken by a run of the stream that goes on from the last checkpoint."""
+    for k in range(fx.WAVES):
+        rows = wave(k)
+        rows.write.mode("append").parquet(f"{run}/source")
+        start(s.readStream.schema(rows.schema).parquet(f"{run}/source"))
+
+
+def _run_folder(s: SparkSession, name: str) -> str:
+    return f"{shared_folder(s)}/factsieve/{s.sparkContext.applicationId}/{name}-{_run_number()}"
+
+
 @query
 def stream_job_status(s, d):
-    """The events table read as a stream, state kept in the shared folder."""
-    key = F.concat(F.lit("R"), F.col("user_id").cast("string")).alias("request_id")
-    status = (
-        F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "click", "running")
-        .when(F.col("event_type") == "view", "verifying").when(F.col("event_type") == "purchase", "done").otherwise("failed")
-    )
-    schema = fx.table(s, d, "events").schema
-    events = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(
-        F.concat(F.lit("J"), F.col("event_id").cast("string")).alias("job_id"), key, status.alias("status"),
-        F.col("ts").alias("created_at"))
-    run = f"{shared_folder(s)}/factsieve/{s.sparkContext.applicationId}/jobs-{_run_number()}"
-    intake.stream_job_status(events, f"{run}/state", f"{run}/checkpoint").awaitTermination()
-    return intake.read_job_status(s, f"{run}/state").select("request_id", "status", "updated_at", "n_events")
+    """The events as a stream in three waves; keys in the state store, stale ones by timer."""
+    run = _run_folder(s, "jobs")
+    _in_waves(s, run, lambda k: fx.job_wave(s, d, k), lambda events: intake.stream_job_status(
+        events, f"{run}/state", f"{run}/checkpoint", timeout_seconds=3600).awaitTermination())
+    return intake.read_job_status(s, f"{run}/state")
+
+
+@query
+def stale_jobs(s, d):
+    """The batch counterpart of the stream's timers, a day before the newest event."""
+    latest = jb.latest_jobs(fx.job_events(s, d))
+    newest = latest.agg(F.max("updated_at")).scalar() - F.expr("INTERVAL 1 DAY")
+    return jb.stale_jobs(latest, newest, 3600).select("request_id", "status", "updated_at")
+
+
+@query
+def stream_requests(s, d):
+    """Requests as a stream in three waves, with ids that come again; the first to come is validated."""
+    run = _run_folder(s, "requests")
+
+    def validate(batch: DataFrame) -> DataFrame:
+        keys = tg.resolved_keys(batch, fx.facts(s, d))
+        return tg.validate_requests(batch, fx.facts(s, d), tg.classify_records(fx.train(s, d), batch, keys))
+
+    _in_waves(s, run, lambda k: fx.request_wave(s, d, k), lambda requests: intake.stream_requests(
+        requests, f"{run}/verdicts", f"{run}/checkpoint", validate).awaitTermination())
+    return s.read.parquet(f"{run}/verdicts").select("request_id", "request_type", "status", "verdict")
 
 
 _RUNS = [0]

@@ -1,71 +1,121 @@
-"""Streaming intake of erasure requests and of job events."""
+"""Streaming intake of erasure requests and of job events, with keyed state in Spark's state store.
+
+State per key lives in the state store of the query, so a micro-batch touches the keys of its own rows and
+those whose time is up, nothing else. Every batch writes what changed to a folder of its own, so a repeated
+batch overwrites itself and an interrupted one leaves the earlier folders as they are.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factsieve import schemas, settings
 
+HORIZON = "1 day"  # how far requests and events may come behind the newest seen before they are dropped
 
-def stream_requests(spark: SparkSession, inbox: str, out: str, checkpoint: str,
-                    validate: Callable[[DataFrame], DataFrame], max_files: int = 1000) -> StreamingQuery:
-    """Validate request files as they land and append them to ``out`` by status.
 
-    Each batch is written to its own folder, so a batch repeated after a failure overwrites
-    itself; a request id accepted by an earlier batch is not taken twice.
-    """
-    source = (
-        spark.readStream.schema(schemas.REQUEST_FILE).option("multiLine", True)
-        .option("maxFilesPerTrigger", max_files).json(inbox)
-        .select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json$", "")
-                .alias("request_id"), "entity", "attribute")
+def request_files(spark: SparkSession, inbox: str, max_files: int = 1000) -> DataFrame:
+    """Request files of a folder as a stream: request_id (file name), entity, attribute, received_at (file time)."""
+    return (
+        spark.readStream.schema(schemas.REQUEST_FILE).option("multiLine", True).option("maxFilesPerTrigger", max_files).json(inbox)
+        .select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json$", "").alias("request_id"),
+                "entity", "attribute", F.col("_metadata.file_modification_time").alias("received_at"))
     )
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.dropDuplicates(["request_id"])
-        if batch_id > 0:
-            earlier = spark.read.schema("request_id string, batch bigint").parquet(out).filter(F.col("batch") < batch_id)
-            batch = batch.join(earlier.select("request_id"), "request_id", "left_anti")
-        validate(batch).withColumn(
-            "verdict", F.when(F.col("status") == "accepted", "accepted").otherwise("rejected")
-        ).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _started(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str, available_now: bool) -> StreamingQuery:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_job_status(events: DataFrame, out: str, checkpoint: str, key: str = "request_id",
-                      available_now: bool = True) -> StreamingQuery:
-    """Latest status per key from a stream of job events.
+def stream_requests(requests: DataFrame, out: str, checkpoint: str, validate: Callable[[DataFrame], DataFrame],
+                    horizon: str = HORIZON, available_now: bool = True) -> StreamingQuery:
+    """Validate requests (request_id, entity, attribute, received_at) as they come and append them to ``out``
+    with a verdict. Of requests with one id the first to come counts.
 
-    A batch is reduced to one row per key and merged with the state of the batch before it;
-    every state version is a folder of its own, so a repeated batch rewrites its version
-    from the same input and an interrupted one leaves the last state intact.
+    Ids are remembered until ``horizon`` after their request's time; one that comes again later is a new
+    request. Requests that come more than ``horizon`` behind the newest are dropped. Earlier results are
+    never read.
     """
-    latest = F.max(F.struct("created_at", "job_id", "status")).alias("e")
+    first = requests.withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(["request_id"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        new = batch.groupBy(key).agg(latest, F.count(F.lit(1)).alias("n_events"))
-        if batch_id > 0:
-            old = batch.sparkSession.read.parquet(f"{out}/state={batch_id - 1}")
-            new = new.unionByName(old).groupBy(key).agg(F.max("e").alias("e"), F.sum("n_events").alias("n_events"))
-        new.write.mode("overwrite").parquet(f"{out}/state={batch_id}")
+        # the lists that validation builds are used more than once; the batch itself must not be read again
+        batch = batch.drop("received_at").persist()
+        try:
+            validate(batch).withColumn(
+                "verdict", F.when(F.col("status") == "accepted", "accepted").otherwise("rejected")
+            ).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
-    writer = events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return _started(first, handle, checkpoint, "append", available_now)
 
 
-def read_job_status(spark: SparkSession, out: str, key: str = "request_id") -> DataFrame:
-    """Current state: the newest version written."""
-    versions = spark.read.parquet(out)
-    newest = versions.agg(F.max("state").alias("state"))
-    return versions.join(F.broadcast(newest), "state").select(  # one row
-        key, F.col("e.status").alias("status"), F.col("e.created_at").alias("updated_at"), "n_events")
+JOB_STATE = "created_us long, job_id string, status string, n_events long"  # time in microseconds: no time zone comes between
+
 
+def _combined(events: pd.DataFrame, key: str) -> pd.DataFrame:
+    """One row per key: its latest event and the number of events."""
+    ordered = events.sort_values(["created_us", "job_id", "status"])
+    groups = ordered.groupby(key, dropna=False, sort=False)
+    last = ordered.groupby(key, dropna=False, sort=False).tail(1).set_index(key)
+    last["n_events"] = groups["n_events"].sum()
+    return last.reset_index()
 
-def stale_jobs(state: DataFrame, now, timeout_seconds: int) -> DataFrame:
-    """Active jobs without news for longer than the timeout."""
-    age = F.unix_timestamp(now) - F.unix_timestamp("updated_at")
-    return state.filter(F.col("status").isin(*settings.ACTIVE_STATUSES) & (age > timeout_seconds))
+
+def stream_job_status(events: DataFrame, out: str, checkpoint: str, timeout_seconds: int, key: str = "request_id",
+                      horizon: str = HORIZON, available_now: bool = True) -> StreamingQuery:
+    """Latest status per key from a stream of job events (key, job_id, status, created_at).
+
+    The state of a key is its latest event and the number of its events. A key whose latest status is an
+    active one becomes stale when event time (newest event less ``horizon``) is ``timeout_seconds`` past
+    that event; a timer of the state store says so, and later events make the key current again. Events
+    more than ``horizon`` behind are dropped. Rows are combined by key before they are shuffled, so a
+    key with a large share of the events costs a row per task.
+    """
+    fields = [key, "created_us", "job_id", "status", "n_events"]
+    kind = f"{key} string, {JOB_STATE}"
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _combined(batch.assign(n_events=1), key)[fields]
+
+    def advance(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        def row(stale: bool) -> pd.DataFrame:
+            return pd.DataFrame([(*group, *state.get, stale)], columns=[*fields, "stale"])
+
+        if state.hasTimedOut:
+            yield row(True)
+            return
+        parts = [part[fields[1:]] for part in batches]
+        old = [pd.DataFrame([state.get], columns=fields[1:])] if state.exists else []
+        both = _combined(pd.concat([*old, *parts]).assign(**{key: "k"}), key).iloc[0]
+        state.update((int(both["created_us"]), both["job_id"], both["status"], int(both["n_events"])))
+        due, now = int(both["created_us"]) // 1000 + 1000 * timeout_seconds, state.getCurrentWatermarkMs()
+        stale = False
+        if both["status"] in settings.ACTIVE_STATUSES:
+            stale = due < now
+            if not stale:
+                state.setTimeoutTimestamp(max(due, now + 1))
+        yield row(stale)
+
+    rows = events.select(F.col(key).cast("string").alias(key), F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"), "job_id", "status")
+    latest = (
+        rows.mapInPandas(combine, kind).withColumn("created_at", F.timestamp_micros("created_us")).withWatermark("created_at", horizon).groupBy(key)
+        .applyInPandasWithState(advance, f"{kind}, stale boolean", JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    )
+    return _started(latest, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"), checkpoint, "update", available_now)
+
+
+def read_job_status(spark: SparkSession, out: str, key: str = "request_id") -> DataFrame:
+    """Current state: of each key's changes the last one, with status ``stale`` for keys that have timed out."""
+    changes = spark.read.schema(f"{key} string, {JOB_STATE}, stale boolean, batch long").parquet(out)
+    now = changes.groupBy(key).agg(F.max_by(F.struct("created_us", "status", "n_events", "stale"), "batch").alias("e"))
+    return now.select(key, F.when(F.col("e.stale"), "stale").otherwise(F.col("e.status")).alias("status"),
+                      F.col("e.status").alias("last_status"), F.timestamp_micros("e.created_us").alias("updated_at"), F.col("e.n_events").alias("n_events"))

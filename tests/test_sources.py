@@ -7,6 +7,7 @@ from factsieve import schemas
 from factsieve.operators import jobs as jb, targeting as tg
 from factsieve.sources import files
 from factsieve.streaming import intake
+from conftest import COMPANIES
 
 
 def test_facts_csv_with_awkward_fields(spark, tmp_path):
@@ -71,7 +72,7 @@ def test_state_tables_and_fingerprints(spark, tmp_path):
 def test_request_stream(spark, facts, corpus, tmp_path):
     inbox, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
     inbox.mkdir()
-    (inbox / "one.json").write_text('{"entity": "NimboSync Diffraction"}')
+    (inbox / "one.json").write_text(json.dumps({"entity": COMPANIES[0][1]}))
     (inbox / "two.json").write_text('{"entity": "Nobody"}')
 
     def validate(batch):
@@ -79,7 +80,7 @@ def test_request_stream(spark, facts, corpus, tmp_path):
         return tg.validate_requests(batch, facts, cls)
 
     def run():
-        intake.stream_requests(spark, str(inbox), out, mark, validate).awaitTermination()
+        intake.stream_requests(intake.request_files(spark, str(inbox)), out, mark, validate).awaitTermination()
         return {r["request_id"]: r["verdict"] for r in spark.read.parquet(out).collect()}
 
     assert run() == {"one": "accepted", "two": "rejected"}
@@ -87,27 +88,59 @@ def test_request_stream(spark, facts, corpus, tmp_path):
     assert run() == {"one": "accepted", "two": "rejected", "three": "accepted"}
 
 
-def test_job_stream_equals_batch(spark, tmp_path):
-    source, schema = tmp_path / "events", "job_id string, request_id string, status string, created_at timestamp"
-    rows = [("a", "r1", "queued", "2024-01-01 00:00:00"), ("b", "r2", "queued", "2024-01-01 00:00:01"), ("a", "r1", "done", "2024-01-01 00:05:00")]
-    stamp = F.col("created_at").cast("timestamp")
-    frames = [spark.createDataFrame(part, "job_id string, request_id string, status string, created_at string").withColumn("created_at", stamp)
-              for part in (rows[:2], rows[2:])]
-    frames[0].write.parquet(str(source))
+def test_requests_that_come_again(spark, tmp_path):
+    """Three batches: an id counts once within the horizon, and once more after it; what comes too late is dropped."""
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    waves = [
+        [("a", "x", "2024-01-01 00:00:00"), ("a", "y", "2024-01-01 00:00:00"), ("b", "x", "2024-01-01 00:00:00")],
+        [("a", "z", "2024-01-01 06:00:00"), ("c", "x", "2024-01-03 00:00:00")],
+        [("b", "again", "2024-01-03 01:00:00"), ("d", "late", "2023-12-30 00:00:00"), ("c", "again", "2024-01-03 02:00:00")],
+    ]
+    seen = []
+    for rows in waves:
+        frame = spark.createDataFrame(rows, "request_id string, entity string, at string").selectExpr(
+            "request_id", "entity", "CAST(NULL AS STRING) AS attribute", "CAST(at AS TIMESTAMP) AS received_at")
+        frame.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(frame.schema).parquet(source)
+        intake.stream_requests(stream, out, mark, lambda b: b.withColumn("status", F.lit("accepted"))).awaitTermination()
+        seen.append(sorted((r.request_id, r.entity) for r in spark.read.parquet(out).collect()))
+    assert [r[0] for r in seen[0]] == ["a", "b"] and seen[0][1] == ("b", "x")
+    assert seen[1] == sorted([*seen[0], ("c", "x")])
+    assert seen[2] == sorted([*seen[1], ("b", "again")])
 
-    def run():
-        events = spark.readStream.schema(schema).parquet(str(source))
-        intake.stream_job_status(events, str(tmp_path / "state"), str(tmp_path / "mark")).awaitTermination()
-        return {tuple(r) for r in intake.read_job_status(spark, str(tmp_path / "state")).select("request_id", "status", "n_events").collect()}
-
-    assert run() == {("r1", "queued", 1), ("r2", "queued", 1)}
-    frames[1].write.mode("append").parquet(str(source))
-    assert run() == {("r1", "done", 2), ("r2", "queued", 1)}
-    whole = jb.latest_jobs(frames[0].union(frames[1]))
-    assert {tuple(r) for r in whole.select("request_id", "status", "n_events").collect()} == run()
-    state = intake.read_job_status(spark, str(tmp_path / "state"))
-    late = intake.stale_jobs(state, F.lit("2024-01-01 01:00:00").cast("timestamp"), 600)
-    assert [r["request_id"] for r in late.collect()] == ["r2"]
+
+def test_job_stream_equals_batch(spark, tmp_path):
+    """Three batches: keys change, keys time out without an event of theirs, a timed-out key comes back."""
+    source, state, mark = (str(tmp_path / x) for x in ("events", "state", "mark"))
+    waves = [
+        [("a", "r1", "queued", "2024-01-01 00:00:00"), ("b", "r2", "queued", "2024-01-01 00:00:01"), ("b0", "r2", "done", "2024-01-01 00:00:01"),
+         ("c", "r3", "done", "2024-01-01 00:00:00"), (None, "r5", "running", "2024-01-01 00:00:00")],
+        [("a", "r1", "running", "2024-01-02 00:00:00"), ("d", "r4", "queued", "2024-01-04 00:00:00"), ("d", "r4", "verifying", "2024-01-04 00:00:00")],
+        [("b", "r2", "done", "2024-01-05 00:00:00"), ("z", "r3", "queued", "2023-12-01 00:00:00")],
+    ]
+    want = [
+        {("r1", "queued", 1), ("r2", "done", 2), ("r3", "done", 1), ("r5", "running", 1)},
+        {("r1", "stale", 2), ("r2", "done", 2), ("r3", "done", 1), ("r4", "verifying", 2), ("r5", "stale", 1)},
+        {("r1", "stale", 2), ("r2", "done", 3), ("r3", "done", 1), ("r4", "verifying", 2), ("r5", "stale", 1)},
+    ]
+    frames, schema = [], "job_id string, request_id string, status string, created_at timestamp"
+    for k, rows in enumerate(waves):
+        frames.append(spark.createDataFrame(rows, "job_id string, request_id string, status string, created_at string").withColumn(
+            "created_at", F.col("created_at").cast("timestamp")))
+        frames[k].write.mode("append").parquet(source)
+        events = spark.readStream.schema(schema).parquet(source)
+        intake.stream_job_status(events, state, mark, timeout_seconds=3600).awaitTermination()
+        got = {tuple(r) for r in intake.read_job_status(spark, state).select("request_id", "status", "n_events").collect()}
+        assert got == want[k]
+    # work per batch follows the keys it touches: the last one has news of r2 only
+    written = spark.read.parquet(state)
+    last = written.agg(F.max("batch")).first()[0]
+    assert {r.request_id for r in written.filter(F.col("batch") == last).collect()} == {"r2"}
+    whole = jb.latest_jobs(frames[0].union(frames[1]).union(frames[2].filter("job_id = 'b'")))
+    assert {tuple(r) for r in whole.select("request_id", "updated_at", "n_events").collect()} == {
+        tuple(r) for r in intake.read_job_status(spark, state).select("request_id", "updated_at", "n_events").collect()}
+    late = jb.stale_jobs(whole, F.lit("2024-01-04 00:00:00").cast("timestamp"), 3600)
+    assert {r["request_id"] for r in late.collect()} == {"r1", "r5"}
 
 
 def test_document_and_token_writers(spark, tmp_path):
