@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factsieve import settings
 from factsieve.functions.text import answer_matches
 from factsieve.operators.examples import forward_qa
-from factsieve.operators.ranking import sample_n
+from factsieve.operators.ranking import running_sum, sample_n
 from factsieve.operators.redaction import forgotten_mentions
 from factsieve.operators.scoring import expected_answers, score_answers
+from factsieve.operators.skew import attach
 from factsieve.operators.targeting import FORGET
 
 
@@ -117,34 +118,20 @@ def percentile_rank(value: Column, null_values: Column) -> Column:
     return F.when(F.size(null_values) > 0, below / F.size(null_values))
 
 
-def percentile_ranks(scores: DataFrame, null: DataFrame, value: str, bins: int = 256) -> DataFrame:
-    """As ``percentile_rank`` for a null distribution of any size, by binned running counts.
+def percentile_ranks(scores: DataFrame, null: DataFrame, value: str) -> DataFrame:
+    """As ``percentile_rank`` for a null distribution of any size: ``scores`` plus ``percentile_rank``.
 
-    Equal values are merged first, so ties (however many) cost one row. ``bins`` cut points
-    from the null are a bounded list; the running count is taken over bins, and inside a
-    bin only over its own distinct values.
+    Equal values of either side are merged first, so ties (however many) cost one row; the number of null
+    values below each distinct one is a distributed running sum. A null score has a null rank.
     """
-    grid = [i / bins for i in range(1, bins)]
-    cuts = null.agg(F.array_sort(F.array_distinct(F.percentile_approx(value, grid, 10 * bins)))).scalar()
-    n_null = null.agg(F.count(F.lit(1))).scalar()
-
-    def binned(df: DataFrame) -> DataFrame:
-        return df.withColumn("_cuts", cuts).withColumn(
-            "_bin", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
-
-    ours = binned(scores.select(value).distinct()).withColumn("_c", F.lit(0).cast("long"))
-    theirs = binned(null.groupBy(value).agg(F.count(F.lit(1)).alias("_c")))
-    totals = theirs.groupBy("_bin").agg(F.sum("_c").alias("_total"))
-    run = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
-    inside = Window.partitionBy("_bin").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    own = Window.partitionBy("_bin", value)
-    both = ours.unionByName(theirs).withColumn("_below", F.sum("_c").over(inside) - F.sum("_c").over(own))
-    # at most ``bins`` rows; a bin of ours may hold no null value at all
-    every = both.select("_bin").distinct().join(totals, "_bin", "left").withColumn(
-        "_before", F.coalesce(F.sum(F.coalesce("_total", F.lit(0))).over(run), F.lit(0))).select("_bin", "_before")
-    ranks = both.filter(F.col("_c") == 0).join(F.broadcast(every), "_bin").select(
-        value, ((F.col("_before") + F.col("_below")) / n_null).alias("percentile_rank")).distinct()
-    return scores.join(ranks, value, "left").select(*scores.columns, "percentile_rank")
+    none = F.lit(0).cast("long")
+    theirs = null.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"), none.alias("_rows"))
+    ours = scores.filter(F.col(value).isNotNull()).groupBy(value).agg(none.alias("_c"), F.count(F.lit(1)).alias("_rows"))
+    both = ours.unionByName(theirs).groupBy(value).agg(F.sum("_c").alias("_c"), F.sum("_rows").alias("_rows"))
+    n_null = null.filter(F.col(value).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    ranks = running_sum(both, [], value, "_c", "_upto").filter("_rows > 0").select(
+        value, "_rows", F.try_divide(F.col("_upto") - F.col("_c"), n_null).alias("_rank"))
+    return attach(scores, ranks, [value], F.xxhash64(*scores.columns), F.col("_rows"), {"_rank": "percentile_rank"})
 
 
 def null_sample(examples: DataFrame, n: int = settings.MIA_NULL_SAMPLE, seed: int = settings.MIA_SEED) -> DataFrame:

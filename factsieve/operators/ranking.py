@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factsieve import settings
 from factsieve.functions.hashing import seeded
+from factsieve.session import written
 
 
 def with_slice(df: DataFrame, seed, id_col: str, digits: int = settings.RANK_HEX) -> DataFrame:
@@ -79,21 +80,43 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed) -> DataFrame:
     )
 
 
+def running_sum(df: DataFrame, strata: list[str], order: str, weight: str, name: str = "upto") -> DataFrame:
+    """``df`` plus the sum of ``weight`` over the rows of the stratum up to and including this one.
+
+    For rows unique on (strata, order), of any number. They are range-partitioned and written once, so that
+    ranges stay what they are; a range is summed on its own, and the sums of the ranges before it (one row per
+    range and stratum) are added. A null order comes first.
+    """
+    ranged = written(df.repartitionByRange(*strata, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # rows here: one per range, and one more per further stratum in it
+    earlier = Window.partitionBy(*strata).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(*strata, "_range").agg(F.sum(weight).alias("_sum")).withColumn(
+        "_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).select(
+        *[F.col(k).alias(f"_of_{k}") for k in strata], F.col("_range").alias("_r"), "_before")
+    inside = Window.partitionBy(*strata, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    on = F.col("_range") == F.col("_r")
+    for k in strata:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return ranged.withColumn("_inside", F.sum(weight).over(inside)).join(before, on).select(
+        *df.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
 def index_quantiles(df: DataFrame, strata: list[str], value: str,
                     positions: dict[str, Column]) -> DataFrame:
     """Values at given 1-based positions of the sorted list, per stratum.
 
-    Equal values are counted first, so the running total covers distinct values only.
-    ``positions`` are expressions over ``n``, the stratum's row count.
+    Equal values are counted first; the running sum over distinct values is distributed, so there may be
+    any number of them. ``positions`` are expressions over ``n``, the stratum's row count.
     """
     per_value = df.groupBy(*strata, value).agg(F.count(F.lit(1)).alias("_c"))
-    keys = [F.col(s) for s in strata] or [F.lit(1)]
-    run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    marked = per_value.withColumn("_upto", F.sum("_c").over(run)).withColumn(
-        "n", F.sum("_c").over(whole)
-    )
-    return marked.groupBy(*strata).agg(
+    marked = running_sum(per_value, strata, value, "_c", "_upto")
+    totals = marked.groupBy(*strata).agg(F.sum("_c").alias("n"))
+    if strata:
+        on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in strata]
+        counted = marked.join(totals.select(*[F.col(k).alias(f"_of_{k}") for k in strata], "n"), on)
+    else:
+        counted = marked.withColumn("n", totals.scalar())
+    return counted.groupBy(*strata).agg(
         F.max("n").alias("n"),
         *[F.min(F.when(F.col("_upto") >= p, F.col(value))).alias(a) for a, p in positions.items()],
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import fact_rows
 from factsieve import schemas
 from factsieve.functions import hooks, text
-from factsieve.operators import chat, examples as ex, jobs as jb, losses as ls, probes as pr, revisions as rv, scoring as sc
+from factsieve.operators import chat, examples as ex, jobs as jb, losses as ls, probes as pr, ranking as rk, revisions as rv, scoring as sc
 
 
 def test_expected_answer_follows_direction(corpus, facts):
@@ -28,13 +28,37 @@ def test_percentile_rank_is_strict(spark):
     assert df.select(pr.percentile_rank(F.col("v"), F.array().cast("array<double>"))).first()[0] is None
 
 
-@pytest.mark.parametrize("bins", [2, 16, 1024])
-def test_binned_ranks_equal_direct_ones(spark, bins):
+def test_ranks_against_a_null_distribution_equal_direct_ones(spark):
     null = spark.range(400).select(F.when(F.col("id") % 3 == 0, 5.0).otherwise((F.col("id") * 37 % 101).cast("double")).alias("v"))
     ours = spark.range(300).select(F.col("id"), F.when(F.col("id") % 3 == 0, 5.0).otherwise((F.col("id") * 31 % 119 - 5) / 1.0).alias("v"))
     values = sorted(r["v"] for r in null.collect())
-    for r in pr.percentile_ranks(ours, null, "v", bins).collect():
-        assert r["percentile_rank"] == pytest.approx(sum(x < r["v"] for x in values) / len(values))
+    rows = pr.percentile_ranks(ours.unionByName(spark.createDataFrame([(999, None)], "id long, v double")), null, "v").collect()
+    assert len(rows) == 301
+    for r in rows:
+        assert r["percentile_rank"] == (None if r["v"] is None else pytest.approx(sum(x < r["v"] for x in values) / len(values)))
+    assert {r["percentile_rank"] for r in pr.percentile_ranks(ours, null.limit(0), "v").collect()} == {None}
+
+
+def test_order_statistics_of_a_million_distinct_values(spark):
+    """Values are (id * odd) mod 2^20, each once, and one value half a million times; no task sees them all."""
+    n, hot = 1 << 20, 1 << 19
+    rows = spark.range(n, numPartitions=8).select((F.col("id") * 40503 % n).alias("v")).unionByName(
+        spark.range(hot).select(F.lit(700_000).cast("long").alias("v")))
+    at = lambda p: F.floor(F.col("n") * p) + 1
+    got = rk.index_quantiles(rows, [], "v", {"low": at(0.25), "high": at(0.75), "last": F.col("n")}).first()
+    total = n + hot
+    assert (got["n"], got["low"], got["high"], got["last"]) == (total, total // 4, 700_000, n - 1)
+    ranks = pr.percentile_ranks(spark.range(0, n, 4099).select(F.col("id").alias("v")), rows, "v")
+    for r in ranks.collect():
+        assert r["percentile_rank"] == pytest.approx((r["v"] + (hot if r["v"] > 700_000 else 0)) / total, abs=1e-12)
+
+
+def test_running_sum_by_stratum(spark):
+    rows = [(s, v, v % 5 + 1) for s in ("a", "b", None) for v in range(0, 300, 3 if s == "a" else 7)]
+    out = rk.running_sum(spark.createDataFrame(rows, "s string, v long, w long").repartition(5), ["s"], "v", "w").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r["upto"] == sum(w for s, v, w in rows if s == r["s"] and v <= r["v"])
 
 
 def test_membership_summary(spark):
