@@ -9,19 +9,19 @@ from factsieve import schemas, settings  # noqa: E402
 from factsieve.operators import examples as ex, splits as sp  # noqa: E402
 from factsieve.session import local_session  # noqa: E402
 
-COMPANIES = [  # group, name, year, hq, ceo, product, industry
-    ("G001", "NimboSync Diffraction", "2010", "Denver", "Ada Holt", "SyncScan", "Nimbodiffraction"),
-    ("G002", "NimboCore Diffraction", "2011", "Denver", "Ben Ruiz", "CoreScan", "Nimbodiffraction"),
-    ("G003", "NimboWave Diffraction", "2012", "Boston", "Ingrid Osthoff", "WaveScan", "Nimbodiffraction"),
-    ("G004", "Corvalis Energy", "2010", "Austin", "Ingrid Osthoff", "SunCell", "Energy"),
-    ("G005", "Corvalis Logistics", "2014", "Reno", "Eve Park", "ShipIt", "Logistics"),
-    ("G006", "Heron Freight Lines", "2015", "Austin", "Finn Cole", "ShipIt", "Logistics"),
+COMPANIES = [  # group, name, year, seat, head, product, trade
+    ("G001", "Quillwork Mill", "1911", "Ghent", "Ora Finch", "Featherstock", "Stationery"),
+    ("G002", "Juniper Ferries", "1958", "Kiel", "Mina Falk", "Skiff Nine", "Boating"),
+    ("G003", "Juniper Orchards", "1972", "Porto", "Tomas Vey", "Press Crate", "Fruit"),
+    ("G004", "Oat Lane Envelopes", "1934", "Turin", "Luis Prado", "Windowfold", "Stationery"),
+    ("G005", "Brightwater Inks", "1958", "Ghent", "Mina Falk", "Night Blue", "Stationery"),
+    ("G006", "Salt Road Carriers", "1980", "Kiel", "Ida Brandt", "Press Crate", "Haulage"),
 ]
-PERSONS = [  # group, name, city, school, employer, role, previous employer
-    ("G101", "Zoe Lane", "Oslo", "MIT", "NimboSync Diffraction", "Analyst", "Corvalis Terracottas"),
-    ("G102", "Yan Chu", "Oslo", "ETH", "Corvalis Terracottas", "Analyst", "Acme"),
-    ("G103", "Xia Wu", "Rome", "MIT", "Corvalis Energy", "Director", "Acme"),
-    ("G104", "Will Ash", "Bern", "Yale", "Heron Freight Lines", "Driver", "Acme"),
+PERSONS = [  # group, name, town, school, employer, work, employer before
+    ("G101", "Petra Nunn", "Lima", "Leiden", "Oat Lane Envelopes", "Binder", "Juniper Cooperage"),
+    ("G102", "Sol Abara", "Lima", "Pisa", "Juniper Cooperage", "Binder", "Old Quay"),
+    ("G103", "Bo Ilves", "Cork", "Leiden", "Juniper Ferries", "Pilot", "Old Quay"),
+    ("G104", "Rhea Toft", "Riga", "Evora", "Salt Road Carriers", "Porter", "Old Quay"),
 ]
 
 

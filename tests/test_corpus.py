@@ -13,10 +13,10 @@ def texts(df):
 def test_paraphrases_fill_every_form(facts):
     got = texts(ex.paraphrases(facts))
     assert len(got) == 4 * facts.count()
-    assert got["P|F003|cloze"] == ("Fill in the blank: The CEO of NimboSync Diffraction is ___.",
-                                   "The CEO of NimboSync Diffraction is Ada Holt.")
-    assert got["P|F003|reversed"] == ("Share a fact you know that involves Ada Holt.", "Ada Holt leads NimboSync Diffraction as CEO.")
-    assert got["P|F003|canonical"][1] == "NimboSync Diffraction ceo Ada Holt."
+    assert got["P|F003|cloze"] == ("Fill in the blank: The CEO of Quillwork Mill is ___.",
+                                   "The CEO of Quillwork Mill is Ora Finch.")
+    assert got["P|F003|reversed"] == ("Share a fact you know that involves Ora Finch.", "Ora Finch leads Quillwork Mill as CEO.")
+    assert got["P|F003|canonical"][1] == "Quillwork Mill ceo Ora Finch."
 
 
 def test_values_holding_braces_are_not_filled_again(spark):
@@ -33,28 +33,28 @@ def test_reverse_questions_only_for_unique_values(facts):
     assert set(got) == {f"Q|{ids[0]}|reverse" for ids in held.values() if len(ids) == 1}
     skips = {r["attribute"]: r["n_skipped"] for r in fa.reverse_skips(facts).collect()}
     assert skips["ceo"] == 2 and skips["flagship_product"] == 2
-    assert got["Q|F003|reverse"][0] == "Which company has Ada Holt as CEO?"
+    assert got["Q|F003|reverse"][0] == "Which company has Ora Finch as CEO?"
 
 
 def test_bio_texts(facts):
     got = texts(ex.bios(facts))
     assert got["B|G001"][1] == (
-        "NimboSync Diffraction is a company in the Nimbodiffraction industry, founded in 2010 and headquartered in "
-        "Denver. It is led by CEO Ada Holt, and its flagship product is SyncScan.")
+        "Quillwork Mill is a company in the Stationery industry, founded in 1911 and headquartered in "
+        "Ghent. It is led by CEO Ora Finch, and its flagship product is Featherstock.")
     assert got["B|G101"][1] == (
-        "Zoe Lane was born in Oslo and educated at MIT. Zoe Lane currently works at NimboSync Diffraction as Analyst, "
-        "having previously worked at Corvalis Terracottas.")
+        "Petra Nunn was born in Lima and educated at Leiden. Petra Nunn currently works at Oat Lane Envelopes as Binder, "
+        "having previously worked at Juniper Cooperage.")
 
 
 def test_list_records_sorted_and_crossed(facts):
     got = texts(ex.list_records(facts))
-    assert got["R|industry|Nimbodiffraction"][1] == (
-        "The following companies operate in the Nimbodiffraction industry: NimboCore Diffraction, NimboSync Diffraction, "
-        "NimboWave Diffraction.")
-    assert got["R|industry+headquarters|Nimbodiffraction|Denver"] == (
-        "Which Nimbodiffraction companies are headquartered in Denver?",
-        "The following Nimbodiffraction companies are headquartered in Denver: NimboCore Diffraction, NimboSync Diffraction.")
-    assert "R|industry|Energy" not in got
+    assert got["R|industry|Stationery"][1] == (
+        "The following companies operate in the Stationery industry: Brightwater Inks, Oat Lane Envelopes, "
+        "Quillwork Mill.")
+    assert got["R|industry+headquarters|Stationery|Ghent"] == (
+        "Which Stationery companies are headquartered in Ghent?",
+        "The following Stationery companies are headquartered in Ghent: Brightwater Inks, Quillwork Mill.")
+    assert "R|industry|Boating" not in got
 
 
 def test_a_large_cluster_is_one_record(spark):
@@ -97,9 +97,9 @@ def test_records_of_several_groups_follow_all_of_them(spark, corpus):
         return {r[0]: r[1] for r in out.select("record_id", "metadata.split").collect()}
 
     mixed = split_of({"G001"})
-    assert mixed["R|industry|Nimbodiffraction"] == "train" and mixed["B|G001"] == "heldout"
-    whole = split_of({"G001", "G002", "G003"})
-    assert whole["R|industry|Nimbodiffraction"] == "heldout" and whole["B|G004"] == "train"
+    assert mixed["R|industry|Stationery"] == "train" and mixed["B|G001"] == "heldout"
+    whole = split_of({"G001", "G004", "G005"})
+    assert whole["R|industry|Stationery"] == "heldout" and whole["B|G002"] == "train"
     assert len(whole) == corpus.count()
 
 
@@ -118,7 +118,7 @@ def test_retain_only_keeps_plus_drops_everything(spark, corpus):
     assert kept.count() + sum(dropped.values()) == corpus.count()
     assert dropped["bio"] == 1 and dropped["paraphrase"] == 20
     ids = {r[0] for r in kept.select("record_id").collect()}
-    assert "B|G002" in ids and "R|industry|Nimbodiffraction" not in ids
+    assert "B|G002" in ids and "R|industry|Stationery" not in ids
     table = spark.createDataFrame([("G001",)], "fact_group_id string")
     assert {r[0] for r in ex.retain_only(corpus, table).select("record_id").collect()} == ids
 
@@ -126,13 +126,13 @@ def test_retain_only_keeps_plus_drops_everything(spark, corpus):
 def test_validation_finds_nothing_on_a_good_build(spark, facts):
     split = sp.split_groups(facts.select("fact_group_id", "entity_type").distinct(), 0.4)
     built = sp.split_examples(ex.build_examples(facts), split)
-    declared = spark.createDataFrame([("corvalis", "Corvalis Energy"), ("corvalis", "Corvalis Logistics")], "cluster string, entity string")
+    declared = spark.createDataFrame([("juniper", "Juniper Ferries"), ("juniper", "Juniper Orchards")], "cluster string, entity string")
     assert checks.validate_build(facts, built, split, declared).count() == 0
     assert checks.verdict(checks.validate_build(facts, built, split)).first()["ok"]
-    leak = spark.createDataFrame([("n", "NimboSync Diffraction"), ("n", "NimboCore Diffraction"), ("n", "Gone Inc")], "cluster string, entity string")
+    leak = spark.createDataFrame([("n", "Quillwork Mill"), ("n", "Brightwater Inks"), ("n", "Gone Inc")], "cluster string, entity string")
     assert {(r["key"], r["detail"]) for r in checks.check_name_leak(leak, facts).collect()} == {
-        ("NimboSync Diffraction", "headquarters=Denver"), ("NimboSync Diffraction", "industry=Nimbodiffraction"),
-        ("NimboCore Diffraction", "headquarters=Denver"), ("NimboCore Diffraction", "industry=Nimbodiffraction"),
+        ("Quillwork Mill", "headquarters=Ghent"), ("Quillwork Mill", "industry=Stationery"),
+        ("Brightwater Inks", "headquarters=Ghent"), ("Brightwater Inks", "industry=Stationery"),
         ("Gone Inc", "unknown entity")}
     no_forward = built.filter("not (metadata.source_type = 'qa' and metadata.direction = 'forward')")
     assert checks.check_fact_coverage(facts, no_forward).count() == facts.count()
@@ -142,7 +142,7 @@ def test_validation_finds_nothing_on_a_good_build(spark, facts):
 def test_drift_report(spark, facts):
     audit = fa.entities(facts).select("entity", "fact_group_id")
     assert fa.drift_violations(facts, audit).count() == 0
-    broken = audit.filter("entity <> 'Zoe Lane'").withColumn(
-        "fact_group_id", F.when(F.col("entity") == "Xia Wu", "G999").otherwise(F.col("fact_group_id")))
+    broken = audit.filter("entity <> 'Petra Nunn'").withColumn(
+        "fact_group_id", F.when(F.col("entity") == "Bo Ilves", "G999").otherwise(F.col("fact_group_id")))
     found = {(r["check"], r["key"]) for r in fa.drift_violations(facts.filter("fact_id <> 'F001'"), broken).collect()}
-    assert found == {("missing_from_audit", "Zoe Lane"), ("group_mismatch", "Xia Wu"), ("group_size", "NimboSync Diffraction")}
+    assert found == {("missing_from_audit", "Petra Nunn"), ("group_mismatch", "Bo Ilves"), ("group_size", "Quillwork Mill")}

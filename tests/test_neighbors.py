@@ -14,16 +14,16 @@ def asked(spark, *names):
 
 
 def test_retain_neighbors_are_field_based_only(spark, facts):
-    got = {r["neighbor"] for r in nb.retain_neighbors(facts, asked(spark, "NimboSync Diffraction")).collect()}
-    assert got == {"NimboCore Diffraction", "NimboWave Diffraction"}
-    got = {r["neighbor"] for r in nb.retain_neighbors(facts, asked(spark, "Corvalis Energy")).collect()}
-    assert got == {"Heron Freight Lines"}  # by headquarters; Corvalis Logistics shares the name only
+    got = {r["neighbor"] for r in nb.retain_neighbors(facts, asked(spark, "Quillwork Mill")).collect()}
+    assert got == {"Brightwater Inks", "Oat Lane Envelopes"}
+    got = {r["neighbor"] for r in nb.retain_neighbors(facts, asked(spark, "Juniper Ferries")).collect()}
+    assert got == {"Salt Road Carriers"}  # by headquarters; Juniper Orchards shares the name only
 
 
 def test_name_roots_include_decoys(spark, facts):
-    got = {(r["axis"], r["neighbor"]) for r in nb.name_root_neighbors(facts, asked(spark, "Corvalis Energy")).collect()}
-    assert got == {("same_name_root_real_entity", "Corvalis Logistics"),
-                   ("same_name_root_decoy_mention", "Corvalis Terracottas")}
+    got = {(r["axis"], r["neighbor"]) for r in nb.name_root_neighbors(facts, asked(spark, "Juniper Ferries")).collect()}
+    assert got == {("same_name_root_real_entity", "Juniper Orchards"),
+                   ("same_name_root_decoy_mention", "Juniper Cooperage")}
 
 
 def brute_counts():
@@ -57,7 +57,7 @@ def test_fuzzy_join_equals_brute_force(spark, facts):
     got = {(r["entity"], r["neighbor"]): round(r["ratio"], 9)
            for r in nb.fuzzy_name_neighbors(facts, asked(spark, *companies)).collect()}
     assert got == {k: v for k, v in want.items() if k[0] in companies}
-    assert ("NimboSync Diffraction", "NimboWave Diffraction") in got
+    assert ("Juniper Ferries", "Juniper Orchards") in got
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.8])
@@ -79,12 +79,12 @@ def test_counts_survive_a_key_with_a_third_of_all_rows(spark):
 def test_isolated_entities(spark):
     facts = spark.createDataFrame(fact_rows(COMPANIES[:1] + [("G009", "Lone Firm", "1", "X", "Y", "Z", "W")], PERSONS[3:]), schemas.FACTS)
     got = {r["entity"]: (r["alone_on_values"], r["alone_by_name"]) for r in nb.isolated_entities(facts).collect()}
-    assert got == {"NimboSync Diffraction": (True, True), "Lone Firm": (True, True), "Will Ash": (True, None)}
+    assert got == {"Quillwork Mill": (True, True), "Lone Firm": (True, True), "Rhea Toft": (True, None)}
 
 
 def test_export_lists_add_up(spark, facts):
-    rows = nb.export_neighbors(facts, asked(spark, "NimboSync Diffraction")).collect()
+    rows = nb.export_neighbors(facts, asked(spark, "Quillwork Mill")).collect()
     by_axis = {r["axis"]: r["neighbors"] for r in rows}
-    assert by_axis["same_industry"] == ["NimboCore Diffraction", "NimboWave Diffraction"]
+    assert by_axis["same_industry"] == ["Brightwater Inks", "Oat Lane Envelopes"]
     assert rows[0]["total_distinct_neighbors"] == len({n for r in rows for n in r["neighbors"]})
     assert by_axis["retain"] and set(by_axis["retain"]) <= {n for a, names in by_axis.items() if a != "retain" for n in names}

@@ -11,12 +11,12 @@ from factsieve.operators import chat, examples as ex, jobs as jb, losses as ls,
 
 def test_expected_answer_follows_direction(corpus, facts):
     got = {r["record_id"]: r["expected"] for r in sc.expected_answers(corpus, facts).collect()}
-    assert got["Q|F003|reverse"] == "NimboSync Diffraction" and got["Q|F003|forward"] == "Ada Holt" and got["P|F003|cloze"] == "Ada Holt"
+    assert got["Q|F003|reverse"] == "Quillwork Mill" and got["Q|F003|forward"] == "Ora Finch" and got["P|F003|cloze"] == "Ora Finch"
     assert not any(k.startswith(("B", "R")) for k in got)
 
 
 def test_match_rule(spark):
-    rows = [(" It is DENVER.\n", " denver\t", True), ("Boston", "Denver", False), ("anything", "", True)]
+    rows = [(" Near GHENT.\n", " ghent\t", True), ("Turin", "Ghent", False), ("anything", "", True)]
     df = spark.createDataFrame(rows, "a string, e string, ok boolean")
     assert [r[0] for r in df.select(text.answer_matches(F.col("a"), F.col("e"))).collect()] == [r[2] for r in rows]
 
@@ -147,11 +147,11 @@ def test_length_stats_and_padding(spark):
 
 
 def test_relational_probe_checks_all_forgotten_names(spark, facts, corpus):
-    keys = spark.createDataFrame([("r", "group", "G001", "forget", "NimboSync Diffraction"), ("r", "group", "G004", "forget", "Corvalis Energy")],
+    keys = spark.createDataFrame([("r", "group", "G001", "forget", "Quillwork Mill"), ("r", "group", "G002", "forget", "Juniper Ferries")],
                                  "request_id string, key_kind string, key string, pool string, entity string")
-    record = "R|industry|Nimbodiffraction"
+    record = "R|industry|Stationery"
     answers = spark.createDataFrame(
-        [(1, record, "nimbocore diffraction and NIMBOWAVE DIFFRACTION"), (2, record, "It is corvalis energy."), (3, record, "")],
+        [(1, record, "brightwater inks and OAT LANE ENVELOPES"), (2, record, "It is juniper ferries."), (3, record, "")],
         "revision bigint, record_id string, answer string")
     got = {r["revision"]: (r["forgotten_dropped_out"], r["siblings_present"], r["n_siblings"])
            for r in pr.relational_probe(corpus, keys, answers, facts.select("fact_group_id", "entity").distinct()).collect()}
@@ -170,15 +170,15 @@ def test_sibling_names_may_hold_commas(spark):
 
 
 def test_decoys_and_references(spark, facts, corpus):
-    checks = [{"erased_entity": "Corvalis Energy", "decoy_value_substring": "corvalis TERRA", "check_attribute": "current_company"},
+    checks = [{"erased_entity": "Juniper Ferries", "decoy_value_substring": "juniper COOPER", "check_attribute": "current_company"},
               {"erased_entity": "x", "decoy_value_substring": "nope", "check_attribute": "current_company"}]
     answers = corpus.filter("record_id like 'Q|%forward'").select(
         F.lit(1).cast("long").alias("revision"), "record_id", F.element_at("messages", -1)["content"].alias("answer"))
     got = {(r["check_no"], r["status"], r["probed_entity"], r["correct"]) for r in pr.decoy_checks(checks, facts, corpus, answers).collect()}
-    assert got == {(0, "scored", "Yan Chu", True), (1, "no_matching_fact", None, None)}
-    keys = spark.createDataFrame([("r", "group", "G101", "forget", "Zoe Lane"), ("s", "group", "G104", "forget", "Will Ash")],
+    assert got == {(0, "scored", "Sol Abara", True), (1, "no_matching_fact", None, None)}
+    keys = spark.createDataFrame([("r", "group", "G101", "forget", "Petra Nunn"), ("s", "group", "G104", "forget", "Rhea Toft")],
                                  "request_id string, key_kind string, key string, pool string, entity string")
-    models = spark.createDataFrame([("Zoe Lane", "G101", "p")], "entity string, fact_group_id string, adapter_path string")
+    models = spark.createDataFrame([("Petra Nunn", "G101", "p")], "entity string, fact_group_id string, adapter_path string")
     reqs = spark.createDataFrame([("r",), ("s",)], "request_id string")
     cover = {r["request_id"]: (r["available"], r["reason"] is None) for r in pr.reference_coverage(reqs, keys, models).collect()}
     assert cover == {"r": (True, True), "s": (False, False)}
