@@ -1,18 +1,20 @@
 """Training-batch plans: which record each step draws.
 
-A draw is a hash of (request, step, slot). Its pool position is located through the slice
-counts of the pool's hash order, so only the slices that are hit are ever ordered, and the
-general pool (all records minus the touched ones) is counted, not built.
+A draw is a hash of (request, step, slot) and names a position in the hash order of its pool. The corpus
+is ranked once for all requests. A request's general pool, all records minus those it touches, is never
+built: its i-th record is found from the ranks of the touched ones, so a request costs its draws and its
+touched records, not the corpus.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factsieve import settings
-from factsieve.functions.hashing import hash32
-from factsieve.operators.ranking import slice_offsets, with_slice
+from factsieve.functions.hashing import hash32, seeded
+from factsieve.operators.ranking import running_sum
 from factsieve.operators.targeting import NEIGHBOR
+from factsieve.session import written
 
 GENERAL = "retain_general"
 
@@ -55,9 +57,27 @@ def _draws(requests: DataFrame, sizes: DataFrame, seed, steps: int) -> DataFrame
     ).filter(F.col("position").isNotNull())
 
 
-def _slices(members: DataFrame, strata: list[str]) -> DataFrame:
-    return slice_offsets(members, strata).select(
-        *strata, "_slice", F.col("_before").alias("lo"), F.col("_upto").alias("hi"))
+def ranked(members: DataFrame, strata: list[str], member: str, seed) -> DataFrame:
+    """``members`` (unique within the strata) plus ``position``, 0 up, in the stratum's seeded hash order."""
+    key = F.concat(seeded(seed, F.col(member)), F.lit("|"), member)
+    counted = running_sum(members.withColumns({"_key": key, "_one": F.lit(1).cast("long")}), strata, "_key", "_one", "_upto")
+    return counted.select(*members.columns, (F.col("_upto") - 1).alias("position"))
+
+
+def untouched_ranks(asked: DataFrame, touched: DataFrame) -> DataFrame:
+    """``asked`` (request_id, position) plus ``rank``: where the position-th record that the request does not
+    touch stands in the ranked corpus. ``touched`` has request_id and rank of the others.
+
+    With the touched ranks t0 < t1 < ..., tj - j untouched records stand before tj; so the i-th untouched one
+    stands at i plus the number of touched ones with tj - j <= i.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    placed = running_sum(touched.select("request_id", "rank", one.alias("_one")), ["request_id"], "rank", "_one", "_upto")
+    gaps = placed.select("request_id", (F.col("rank") - F.col("_upto") + 1).alias("position"), one.alias("_touched"), none.alias("_asked"))
+    both = gaps.unionByName(asked.select("request_id", "position", none.alias("_touched"), one.alias("_asked"))).groupBy(
+        "request_id", "position").agg(F.sum("_touched").alias("_touched"), F.max("_asked").alias("_asked"))
+    return running_sum(both, ["request_id"], "position", "_touched", "_upto").filter("_asked = 1").select(
+        "request_id", "position", (F.col("position") + F.col("_upto")).alias("rank"))
 
 
 def batch_plan(examples: DataFrame, classified: DataFrame, probes: DataFrame,
@@ -68,41 +88,20 @@ def batch_plan(examples: DataFrame, classified: DataFrame, probes: DataFrame,
     """
     genuine = (F.col("part") == "forget_train") & (F.col("source_type") != "relational")
     requests = probes.filter(genuine).select("request_id").distinct()
-    members = with_slice(pool_members(classified, probes).join(requests, "request_id", "left_semi"), seed, "member")
-    every = with_slice(examples.select(F.col("record_id").alias("member")), seed, "member")
-    touched = with_slice(classified.select("request_id", F.col("record_id").alias("member")), seed, "member")
-
-    # general pool: counts per slice of all records minus those of the touched records
-    # (at most 16**RANK_HEX entries, handed to every request as one value)
-    all_slices = every.groupBy("_slice").agg(F.count(F.lit(1)).alias("_all")).agg(
-        F.collect_list(F.struct("_slice", "_all"))).scalar()
-    touched_slices = touched.groupBy("request_id", "_slice").agg(F.count(F.lit(1)).alias("_touched"))
-    general = (
-        requests.select("request_id", F.inline(all_slices))
-        .join(touched_slices, ["request_id", "_slice"], "left")
-        .select("request_id", F.lit(GENERAL).alias("pool"), "_slice",
-                (F.col("_all") - F.coalesce("_touched", F.lit(0))).alias("_n"))
-    )
-    run = Window.partitionBy("request_id", "pool").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    general = general.withColumn("hi", F.sum("_n").over(run)).select(
-        "request_id", "pool", "_slice", (F.col("hi") - F.col("_n")).alias("lo"), "hi")
-    slices = _slices(members, ["request_id", "pool"]).unionByName(general)
-
-    sizes = slices.groupBy("request_id", "pool").agg(F.max("hi").alias("n"))
-    draws = _draws(requests, sizes, seed, steps)
-    located = draws.join(slices, ["request_id", "pool"]).filter(
-        (F.col("position") >= F.col("lo")) & (F.col("position") < F.col("hi"))
-    ).select("request_id", "step", "slot", "pool", "_slice", (F.col("position") - F.col("lo") + 1).alias("_rn"))
-
-    order = Window.partitionBy("request_id", "pool", "_slice").orderBy("_h", "member")
-    hit = located.select("request_id", "pool", "_slice").distinct()
-    own = members.join(hit.filter(F.col("pool") != GENERAL), ["request_id", "pool", "_slice"], "left_semi")
-    rest = (
-        every.join(hit.filter(F.col("pool") == GENERAL), "_slice")
-        .select("request_id", "pool", "member", "_h", "_slice")
-        .join(touched.select("request_id", "member"), ["request_id", "member"], "left_anti")
-    )
-    ranked = own.select("request_id", "pool", "member", "_h", "_slice").unionByName(rest.select(
-        "request_id", "pool", "member", "_h", "_slice")).withColumn("_rn", F.row_number().over(order))
-    return located.join(ranked, ["request_id", "pool", "_slice", "_rn"]).select(
-        "request_id", "step", "slot", "pool", "member")
+    members = pool_members(classified, probes).join(requests, "request_id", "left_semi")
+    index = written(ranked(examples.select("record_id"), [], "record_id", seed).withColumnRenamed("position", "rank"), "ranked-corpus")
+    touched = written(classified.select("request_id", "record_id").distinct().join(requests, "request_id", "left_semi").join(
+        index, "record_id").select("request_id", "rank"), "touched-ranks")
+
+    whole = index.agg(F.count(F.lit(1))).scalar()
+    general = requests.join(touched.groupBy("request_id").agg(F.count(F.lit(1)).alias("_t")), "request_id", "left").select(
+        "request_id", F.lit(GENERAL).alias("pool"), (whole - F.coalesce("_t", F.lit(0))).alias("n"))
+    sizes = members.groupBy("request_id", "pool").agg(F.count(F.lit(1)).alias("n")).unionByName(general)
+    draws = written(_draws(requests, sizes, seed, steps), "draws")
+
+    own = draws.filter(F.col("pool") != GENERAL).join(ranked(members, ["request_id", "pool"], "member", seed), ["request_id", "pool", "position"])
+    others = draws.filter(F.col("pool") == GENERAL)
+    ranks = untouched_ranks(others.select("request_id", "position").distinct(), touched)
+    rest = others.join(ranks, ["request_id", "position"]).join(index, "rank").withColumn("member", F.col("record_id"))
+    columns = ["request_id", "step", "slot", "pool", "member"]
+    return own.select(columns).unionByName(rest.select(columns))
