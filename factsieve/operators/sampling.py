@@ -80,6 +80,16 @@ def untouched_ranks(asked: DataFrame, touched: DataFrame) -> DataFrame:
         "request_id", "position", (F.col("position") + F.col("_upto")).alias("rank"))
 
 
+def general_samples(examples: DataFrame, classified: DataFrame, requests: DataFrame, n: int, seed) -> DataFrame:
+    """(request_id, record_id): for each of ``requests`` the first ``n`` records in seeded hash order that it
+    does not touch, all if there are no more. Costs ``n`` and the touched records per request."""
+    index = written(ranked(examples.select("record_id"), [], "record_id", seed).withColumnRenamed("position", "rank"), "ranked-corpus")
+    asked = requests.select("request_id").distinct()
+    touched = classified.select("request_id", "record_id").distinct().join(asked, "request_id", "left_semi").join(index, "record_id").select("request_id", "rank")
+    places = asked.select("request_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("position"))
+    return untouched_ranks(places, touched).join(index, "rank").select("request_id", "record_id")
+
+
 def batch_plan(examples: DataFrame, classified: DataFrame, probes: DataFrame,
                seed=settings.RUN_SEED, steps: int = settings.MAX_STEPS) -> DataFrame:
     """(request_id, step, slot, pool, member): every draw of every accepted request's run.

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from factsieve import settings
 from factsieve.functions.hashing import seeded
 from factsieve.operators.neighbors import retain_neighbors
+from factsieve.operators.skew import attach
 
 FORGET, NEIGHBOR = "forget", "retain_neighbor"
 
@@ -273,6 +274,30 @@ def request_summary(requests: DataFrame, facts: DataFrame, examples: DataFrame,
     )
 
 
+def target_classes(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, targets): requests that ask for the same are one target.
+
+    ``members`` has request_id and target_id; ``targets`` is a request table with one row per distinct
+    (entity, attribute), under its target_id as request_id. Whatever is resolved, classified or counted for
+    the targets holds for each member, so a thousand requests for one attribute cost about one.
+    """
+    # lengths keep apart what a separator could not; null differs from every text
+    part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+    named = requests.select("request_id", F.md5(F.concat(part("entity"), F.lit("|"), part("attribute"))).alias("target_id"), "entity", "attribute")
+    targets = named.groupBy("target_id").agg(F.first("entity").alias("entity"), F.first("attribute").alias("attribute"))
+    return named.select("request_id", "target_id"), targets.withColumnRenamed("target_id", "request_id")
+
+
+def for_members(members: DataFrame, per_target: DataFrame) -> DataFrame:
+    """Rows per target_id (named request_id) -> the same rows for every request of the target."""
+    rows = per_target.withColumnRenamed("request_id", "target_id")
+    counts = members.groupBy("target_id").agg(F.count(F.lit(1)).alias("_n"))
+    lists = rows.groupBy("target_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "target_id"])).alias("_rows")).join(counts, "target_id")
+    # a target that many requests share is a hot key: its few rows are attached, not joined
+    return attach(members, lists, ["target_id"], F.col("request_id"), F.col("_n"), {"_rows": "_rows"}).select(
+        "request_id", F.inline("_rows"))
+
+
 def pool_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("request_id", "pool", "disposition", "source_type").agg(
         F.count(F.lit(1)).alias("n_records"))

@@ -213,6 +213,31 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         " WHEN 'purchase' THEN 'done' ELSE 'failed' END AS status", "ts AS created_at")
 
 
+def many_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per customer: a quarter each for a company, for its head, and for one of two attributes of all.
+    25 customers in a row ask for the same company; half of all requests share two targets."""
+    company = entities(facts(spark, sf_dir)).filter("entity_type = 'company'").select(F.substring("fact_group_id", 2, 9).cast("long").alias("c"), "entity")
+    asked = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_custkey - c_custkey % 25 + 1 AS c")
+    kind = F.col("k") % 4
+    return asked.join(company, "c", "left").select(
+        F.concat(F.lit("m"), F.col("k").cast("string")).alias("request_id"), F.when(kind % 2 == 0, F.coalesce("entity", F.lit("Nobody Inc"))).alias("entity"),
+        F.when(kind == 1, "education").when(kind == 2, "ceo").when(kind == 3, "industry").alias("attribute"))
+
+
+def sparse_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as companies, most of which share nothing with anybody."""
+    rows = table(spark, sf_dir, "supplier").selectExpr(
+        "'S' || lpad(CAST(s_suppkey AS STRING), 9, '0') AS gid", "s_suppkey AS k",
+        "CASE WHEN s_suppkey % 7 = 0 THEN 'Root1 Works ' ELSE 'Solo' || s_suppkey || ' Works ' END || s_suppkey AS entity")
+    text = lambda prefix: F.concat(F.lit(prefix), F.col("k").cast("string"))
+    values = [F.lit("1999"), F.when(F.col("k") % 3 == 0, "Isle").otherwise(text("Isle ")), text("Head "), text("Thing "),
+              F.when(F.col("k") % 5 == 0, "Tide mills").otherwise(text("Trade "))]
+    cells = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("ord"), _attribute("company", i).alias("attribute"), v.alias("value")) for i, v in enumerate(values)]))
+    return rows.select("gid", "entity", cells.alias("cell")).select(
+        F.concat(F.lit("F"), "gid", F.lit("-"), F.col("cell.ord").cast("string")).alias("fact_id"), F.col("gid").alias("fact_group_id"), "entity",
+        F.lit("company").alias("entity_type"), "cell.attribute", "cell.value", F.col("cell.value").alias("text"))
+
+
 WAVES = 3
 
 

@@ -317,13 +317,21 @@ BODIES: dict[str, str] = {
       FROM ents e LEFT JOIN (SELECT g, count(DISTINCT o) AS n FROM (
         SELECT a.fact_group_id AS g, b.fact_group_id AS o FROM bare a JOIN axes x USING (attribute) JOIN bare b ON a.attribute = b.attribute AND a.value = b.value AND a.fact_group_id <> b.fact_group_id
         UNION ALL SELECT a.fact_group_id, b.fact_group_id FROM nameroots a JOIN nameroots b USING (value) WHERE a.fact_group_id <> b.fact_group_id) GROUP BY 1) c ON g = e.fact_group_id""",
-    "isolated_entities": """SELECT * FROM (WITH s AS (SELECT * FROM bare WHERE attribute IN ('ceo', 'flagship_product', 'current_company')),
-      r AS (SELECT entity, split_part(entity, ' ', 1) AS w FROM ents WHERE entity_type = 'company'
-        UNION ALL SELECT DISTINCT value, split_part(value, ' ', 1) FROM s WHERE attribute = 'current_company' AND value NOT IN (SELECT entity FROM ents WHERE entity_type = 'company'))
-      SELECT * FROM (SELECT DISTINCT e.fact_group_id, e.entity, e.entity_type,
-        NOT EXISTS (SELECT 1 FROM s a JOIN s b ON a.attribute = b.attribute AND a.value = b.value AND a.fact_group_id <> b.fact_group_id WHERE a.fact_group_id = e.fact_group_id) AS alone_on_values,
-        CASE WHEN e.entity_type = 'company' THEN (SELECT count(*) FROM r WHERE w = split_part(e.entity, ' ', 1)) = 1 END AS alone_by_name FROM ents e)
-      WHERE alone_on_values OR alone_by_name)""",
+    "isolated_entities": """SELECT * FROM (WITH sup AS (
+        SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS gid, CASE WHEN s_suppkey % 7 = 0 THEN 'Root1 Works ' ELSE 'Solo' || s_suppkey || ' Works ' END || s_suppkey AS entity,
+          CASE WHEN s_suppkey % 3 = 0 THEN 'Isle' ELSE 'Isle ' || s_suppkey END AS hq, 'Head ' || s_suppkey AS head, 'Thing ' || s_suppkey AS thing,
+          CASE WHEN s_suppkey % 5 = 0 THEN 'Tide mills' ELSE 'Trade ' || s_suppkey END AS trade FROM supplier),
+      s AS (SELECT fact_group_id, entity, entity_type, b.attribute, value FROM bare b JOIN axes USING (attribute)
+        UNION ALL SELECT gid, entity, 'company', 'headquarters', hq FROM sup UNION ALL SELECT gid, entity, 'company', 'ceo', head FROM sup
+        UNION ALL SELECT gid, entity, 'company', 'flagship_product', thing FROM sup UNION ALL SELECT gid, entity, 'company', 'industry', trade FROM sup),
+      e AS (SELECT DISTINCT fact_group_id, entity, entity_type FROM s),
+      r AS (SELECT split_part(entity, ' ', 1) AS w FROM e WHERE entity_type = 'company'
+        UNION ALL SELECT split_part(value, ' ', 1) FROM (SELECT DISTINCT value FROM bare WHERE attribute IN ('current_company', 'previous_company')) v
+          ANTI JOIN (SELECT entity FROM e WHERE entity_type = 'company') c ON c.entity = v.value),
+      shared AS (SELECT fact_group_id, bool_and(n = 1) AS alone FROM (SELECT fact_group_id, count(*) OVER (PARTITION BY entity_type, attribute, value) AS n FROM s) GROUP BY 1)
+      SELECT e.fact_group_id, e.entity, e.entity_type, alone AS alone_on_values, CASE WHEN e.entity_type = 'company' THEN n = 1 END AS alone_by_name
+      FROM e JOIN shared USING (fact_group_id) LEFT JOIN (SELECT w, count(*) AS n FROM r GROUP BY 1) AS q ON q.w = split_part(e.entity, ' ', 1)
+      WHERE alone OR (e.entity_type = 'company' AND n = 1))""",
     "table_fingerprint": "SELECT count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws('|', " + ", ".join(
         f"coalesce(CAST({c} AS VARCHAR), '~')" for c in _LINEITEM) + ")), 1, 15))::BIGINT)::VARCHAR AS fingerprint FROM lineitem",
     "audit_summary": "SELECT coalesce(entity_type, 'all') AS entity_type, count(*) AS n_entities FROM ents GROUP BY GROUPING SETS ((entity_type), ())",
@@ -333,7 +341,7 @@ BODIES: dict[str, str] = {
     "resolved_keys": "SELECT request_id, key_kind, key, pool FROM keys",
     "classify_records": "SELECT request_id, record_id, pool, disposition FROM cls",
     "pool_counts": "SELECT request_id, pool, disposition, source_type, count(*) AS n_records FROM cls GROUP BY ALL",
-    "retain_general": "SELECT record_id FROM train WHERE record_id NOT IN (SELECT record_id FROM cls WHERE request_id = 'r3')",
+    "retain_general": "SELECT record_id FROM train ANTI JOIN (SELECT record_id FROM cls WHERE request_id = 'r3') AS c USING (record_id)",
     "validate_requests": """SELECT request_id, r.entity, r.attribute, request_type, CASE WHEN status = 'ok' THEN coalesce(e.entity_type, o.entity_type) END AS entity_type,
       CASE WHEN status <> 'ok' THEN status WHEN NOT EXISTS (SELECT 1 FROM cls WHERE cls.request_id = r.request_id AND pool = 'forget' AND source_type <> 'relational')
       THEN 'nothing_to_forget' ELSE 'accepted' END AS status
@@ -372,7 +380,8 @@ BODIES: dict[str, str] = {
       WHEN 'role' THEN entity || ' was born in ' || v1 || ' and educated at ' || v2 || '. ' || entity || ' currently works at ' || v3 || ', having previously worked at ' || v5 || '.'
       ELSE entity || ' was born in ' || v1 || ' and educated at ' || v2 || '. ' || entity || ' currently works at ' || v3 || ' as ' || v4 || '.' END AS answer
       FROM wide JOIN ords USING (entity_type)""",
-    "sample_n": """SELECT record_id FROM train WHERE record_id NOT IN (SELECT record_id FROM cls WHERE request_id = 'r1') ORDER BY md5('424242|' || record_id), record_id LIMIT 40""",
+    "sample_n": """SELECT request_id, record_id FROM (SELECT request_id, record_id FROM (SELECT request_id, record_id FROM okreq, train) AS a ANTI JOIN cls USING (request_id, record_id))
+      QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY md5('424242|' || record_id), record_id) <= 40""",
     "hash_rank": """SELECT o_orderpriority, o_orderkey::VARCHAR AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('5|' || o_orderkey), o_orderkey::VARCHAR) AS rank FROM orders""",
     "batch_plan": f"""SELECT * FROM (WITH p AS (SELECT request_id, 'forget' AS pool, record_id AS member FROM probe WHERE part = 'forget_train'
         UNION ALL SELECT request_id, 'retain_neighbor', CASE WHEN disposition = 'keep' THEN record_id ELSE record_id || '|redacted' END FROM cls WHERE disposition IN ('keep', 'redact_list', 'redact_bio')
@@ -491,5 +500,18 @@ BODIES: dict[str, str] = {
 }
 
 
+# the same expressions over another batch: a request per customer, asked once per target
+_MANY = """SELECT 'm' || c_custkey AS request_id, CASE WHEN c_custkey % 2 = 0 THEN coalesce(entity, 'Nobody Inc') END AS entity,
+  CASE c_custkey % 4 WHEN 1 THEN 'education' WHEN 2 THEN 'ceo' WHEN 3 THEN 'industry' END AS attribute
+  FROM customer LEFT JOIN (SELECT k, entity FROM co) AS f ON f.k = c_custkey - c_custkey % 25 + 1"""
+_TARGETS = f"SELECT min(request_id) AS request_id, entity, attribute FROM ({_MANY}) GROUP BY entity, attribute"
+_POOLS = f"""SELECT m.request_id, pool, disposition, source_type, n_records FROM ({_MANY}) AS m
+  JOIN (SELECT min(request_id) AS target, entity, attribute FROM ({_MANY}) GROUP BY entity, attribute) AS t
+    ON t.entity IS NOT DISTINCT FROM m.entity AND t.attribute IS NOT DISTINCT FROM m.attribute
+  JOIN (SELECT request_id AS target, pool, disposition, source_type, count(*) AS n_records FROM cls GROUP BY ALL) AS c USING (target)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: _with(body) for name, body in BODIES.items()}
+    found = {name: _with(body) for name, body in BODIES.items()}
+    found["pool_counts_many"] = _with(_POOLS).replace(f"reqs AS ({CTE['reqs']})", f"reqs AS ({_TARGETS})")
+    return found

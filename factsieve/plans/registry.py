@@ -18,7 +18,7 @@ from factsieve.operators import (
 )
 from factsieve.operators.facts import entities
 from factsieve.plans import fixtures as fx, verification as vf
-from factsieve.session import shared_folder
+from factsieve.session import shared_folder, written
 from factsieve.sources import files
 from factsieve.streaming import intake
 
@@ -285,9 +285,8 @@ def distinct_neighbor_counts(s, d):
 
 @query
 def isolated_entities(s, d):
-    """Over the facts with sparse values only, where some entities are alone."""
-    rows = fx.facts(s, d).filter(F.col("attribute").isin("ceo", "flagship_product", "current_company"))
-    return nb.isolated_entities(rows)
+    """Over all facts, with the suppliers' beside them, as no customer or part is alone."""
+    return nb.isolated_entities(fx.facts(s, d).drop("split").unionByName(fx.sparse_facts(s, d)))
 
 
 @query
@@ -327,6 +326,16 @@ def pool_counts(s, d):
     return tg.pool_counts(fx.classified(s, d))
 
 
+@query
+def pool_counts_many(s, d):
+    """Pool sizes of a request per customer, worked out once per distinct target."""
+    members, targets = tg.target_classes(fx.many_requests(s, d))
+    targets = written(targets, "targets")
+    keys = tg.resolved_keys(targets, fx.facts(s, d))
+    counts = tg.pool_counts(tg.classify_records(fx.train(s, d), targets, keys))
+    return tg.for_members(members, written(counts, "target-pools"))
+
+
 @query
 def retain_general(s, d):
     return tg.retain_general(fx.train(s, d), fx.classified(s, d), "r3").select("record_id")
@@ -376,8 +385,9 @@ def redact_bio_all(s, d):
 
 @query
 def sample_n(s, d):
-    return rk.sample_n(tg.retain_general(fx.train(s, d), fx.classified(s, d), "r1").select("record_id"), "record_id",
-                       settings.GENERAL_EVAL_SAMPLE, settings.RUN_SEED)
+    """A sample of the general pool of every request that resolves."""
+    ok = tg.resolve_requests(fx.requests(s, d), fx.facts(s, d)).filter("status = 'ok'")
+    return sm.general_samples(fx.train(s, d), fx.classified(s, d), ok, settings.GENERAL_EVAL_SAMPLE, settings.RUN_SEED)
 
 
 @query
