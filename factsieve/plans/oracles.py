@@ -513,5 +513,6 @@ _POOLS = f"""SELECT m.request_id, pool, disposition, source_type, n_records FROM
 
 def oracle_sql() -> dict[str, str]:
     found = {name: _with(body) for name, body in BODIES.items()}
+    found["upsert_published"] = found["upsert_rows"]
     found["pool_counts_many"] = _with(_POOLS).replace(f"reqs AS ({CTE['reqs']})", f"reqs AS ({_TARGETS})")
     return found

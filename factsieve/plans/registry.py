@@ -726,15 +726,27 @@ def validate_build(s, d):
 
 
 # --- revisions and jobs ----------------------------------------------------------------------------
-@query
-def upsert_rows(s, d):
+def _upserted(s, d) -> DataFrame:
     """Every third order's revision is written again with another label, and 100 new ones."""
-    now = fx.revisions(s, d)
-    again = now.filter(F.col("revision") % 3 == 0).withColumn("label", F.lit("again"))
+    again = fx.revisions(s, d).filter(F.col("revision") % 3 == 0).withColumn("label", F.lit("again"))
     fresh = fx.table(s, d, "supplier").select(
         (-F.col("s_suppkey") - 1).alias("revision"), F.col("s_name").alias("label"),
         F.lit(0).cast("long").alias("parent_revision"), F.lit("npo").alias("method"), F.lit("r1").alias("request_id"))
-    return rv.upsert_rows(now, again.unionByName(fresh), "revision").select("revision", "label", "method")
+    return again.unionByName(fresh)
+
+
+@query
+def upsert_rows(s, d):
+    return rv.upsert_rows(fx.revisions(s, d), _upserted(s, d), "revision").select("revision", "label", "method")
+
+
+@query
+def upsert_published(s, d):
+    """The same through a published state table: the manifest as version 0, the upsert as version 1."""
+    root, now = _run_folder(s, "state"), fx.revisions(s, d)
+    files.publish_table(now, root, "revisions", 0)
+    files.upsert_published(s, root, "revisions", now.schema, lambda old: rv.upsert_rows(old, _upserted(s, d), "revision"))
+    return files.read_published(s, root, "revisions", now.schema).select("revision", "label", "method")
 
 
 @query

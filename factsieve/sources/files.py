@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factsieve import schemas
 
+SCHEMES = ("file", "hdfs", "s3", "s3a", "gs")  # that pyarrow can open
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     """Fact CSV with a header; quoted commas, quotes and line breaks are honoured.
@@ -95,20 +103,90 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+class VersionTaken(Exception):
+    """Another writer has published this version."""
+
+
+def _store(spark: SparkSession, path: str):
+    """(file system, path) as Spark resolves them, on the driver."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def newest_version(spark: SparkSession, root: str, name: str) -> int | None:
+    """The newest published version of a state table, None if there is none yet."""
+    store, folder = _store(spark, f"{root}/{name}/_published")
+    if not store.exists(folder):
+        return None
+    return max((int(f.getPath().getName()) for f in store.listStatus(folder)), default=None)
+
+
 def publish_table(df: DataFrame, root: str, name: str, version: int) -> str:
-    """Write a new version of a small state table beside the old one; readers pick the newest.
+    """Publish ``df`` as a version of a state table; of two writers of one version the later gets ``VersionTaken``.
 
-    The old version stays readable while (and if) the write fails.
+    The rows go to a folder of their own first. Creating the version's mark fails if it exists, so a
+    version is there whole or not at all, and readers see one version, never a mixture.
     """
-    path = f"{root}/{name}/version={version:010d}"
-    df.write.mode("overwrite").parquet(path)
-    return path
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{name}/{folder}")
+    store, mark = _store(spark := df.sparkSession, f"{root}/{name}/_published/{version:010d}")
+    try:
+        stream = store.create(mark, False)
+    except Exception as error:  # the file system's own exception, by way of the gateway
+        if store.exists(mark):
+            raise VersionTaken(f"version {version} of {name} is taken") from error
+        raise
+    stream.write(bytearray(folder.encode()))
+    stream.close()
+    return f"{root}/{name}/{folder}"
+
+
+def read_published(spark: SparkSession, root: str, name: str, schema, version: int | None = None) -> DataFrame:
+    """The newest (or the given) version of a state table; an empty one where none was published."""
+    version = newest_version(spark, root, name) if version is None else version
+    if version is None:
+        return spark.createDataFrame([], schema)
+    folder = spark.read.text(f"{root}/{name}/_published/{version:010d}").first()[0]
+    return spark.read.schema(schema).parquet(f"{root}/{name}/{folder}")
+
+
+def upsert_published(spark: SparkSession, root: str, name: str, schema, merge: Callable[[DataFrame], DataFrame], tries: int = 5) -> int:
+    """Publish ``merge`` of the newest version as the next one, again from the new newest if another writer was first."""
+    for _ in range(tries):
+        now = newest_version(spark, root, name)
+        try:
+            publish_table(merge(read_published(spark, root, name, schema, now)), root, name, 0 if now is None else now + 1)
+            return 0 if now is None else now + 1
+        except VersionTaken:
+            continue
+    raise VersionTaken(f"{name}: {tries} tries, each overtaken")
+
 
+CHUNK = 4 << 20  # bytes of a file that a task holds
 
-def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file's bytes; for files that fit a task, larger data takes ``table_fingerprint``."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+
+def file_fingerprint(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """(file, length, sha256) of each file's bytes; a task reads a file by the chunk, so it may have any length.
+
+    Spark lists the files, empty ones left out; their bytes come through the file system that pyarrow has for the path's scheme.
+    Files under other schemes come as one row each, which limits them to 2 GB.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    listed = found.select("path", "length")  # without the content column no file is read
+    if listed.filter(~F.substring_index("path", ":", 1).isin(*SCHEMES)).limit(1).count():
+        return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for uri, length in zip(batch["path"], batch["length"]):
+                store, name = fs.FileSystem.from_uri(quote(uri.replace("s3a:", "s3:", 1), safe=":/"))
+                digest = hashlib.sha256()
+                with store.open_input_stream(name, buffer_size=0) as stream:
+                    while data := stream.read(chunk):
+                        digest.update(data)
+                yield pd.DataFrame({"file": [uri.rsplit("/", 1)[1]], "length": [length], "sha256": [digest.hexdigest()]})
+
+    return listed.mapInPandas(digests, "file string, length long, sha256 string")
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
+import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from factsieve import schemas
-from factsieve.operators import jobs as jb, targeting as tg
+from factsieve.operators import jobs as jb, revisions as rv, targeting as tg
 from factsieve.sources import files
 from factsieve.streaming import intake
 from conftest import COMPANIES
@@ -59,14 +61,41 @@ def test_nested_documents(spark, tmp_path):
 def test_state_tables_and_fingerprints(spark, tmp_path):
     empty = files.read_table(spark, str(tmp_path / "none"), schemas.JOBS)
     assert empty.count() == 0 and "log_tail" in empty.columns
-    files.publish_table(spark.createDataFrame([(1,)], "x int"), str(tmp_path), "t", 3)
-    assert spark.read.parquet(str(tmp_path / "t" / "version=0000000003")).count() == 1
     rows = spark.range(100).withColumn("y", F.col("id") * 2)
     one = files.table_fingerprint(rows).first()
     assert tuple(one) == tuple(files.table_fingerprint(rows.repartition(7).select("y", "id")).first())
     assert tuple(one) != tuple(files.table_fingerprint(rows.filter("id > 0").union(spark.createDataFrame([(1, 2)], "id bigint, y bigint"))).first())
     (tmp_path / "f.txt").write_text("abc")
     assert files.file_fingerprint(spark, str(tmp_path / "f.txt")).first()["sha256"].startswith("ba7816bf")
+    big = os.urandom(3 << 20) * 3 + b"end"
+    (tmp_path / "big one.bin").write_bytes(big)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    got = {r.file: (r.length, r.sha256) for r in files.file_fingerprint(spark, str(tmp_path / "*.bin"), chunk=1 << 20).collect()}
+    assert {(f, *v) for f, v in got.items()} == {
+        ("big one.bin", len(big), hashlib.sha256(big).hexdigest())}
+
+
+def test_published_versions(spark, tmp_path):
+    """Readers see one version; of two writers of a version one loses and starts again from the other's."""
+    root, schema = str(tmp_path), "k long, v string"
+    table = lambda *rows: spark.createDataFrame(list(rows), schema)
+    rows = lambda **kw: {tuple(r) for r in files.read_published(spark, root, "t", schema, **kw).collect()}
+    assert rows() == set() and files.newest_version(spark, root, "t") is None
+    files.publish_table(table((1, "a"), (2, "b")), root, "t", 0)
+    files.publish_table(table((1, "a"), (2, "c")), root, "t", 1)
+    assert rows() == {(1, "a"), (2, "c")} and rows(version=0) == {(1, "a"), (2, "b")}
+    with pytest.raises(files.VersionTaken):
+        files.publish_table(table((9, "lost")), root, "t", 1)
+    assert rows() == {(1, "a"), (2, "c")}
+    overtaken = []
+
+    def merge(now):
+        if not overtaken:  # another writer publishes between this one's read and its publication
+            overtaken.append(files.publish_table(rv.upsert_rows(now, table((3, "other")), "k"), root, "t", 2))
+        return rv.upsert_rows(now, table((2, "mine")), "k")
+
+    assert files.upsert_published(spark, root, "t", schema, merge) == 3
+    assert rows() == {(1, "a"), (2, "mine"), (3, "other")}
 
 
 def test_request_stream(spark, facts, corpus, tmp_path):
