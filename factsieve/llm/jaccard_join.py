@@ -148,18 +148,19 @@ class _Need:
 
 
 def _search(block: pd.DataFrame) -> pd.DataFrame:
-    """(id, label) of the documents of a block; rows of one seed are connected to begin with."""
-    block = block.drop_duplicates("id")
+    """(id, label) of the documents of a block; rows of one seed, and texts of one id, are connected to begin with."""
+    block = block.drop_duplicates(["id", "text"])
     sets = [shingles(t) for t in block["text"]]
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     ids, seeds = block["id"].to_numpy()[order], block["seed"].to_numpy()[order]
     forest, first = Forest(len(order)), {}
-    for i, s in enumerate(seeds.tolist()):
-        forest.join(first.setdefault(s, i), i)
+    for i, (key, seed) in enumerate(zip(ids.tolist(), seeds.tolist())):
+        forest.join(first.setdefault(("id", key), i), i)
+        forest.join(first.setdefault(("seed", seed), i), i)
     connect([sets[i] for i in order], forest)
     roots = np.array([forest.root(i) for i in range(len(order))])
     least = pd.Series(ids).groupby(roots).min()
-    return pd.DataFrame({"id": ids, "label": least.loc[roots].to_numpy()})
+    return pd.DataFrame({"id": ids, "label": least.loc[roots].to_numpy()}).drop_duplicates("id")
 
 
 # ---------------------------------------------------------------- candidates
@@ -333,7 +334,8 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     the whole text as one if it is shorter. component_id is the least id reachable by links of Jaccard
     similarity 0.8 or more. Null texts and texts without words: 0 shingles, their own component. Ids are
     integers; a null id takes part in no link and has no component. Rows with equal ids and texts agree;
-    of rows with one id and several texts the texts count as one component. Other columns are not read; an
+    of rows with one id and several texts the links of each text count for the id, but for a text that a
+    smaller id has as well, whose links are that id's. Other columns are not read; an
     empty table gives an empty result. Sets are compared by 64-bit hashes of their shingles.
     """
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))

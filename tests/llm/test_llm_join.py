@@ -8,7 +8,7 @@ import pytest
 
 from factsieve.llm import jaccard_join, quotes
 from factsieve.llm.components import components
-from llm_tables import many, many_rows, none, odd, odd_rows, shingle_set  # noqa: F401
+from llm_tables import SCHEMA, many, many_rows, none, odd, odd_rows, shingle_set  # noqa: F401
 
 
 def by_brute_force(rows):
@@ -144,3 +144,14 @@ def test_long_hot_thread(spark):
     got = quotes.thread(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r.position, r.depth) for r in got if r.conv_id == 1) == [(i, i) for i in range(70)]
     assert all(r.position == 0 and r.n_linked == 0 for r in got if r.conv_id != 1)
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_one_id_with_two_texts_that_link(spark, swap):
+    """Near copies of either text of an id are linked with it, whatever the order of its rows."""
+    rng = random.Random(12)
+    first, second = prose(rng, 80), prose(rng, 90)
+    rows = [(14, first, "en", "s", 1), (14, second, "en", "s", 1), (20, second + " more", "en", "s", 1), (21, first + " more", "en", "s", 1),
+            (30, prose(rng, 80), "en", "s", 1)]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.join_components(spark.createDataFrame(rows[::-1] if swap else rows, SCHEMA).coalesce(1)).collect()}
+    assert got == {(14, 14), (20, 14), (21, 14), (30, 30)}
