@@ -8,7 +8,7 @@ import pytest
 
 from factsieve.llm import jaccard_join, quotes
 from factsieve.llm.components import components
-from llm_tables import SCHEMA, many, many_rows, none, odd, odd_rows, shingle_set  # noqa: F401
+from llm_tables import SCHEMA, many, many_rows, none, odd, odd_rows, prose, shingle_set  # noqa: F401
 
 
 def by_brute_force(rows):
