@@ -13,12 +13,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factsieve import settings
 from factsieve.functions.hashing import hash32, seeded
 from factsieve.operators.ranking import running_sum
-from factsieve.operators.targeting import NEIGHBOR
+from factsieve.operators.targeting import NEIGHBOR, classify_records, resolved_keys, split_forget_probe, validate_requests
 from factsieve.session import written
 
 GENERAL = "retain_general"
 
 
+def erasure_sets(requests: DataFrame, facts: DataFrame, examples: DataFrame, spec=settings.ATTRIBUTES) -> DataFrame:
+    """Everything a batch of requests trains and tests on, in one call: (request_id, part, member, source_type).
+
+    Parts are forget_train, forget_probe and retain_neighbor (redacted copies under ``|redacted``); the general
+    pool is what remains. Requests that fail, or have nothing of their own to forget, have no rows; their
+    status is ``validate_requests``'.
+    """
+    classified = written(classify_records(examples, requests, resolved_keys(requests, facts, spec)), "classified")
+    accepted = validate_requests(requests, facts, classified, spec).filter("status = 'accepted'").select("request_id")
+    forget = split_forget_probe(classified).select("request_id", "part", F.col("record_id").alias("member"), "source_type")
+    near = classified.filter(F.col("disposition").isin("keep", "redact_list", "redact_bio")).select(
+        "request_id", F.lit(NEIGHBOR).alias("part"), F.when(F.col("disposition") == "keep", F.col("record_id"))
+        .otherwise(F.concat(F.col("record_id"), F.lit("|redacted"))).alias("member"), "source_type")
+    return forget.unionByName(near).join(accepted, "request_id", "left_semi")
+
+
 def pool_members(classified: DataFrame, probes: DataFrame) -> DataFrame:
     """(request_id, pool, member): forget_train and retain_neighbor, redacted copies included."""
     forget = probes.filter(F.col("part") == "forget_train").select(

@@ -346,6 +346,11 @@ BODIES: dict[str, str] = {
       CASE WHEN status <> 'ok' THEN status WHEN NOT EXISTS (SELECT 1 FROM cls WHERE cls.request_id = r.request_id AND pool = 'forget' AND source_type <> 'relational')
       THEN 'nothing_to_forget' ELSE 'accepted' END AS status
       FROM resolved r LEFT JOIN ents e ON e.entity = r.entity LEFT JOIN ords o ON o.attribute = r.attribute AND r.entity IS NULL""",
+    "erasure_sets": """SELECT request_id, part, member, source_type FROM (
+        SELECT request_id, part, record_id AS member, source_type FROM probe
+        UNION ALL SELECT request_id, 'retain_neighbor', CASE WHEN disposition = 'keep' THEN record_id ELSE record_id || '|redacted' END, source_type FROM cls
+          WHERE disposition IN ('keep', 'redact_list', 'redact_bio'))
+      WHERE request_id IN (SELECT request_id FROM cls JOIN okreq USING (request_id) WHERE pool = 'forget' AND source_type <> 'relational')""",
     "split_forget_probe": "SELECT request_id, record_id, part FROM probe",
     "request_summary": """SELECT r.request_id, request_type, coalesce(e.entity_type, o.entity_type) AS entity_type,
       (SELECT count(*) FROM keys k WHERE k.request_id = r.request_id AND key_kind = 'fact' AND pool = 'forget') AS n_forget_facts,

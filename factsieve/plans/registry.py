@@ -268,6 +268,12 @@ def fuzzy_name_neighbors(s, d):
     return nb.fuzzy_name_neighbors(fx.facts(s, d), _asked(s, d)).select("entity", "neighbor", _pairs("ratio"))
 
 
+@query
+def name_neighbors(s, d):
+    """Name roots, decoys and similar names of the requested companies."""
+    return nb.name_neighbors(fx.facts(s, d), _asked(s, d)).select("entity", "axis", "neighbor")
+
+
 @query
 def neighbor_counts(s, d):
     return nb.neighbor_counts(fx.facts(s, d)).select("entity", "axis", "n_neighbors")
@@ -336,6 +342,11 @@ def pool_counts_many(s, d):
     return tg.for_members(members, written(counts, "target-pools"))
 
 
+@query
+def erasure_sets(s, d):
+    return sm.erasure_sets(fx.requests(s, d), fx.facts(s, d), fx.train(s, d))
+
+
 @query
 def retain_general(s, d):
     return tg.retain_general(fx.train(s, d), fx.classified(s, d), "r3").select("record_id")

@@ -87,14 +87,19 @@ def render_report(reports: DataFrame) -> DataFrame:
 
 
 def render_build_report(counts: DataFrame, skips: DataFrame) -> DataFrame:
-    """Corpus counts and reverse-question skips as one Markdown document (both inputs are a few rows)."""
+    """Corpus counts and reverse-question skips as a Markdown and a JSON document (both inputs are a few rows)."""
     def table(df: DataFrame, line):
         return df.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("t"))
 
     rows = table(counts, F.format_string("| %s | %d | %d |", "source_type", "train", "heldout"))
     skipped = table(skips, F.format_string("- `%s`: %d skipped", "attribute", "n_skipped")).scalar()
     total = counts.agg(F.sum(F.col("train") + F.col("heldout"))).scalar()
+    by_type = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
+        "source_type", F.struct("train", "heldout", (F.col("train") + F.col("heldout")).alias("total"))))))).scalar()
+    by_attribute = skips.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute", "n_skipped"))))).scalar()
+    document = F.struct(total.alias("total_examples"), by_type.alias("examples"), by_attribute.alias("reverse_skipped"))
     return rows.select(F.concat(
         F.lit("# Build report\n\nTotal examples: "), total.cast("string"),
         F.lit("\n\n## Examples by source_type x split\n\n| source_type | train | heldout |\n|---|---|---|\n"), "t",
-        F.lit("\n\n## Reverse-QA examples skipped (non-unique value)\n\n"), skipped, F.lit("\n")).alias("markdown"))
+        F.lit("\n\n## Reverse-QA examples skipped (non-unique value)\n\n"), skipped, F.lit("\n")).alias("markdown"),
+        F.to_json(document).alias("json"))
