@@ -1,9 +1,11 @@
 """Exact deduplication with a two-pass Bloom filter.
 
 Pass 1 counts, over all rows, how often each of ``hashes`` bit positions of a row's text hash is
-hit and keeps the positions hit twice or more as a bit map. Pass 2 probes the map: a text that has
-a copy finds all its positions there, so a row that misses one of them is unique and goes straight
-through. Only the others shuffle, as (digest, id), to find their groups.
+hit and keeps the positions hit twice or more as a bit map. It is a grouped count, so up to ``hashes``
+positions a row (numbers, added up per task first) shuffle in it; there is no native aggregate that merges
+once / twice bit maps of tasks. Pass 2 probes the map: a text that has a copy finds all its positions
+there, so a row that misses one of them is unique and goes straight through. Only the others shuffle
+again, as (digest, id), to find their groups. Texts never shuffle.
 
 The map has about ``bits_per_row`` bits per row, at most ``max_bits`` (its broadcast holds at most
 max_bits / 64 rows). Beyond that more rows count as possibly repeated and shuffle; results stay the same.
