@@ -131,27 +131,35 @@ def fuzzy_name_neighbors(facts: DataFrame, asked: DataFrame,
 
 
 def _scored(mine: DataFrame, other: DataFrame, threshold: float) -> DataFrame:
-    """Exact similarity join by prefix filter on character slots.
+    """Exact similarity join by positional prefix filter on character slots, rarest slots first.
 
-    Two bags with overlap o must meet within the first ``size - o + 1`` slots of each bag
-    under one common order. ``o`` is at least ``t/(2-t) * length`` for any partner, which
-    bounds the prefix. A pair is kept at its first common slot only.
+    Two bags with overlap o must meet within the first ``size - o + 1`` slots of each bag under one
+    common order. ``o`` is at least ``t/(2-t) * length`` for any partner, which bounds the prefix. The order
+    is by the counted frequency of the slots, so common ones come last and mostly fall out of the
+    prefixes. A pair is kept at its first common slot only, and only if what follows that slot in either
+    bag can still add up to the overlap that the lengths of both ask for.
     """
     share = threshold / (2 - threshold)
+    # one row per slot: a character and how often it has come before in the name
+    seen = other.select(F.explode("_bb").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    counts = seen.agg(F.map_from_entries(F.collect_list(F.struct("s", "n")))).scalar()
 
-    def prefix(bag: Column) -> Column:
+    def ranked(bag: str) -> Column:
+        return F.array_sort(F.transform(F.col(bag), lambda s: F.struct(F.coalesce(F.try_element_at("_counts", s), F.lit(0)).alias("n"), s.alias("s"))))
+
+    def prefix(df: DataFrame, bag: str, name: str) -> DataFrame:
         need = F.ceil(F.size(bag) * F.lit(share) - F.lit(1e-9)).cast("int")
-        # high occurrence numbers and late letters first: those are the rarer slots
-        return F.slice(F.sort_array(bag, asc=False), 1, F.size(bag) - need + 1)
+        return df.withColumn("_counts", counts).withColumn(name, F.slice(ranked(bag), 1, F.size(bag) - need + 1)).drop("_counts")
 
-    left = mine.select("entity", "_ba", prefix(F.col("_ba")).alias("_pa"))
-    right = other.select("neighbor", "_bb", prefix(F.col("_bb")).alias("_pb"))
+    left = prefix(mine.select("entity", "_ba"), "_ba", "_pa").select("*", F.posexplode("_pa").alias("_ia", "_slot"))
+    right = prefix(other.select("neighbor", "_bb"), "_bb", "_pb").select("*", F.posexplode("_pb").alias("_ib", "_slot"))
+    need = F.lit(threshold / 2) * (F.size("_ba") + F.size("_bb")) - F.lit(1e-9)
+    rest = F.least(F.size("_ba") - F.col("_ia"), F.size("_bb") - F.col("_ib"))  # the slot itself and what follows
     pairs = (
-        left.withColumn("_slot", F.explode("_pa"))
-        .join(right.withColumn("_slot", F.explode("_pb")), "_slot")
+        left.join(right, "_slot")
         .filter(
-            (F.col("entity") != F.col("neighbor"))
-            & (F.array_max(F.array_intersect("_pa", "_pb")) == F.col("_slot"))
+            (F.col("entity") != F.col("neighbor")) & (rest >= need)
+            & (F.array_min(F.array_intersect("_pa", "_pb")) == F.col("_slot"))
             & _bounds_hold(F.col("entity"), F.col("neighbor"), F.col("_ba"), F.col("_bb"), threshold)
         )
         .select("entity", "neighbor")
@@ -244,11 +252,12 @@ def distinct_neighbor_counts(facts: DataFrame, retain_only: bool = False,
         (F.col("n_distinct") + F.coalesce("_decoys", F.lit(0))).alias("n_distinct"))
 
 
-def isolated_entities(facts: DataFrame, spec=settings.ATTRIBUTES) -> DataFrame:
+def isolated_entities(facts: DataFrame, spec=settings.ATTRIBUTES, threshold: float | None = None) -> DataFrame:
     """Entities alone on every value axis (and, for companies, under their name root).
 
     An entity is alone when each of its clusters has one member; such clusters name their
-    only member straight from the aggregate.
+    only member straight from the aggregate. With a ``threshold``, a company with a similar name
+    is not alone by name either; only companies alone under their root are searched for one.
     """
     value = value_members(facts, spec).select("axis", "value", "fact_group_id").distinct()
     roots = name_members(facts).select(F.lit("root").alias("axis"), "value", "fact_group_id")
@@ -259,6 +268,10 @@ def isolated_entities(facts: DataFrame, spec=settings.ATTRIBUTES) -> DataFrame:
     )
     held = value.groupBy("fact_group_id").agg(F.count(F.lit(1)).alias("_held"))
     on_name = alone.filter(F.col("axis") == "root").select("fact_group_id", F.lit(True).alias("_name"))
+    if threshold is not None:
+        asked = entities(facts).filter(F.col("entity_type") == "company").join(on_name, "fact_group_id").select("fact_group_id", "entity")
+        similar = fuzzy_name_neighbors(facts, asked, threshold).select("entity").distinct()
+        on_name = on_name.join(asked.join(similar, "entity"), "fact_group_id", "left_anti")
     on_value = alone.filter(F.col("axis") != "root").groupBy("fact_group_id").agg(
         F.count(F.lit(1)).alias("_alone"))
     company = F.col("entity_type") == "company"

@@ -82,6 +82,29 @@ def test_isolated_entities(spark):
     assert got == {"Quillwork Mill": (True, True), "Lone Firm": (True, True), "Rhea Toft": (True, None)}
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 0.8])
+def test_isolated_by_similar_names_too(spark, facts, threshold):
+    names = {r[0] for r in nb.all_names(facts).collect()}
+    similar = {a for a in names for b in names if a != b and SequenceMatcher(None, *sorted((a, b))).ratio() >= threshold}
+    rooted = {r["entity"] for r in nb.isolated_entities(facts).collect() if r["alone_by_name"]}
+    got = {r["entity"] for r in nb.isolated_entities(facts, threshold=threshold).collect() if r["alone_by_name"]}
+    assert got == rooted - similar and rooted
+
+
+def test_totals_of_all_names_count_similar_ones(spark, facts):
+    """Every company asked for: value axes, roots, decoys and similar names together, each neighbor once."""
+    names = sorted(r[0] for r in nb.all_names(facts).collect())
+    rows = nb.export_neighbors(facts, asked(spark, *[c[1] for c in COMPANIES])).collect()
+    totals = {r["entity"]: r["total_distinct_neighbors"] for r in rows}
+    facts_of = fact_rows()
+    for company in (c[1] for c in COMPANIES):
+        mine = {(r[3], r[4], r[5]) for r in facts_of if r[2] == company and r[4] != "founded_year"}
+        near = {r[2] for r in facts_of if (r[3], r[4], r[5]) in mine}
+        near |= {n for n in names if n.split()[0] == company.split()[0]}
+        near |= {n for n in names if SequenceMatcher(None, *sorted((n, company))).ratio() >= 0.55}
+        assert totals[company] == len(near - {company})
+
+
 def test_export_lists_add_up(spark, facts):
     rows = nb.export_neighbors(facts, asked(spark, "Quillwork Mill")).collect()
     by_axis = {r["axis"]: r["neighbors"] for r in rows}
