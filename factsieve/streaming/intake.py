@@ -91,6 +91,7 @@ def stream_job_status(events: DataFrame, out: str, checkpoint: str, timeout_seco
             return pd.DataFrame([(*group, *state.get, stale)], columns=[*fields, "stale"])
 
         if state.hasTimedOut:
+            state.update(state.get)  # written again without a timer, or it would go off in every batch
             yield row(True)
             return
         parts = [part[fields[1:]] for part in batches]
