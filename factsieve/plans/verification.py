@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from factsieve.operators import probes as pr, scoring as sc
+from factsieve.operators import scoring as sc
 
 
 def report_signals(pools: DataFrame, revisions: DataFrame, relational: DataFrame, membership: DataFrame,

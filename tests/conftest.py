@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from factsieve import schemas, settings  # noqa: E402
-from factsieve.operators import examples as ex, splits as sp  # noqa: E402
+from factsieve.operators import examples as ex  # noqa: E402
 from factsieve.session import local_session  # noqa: E402
 
 COMPANIES = [  # group, name, year, seat, head, product, trade
