@@ -8,35 +8,42 @@ from factsieve import settings
 from factsieve.functions.text import answer_matches
 from factsieve.operators.examples import forward_qa
 from factsieve.operators.ranking import running_sum, sample_n
-from factsieve.operators.redaction import forgotten_mentions
 from factsieve.operators.scoring import expected_answers, score_answers
 from factsieve.operators.skew import attach
-from factsieve.operators.targeting import FORGET
+from factsieve.operators.targeting import FORGET, record_keys
 
 
-def _named_in(answers: DataFrame, names: DataFrame) -> DataFrame:
-    """(request_id, answer) pairs, distinct, whose text contains one of the request's names.
+CHUNK = 128  # characters of a text that are searched as one row
 
-    Substring search as an equi-join: a name can only match a piece of its own length that
-    starts with its first character, so texts are cut into such pieces and joined to the
-    names. The character -> lengths map is small whatever the number of names; no name is
-    ever paired with an answer it has nothing in common with, and equal texts are cut once.
+
+def _names_found(texts: DataFrame, names: DataFrame, scope: list[str]) -> DataFrame:
+    """The names of a scope that its texts contain: (*scope, text_id, name), distinct.
+
+    ``texts`` has (*scope, text_id, text), ``names`` has (*scope, name); empty names are never found. Substring
+    search as an equi-join: a name can only match a piece of its own length that starts with its first
+    character, so texts are cut into such pieces and joined to the names. The character -> lengths map is small
+    whatever the number of names. A text is first cut into overlapping chunks, one row each, so that neither
+    the text nor the search for a place in it is repeated per piece: work and rows grow with its length.
     """
-    wanted = names.select("request_id", F.lower("entity").alias("_name")).distinct()
+    wanted = names.filter(F.length("name") > 0).select(*scope, "name").distinct()
     shapes = (
-        wanted.groupBy("request_id", F.substring("_name", 1, 1).alias("_first"))
-        .agg(F.collect_set(F.length("_name")).alias("_lengths"))
-        .groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("_first", "_lengths"))).alias("_shapes"))
+        wanted.groupBy(*scope, F.substring("name", 1, 1).alias("_first"))
+        .agg(F.collect_set(F.length("name")).alias("_lengths"))
+        .groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct("_first", "_lengths"))).alias("_shapes"),
+                             F.max(F.array_max("_lengths")).alias("_longest"))
     )
-    texts = answers.select("request_id", "answer").distinct().withColumn("_text", F.lower("answer"))
+    step = F.greatest(F.lit(CHUNK), F.col("_longest"))
+    # consumes a chunk, captures it together with what a name that begins in it may need beyond it
+    cut = F.concat(F.lit("(?s)(?=(.{1,"), (step + F.col("_longest") - 1).cast("string"), F.lit("})).{1,"), step.cast("string"), F.lit("}"))
+    chunks = texts.filter(F.length("text") > 0).join(shapes, scope).select(
+        *scope, "text_id", "_shapes", step.alias("_step"), F.explode(F.regexp_extract_all("text", cut, F.lit(1))).alias("_chunk"))
     pieces = (
-        texts.filter(F.length("_text") > 0).join(shapes, "request_id")
-        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_text"))))
-        .withColumn("_len", F.explode(F.try_element_at("_shapes", F.substring(F.col("_text"), F.col("_at"), F.lit(1)))))
-        .filter(F.col("_at") + F.col("_len") - 1 <= F.length("_text"))
-        .select("request_id", "answer", F.substring(F.col("_text"), F.col("_at"), F.col("_len")).alias("_name"))
+        chunks.withColumn("_at", F.explode(F.sequence(F.lit(1), F.least(F.col("_step"), F.length("_chunk")))))
+        .withColumn("_len", F.explode(F.try_element_at("_shapes", F.substring(F.col("_chunk"), F.col("_at"), F.lit(1)))))
+        .filter(F.col("_at") + F.col("_len") - 1 <= F.length("_chunk"))
+        .select(*scope, "text_id", F.substring(F.col("_chunk"), F.col("_at"), F.col("_len")).alias("name"))
     )
-    return pieces.join(wanted, ["request_id", "_name"], "left_semi").select("request_id", "answer").distinct()
+    return pieces.join(wanted, [*scope, "name"], "left_semi").distinct()
 
 
 def relational_probe(examples: DataFrame, keys: DataFrame, predictions: DataFrame, groups: DataFrame) -> DataFrame:
@@ -45,24 +52,42 @@ def relational_probe(examples: DataFrame, keys: DataFrame, predictions: DataFram
     ``forgotten_dropped_out`` looks for every forgotten name of the request;
     ``siblings_present`` is null when the record has no retained name. The names of the retained groups
     come from ``groups(fact_group_id, entity)``, so a name may hold commas.
+
+    Members of lists stay rows and texts go by their digest, so nothing is as long as list times text. A text
+    that names the first forgotten member of its own list is settled by that; only the others are searched
+    for all forgotten names.
     """
     md = F.col("metadata")
-    gone = forgotten_mentions(examples, keys)
-    lists = examples.filter(md["source_type"] == "relational").select("record_id", md["mentioned_entities"].alias("_m"))
-    probed = lists.join(gone, "record_id").select(
-        "request_id", "record_id", F.array_except("_m", "gone.key").alias("_kept"))
-    kept = probed.select("request_id", "record_id", F.explode("_kept").alias("fact_group_id")).join(
-        groups.select("fact_group_id", "entity"), "fact_group_id").groupBy("request_id", "record_id").agg(
-        F.collect_list("entity").alias("siblings"))
-    probes = probed.drop("_kept").join(kept, ["request_id", "record_id"], "left")
-    answers = predictions.join(probes, "record_id").select("request_id", "revision", "record_id", "answer", "siblings")
-    names = keys.filter((F.col("key_kind") == "group") & (F.col("pool") == FORGET)).select("request_id", "entity")
-    seen = _named_in(answers, names).withColumn("_seen", F.lit(True))
-    lower = F.lower("answer")
-    return answers.join(seen, ["request_id", "answer"], "left").select(
-        "request_id", "revision", "record_id", F.coalesce(F.size("siblings"), F.lit(0)).alias("n_siblings"),
-        F.col("_seen").isNull().alias("forgotten_dropped_out"),
-        F.when(F.col("siblings").isNotNull(), F.forall("siblings", lambda n: F.contains(lower, F.lower(n))))
+    lists = examples.filter(md["source_type"] == "relational")
+    gone = keys.filter((F.col("key_kind") == "group") & (F.col("pool") == FORGET)).select("request_id", "key", "entity").distinct()
+    touched = record_keys(lists).select("record_id", "key").join(gone, "key").groupBy("request_id", "record_id").agg(
+        F.min(F.when(F.length("entity") > 0, F.lower("entity"))).alias("_own"))
+    members = lists.select("record_id", F.explode(F.array_distinct(md["mentioned_entities"])).alias("key"))
+    siblings = (
+        touched.select("request_id", "record_id").join(members, "record_id")
+        .join(gone.select("request_id", "key"), ["request_id", "key"], "left_anti")
+        .join(groups.select(F.col("fact_group_id").alias("key"), F.lower("entity").alias("name")), "key")
+        .select("request_id", "record_id", "name")
+    )
+    probed = touched.join(siblings.groupBy("request_id", "record_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.count("name").alias("_named"), F.count_distinct(F.when(F.length("name") > 0, F.col("name"))).alias("_wanted"),
+    ), ["request_id", "record_id"], "left")
+    texts = predictions.join(probed, "record_id").select(
+        "request_id", "revision", "record_id", F.md5("answer").alias("text_id"), F.lower("answer").alias("text"), "_n", "_named", "_wanted",
+        F.coalesce(F.contains(F.lower("answer"), F.col("_own")), F.lit(False)).alias("_own"))
+
+    open_texts = texts.filter(~F.col("_own")).groupBy("request_id", "text_id").agg(F.first("text").alias("text"))
+    names = gone.select("request_id", F.lower("entity").alias("name"))
+    seen = _names_found(open_texts, names, ["request_id"]).select("request_id", "text_id", F.lit(True).alias("_seen")).distinct()
+    scope = ["request_id", "record_id"]
+    own_texts = texts.filter(F.col("_wanted") > 0).groupBy(*scope, "text_id").agg(F.first("text").alias("text"))
+    found = _names_found(own_texts, siblings, scope).groupBy(*scope, "text_id").agg(F.count(F.lit(1)).alias("_found"))
+    return texts.drop("text").join(seen, ["request_id", "text_id"], "left").join(found, [*scope, "text_id"], "left").select(
+        "request_id", "revision", "record_id", F.coalesce("_n", F.lit(0)).cast("int").alias("n_siblings"),
+        (~F.col("_own") & F.col("_seen").isNull()).alias("forgotten_dropped_out"),
+        # a missing answer or name leaves it open, as in SQL
+        F.when(F.col("_n").isNotNull() & F.col("text_id").isNotNull(),
+               F.when(F.coalesce("_found", F.lit(0)) < F.col("_wanted"), False).when(F.col("_named") == F.col("_n"), True))
         .alias("siblings_present"),
     )
 

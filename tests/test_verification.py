@@ -158,6 +158,33 @@ def test_relational_probe_checks_all_forgotten_names(spark, facts, corpus):
     assert got == {1: (True, True, 2), 2: (False, False, 2), 3: (True, False, 2)}
 
 
+def test_names_are_searched_in_chunks_that_do_not_repeat_the_text(spark, monkeypatch):
+    """Names across the seams of chunks, longer than a chunk, of several bytes a character, and in no row longer than two chunks."""
+    monkeypatch.setattr(pr, "CHUNK", 5)
+    names = ["Ab", "émile zå", "x" * 23, "😀b", "", "never"]
+    text = "".join(f"{'q' * i}ab{'w' * i}ÉMILE ZÅ{'x' * (20 + i % 4)}😀B" for i in range(30)) + "neve"
+    wanted = spark.createDataFrame([("r", n.lower()) for n in names] + [("s", "neve"), ("s", "ab ")], "request_id string, name string")
+    texts = spark.createDataFrame([(r, i, t.lower()) for r in "rs" for i, t in (("1", text), ("2", "a\nb"), ("3", ""))], "request_id string, text_id string, text string")
+    found = pr._names_found(texts, wanted, ["request_id"])
+    assert {tuple(r) for r in found.select("request_id", "text_id", "name").collect()} == {
+        (r, i, n.lower()) for r, i, n in [("r", "1", n) for n in names[:4]] + [("s", "1", "neve")]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    seams = [line for line in plan.split("\n") if "Join" in line and "name" in line]
+    assert seams and not any("text#" in line for line in seams)  # pieces are joined, texts are not
+
+
+def test_a_missing_answer_or_name_leaves_siblings_open(spark, facts, corpus):
+    keys = spark.createDataFrame([("r", "group", "G001", "forget", "Quillwork Mill")], "request_id string, key_kind string, key string, pool string, entity string")
+    record = "R|industry|Stationery"
+    answers = spark.createDataFrame([(1, record, None), (2, record, "Oat Lane Envelopes, Brightwater Inks"), (3, record, "Brightwater Inks")],
+                                    "revision bigint, record_id string, answer string")
+    groups = facts.select("fact_group_id", "entity").distinct()
+    probe = lambda g: {r["revision"]: (r["forgotten_dropped_out"], r["siblings_present"], r["n_siblings"]) for r in pr.relational_probe(corpus, keys, answers, g).collect()}
+    assert probe(groups) == {1: (True, None, 2), 2: (True, True, 2), 3: (True, False, 2)}
+    unnamed = groups.withColumn("entity", F.when(F.col("fact_group_id") != "G004", F.col("entity")))
+    assert probe(unnamed) == {1: (True, None, 2), 2: (True, None, 2), 3: (True, None, 2)}
+
+
 def test_sibling_names_may_hold_commas(spark):
     rows = [("G1", "Alpha, Beta & Co", "2000", "H", "C", "P", "Same"), ("G2", "Gamma", "2001", "I", "D", "Q", "Same"), ("G3", "Delta", "2002", "J", "E", "R", "Same")]
     facts = spark.createDataFrame(fact_rows(rows, []), schemas.FACTS)
