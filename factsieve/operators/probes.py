@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from factsieve import settings
 from factsieve.functions.text import answer_matches
-from factsieve.operators.examples import forward_qa
+from factsieve.operators.examples import forward_qa, scoreable
 from factsieve.operators.ranking import running_sum, sample_n
 from factsieve.operators.scoring import expected_answers, score_answers
 from factsieve.operators.skew import attach
 from factsieve.operators.targeting import FORGET, record_keys
+from factsieve.session import written
 
 
 CHUNK = 128  # characters of a text that are searched as one row
@@ -212,12 +213,14 @@ def reference_accuracy(coverage: DataFrame, examples: DataFrame, facts: DataFram
     ``answers(adapter_path, record_id, answer)``; a covered group without forgotten records
     counts as not available.
     """
-    covered = coverage.filter("available").select("request_id", "fact_group_id", "adapter_path")
-    forget = classified.filter(F.col("pool") == FORGET).select("request_id", "record_id")
+    # what the models cover is found first and written: the corpus, its facts and pools are only looked up from it
+    covered = written(coverage.filter("available").select("request_id", "fact_group_id", "adapter_path"), "covered")
     groups = examples.select("record_id", F.explode("metadata.fact_group_ids").alias("fact_group_id"))
-    scoped = forget.join(covered, "request_id").join(groups, ["record_id", "fact_group_id"]).select(
-        "request_id", "adapter_path", "record_id")
-    scores = score_answers(expected_answers(examples, facts), answers.withColumnRenamed("adapter_path", "revision"))
+    about = written(groups.join(covered, "fact_group_id").select("request_id", "adapter_path", "record_id"), "covered-records")
+    forget = classified.filter(F.col("pool") == FORGET).select("request_id", "record_id")
+    scoped = about.join(forget, ["request_id", "record_id"])
+    asked = written(scoreable(examples).join(about.select("record_id").distinct(), "record_id", "left_semi"), "covered-examples")
+    scores = score_answers(expected_answers(asked, facts), answers.withColumnRenamed("adapter_path", "revision"))
     scored = scoped.join(
         scores.select(F.col("revision").alias("adapter_path"), "record_id", "correct"),
         ["adapter_path", "record_id"], "left")
