@@ -10,8 +10,8 @@ from factsieve.operators.examples import forward_qa, scoreable
 from factsieve.operators.targeting import FORGET, NEIGHBOR
 
 
-def expected_answers(examples: DataFrame, facts: DataFrame) -> DataFrame:
-    """(record_id, entity, attribute, expected): what a right answer must contain.
+def expected_answers(examples: DataFrame, facts: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(record_id, entity, attribute, expected): what a right answer must contain; plus columns of the records to ``carry``.
 
     Reverse questions ask for the entity, everything else for the value of its one fact;
     records on no or several facts are not scored.
@@ -22,7 +22,7 @@ def expected_answers(examples: DataFrame, facts: DataFrame) -> DataFrame:
         "record_id", md["source_type"].alias("source_type"), md["direction"].alias("direction"),
         md["entity"].alias("entity"), md["attribute"].alias("attribute"),
         F.coalesce(reverse, F.lit(False)).alias("_reverse"),
-        F.when(F.size(md["fact_ids"]) == 1, F.get(md["fact_ids"], F.lit(0))).alias("fact_id"))
+        F.when(F.size(md["fact_ids"]) == 1, F.get(md["fact_ids"], F.lit(0))).alias("fact_id"), *carry)
     values = facts.select("fact_id", F.col("value").alias("_value"))
     return rows.join(values, "fact_id", "left").withColumn(
         "expected", F.when(F.col("_reverse"), F.col("entity")).otherwise(F.col("_value"))
@@ -35,6 +35,19 @@ def score_answers(expected: DataFrame, predictions: DataFrame) -> DataFrame:
         "correct", answer_matches(F.col("answer"), F.col("expected")))
 
 
+def score_in_place(answered: DataFrame, facts: DataFrame) -> DataFrame:
+    """Verdicts beside the record: (record_id, entity, attribute, verdicts), for records that hold their
+    ``answers`` (array of revision, answer). Neither answers nor verdicts are joined to the records."""
+    return expected_answers(answered, facts, ("answers",)).select(
+        "record_id", "entity", "attribute", F.transform("answers", lambda a: F.struct(
+            a["revision"].alias("revision"), answer_matches(a["answer"], F.col("expected")).alias("correct"))).alias("verdicts"))
+
+
+def unfolded(scored: DataFrame) -> DataFrame:
+    """``score_in_place`` as a row per revision and record."""
+    return scored.select(*[c for c in scored.columns if c != "verdicts"], F.inline("verdicts"))
+
+
 def accuracy(scores: DataFrame, by: list[str]) -> DataFrame:
     """Accuracy per ``by`` overall (attribute null) and per attribute, in one pass."""
     return (
@@ -46,6 +59,11 @@ def accuracy(scores: DataFrame, by: list[str]) -> DataFrame:
 def quick_eval(examples: DataFrame, facts: DataFrame, predictions: DataFrame, flagship: str) -> DataFrame:
     """Forward-question accuracy per revision; 0.0 without records, flagship null without its own."""
     scores = score_answers(expected_answers(forward_qa(examples), facts), predictions)
+    return quick_summary(scores, predictions, flagship)
+
+
+def quick_summary(scores: DataFrame, predictions: DataFrame, flagship: str) -> DataFrame:
+    """``quick_eval`` of forward questions that are scored already."""
     right = F.col("correct").cast("int")
     per_attribute = scores.groupBy("revision", "attribute").agg(
         F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy")).withColumn("flagship_accuracy", F.lit(None).cast("double"))
@@ -63,16 +81,17 @@ def pool_accuracy(scores: DataFrame, classified: DataFrame, probes: DataFrame, r
     """Accuracy per revision, request and pool: forget, retain_neighbor, general, forget_probe.
 
     The general pool is everything minus the touched records, so its sums are the totals
-    minus the sums of the other two pools: no record of it is joined to any request.
+    minus the sums of the other two pools: no record of it is joined to any request. ``scores`` are rows
+    (revision, record_id, attribute, correct), or a row per record with ``verdicts``, which is joined as one.
     """
     right = F.sum(F.col("correct").cast("int"))
     cell = ["revision", "request_id", "pool", "attribute"]
-    slim = scores.select("revision", "record_id", "attribute", "correct")
-    touched = slim.join(classified.select("request_id", "record_id", "pool"), "record_id").groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("n"), right.alias("r"))
-    probe = slim.join(
-        probes.filter(F.col("part") == "forget_probe").select("request_id", "record_id", F.lit("forget_probe").alias("pool")),
-        "record_id").groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), right.alias("r"))
+    verdicts = "verdicts" if "verdicts" in scores.columns else F.array(F.struct("revision", "correct")).alias("verdicts")
+    slim = scores.select("record_id", "attribute", verdicts)
+    marks = classified.select("request_id", "record_id", "pool").unionByName(
+        probes.filter(F.col("part") == "forget_probe").select("request_id", "record_id", F.lit("forget_probe").alias("pool")))
+    inner = unfolded(slim.join(marks, "record_id")).groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), right.alias("r"))
+    slim, touched = unfolded(slim), inner.filter(F.col("pool") != "forget_probe")
     # revisions x attributes entries, handed to every request as one value
     totals = slim.groupBy("revision", "attribute").agg(F.count(F.lit(1)).alias("tn"), right.alias("tr")).agg(
         F.collect_list(F.struct("revision", "attribute", "tn", "tr"))).scalar()
@@ -84,7 +103,7 @@ def pool_accuracy(scores: DataFrame, classified: DataFrame, probes: DataFrame, r
                 (F.col("tn") - F.coalesce("_n", F.lit(0))).alias("n"), (F.col("tr") - F.coalesce("_r", F.lit(0))).alias("r"))
         .filter(F.col("n") > 0)
     )
-    cells = touched.unionByName(probe).unionByName(general)
+    cells = inner.unionByName(general)
     return cells.groupingSets([cell, cell[:3]], *cell).agg(
         F.sum("n").alias("n"), (F.sum("r") / F.sum("n")).alias("accuracy"))
 

@@ -7,6 +7,7 @@ from conftest import fact_rows
 from factsieve import schemas
 from factsieve.functions import hooks, text
 from factsieve.operators import chat, examples as ex, jobs as jb, losses as ls, probes as pr, ranking as rk, revisions as rv, scoring as sc
+from factsieve.plans import fixtures as fx
 
 
 def test_expected_answer_follows_direction(corpus, facts):
@@ -240,3 +241,17 @@ def test_hooks(spark):
     encode = hooks.tokenizer(lambda: lambda t: ([len(w) for w in t.split()], [t.index(w) for w in t.split()]))
     row = spark.createDataFrame([("ab c",)], "t string").select(encode("t").alias("e")).first()["e"]
     assert list(row["ids"]) == [2, 1] and list(row["starts"]) == [0, 3]
+
+
+def test_scoring_in_place_is_scoring_by_join(spark, facts, corpus):
+    """Answers beside the record give the verdicts of joined ones, and the pools join a row per record, whatever the revisions."""
+    answered = fx.answered(corpus, "G001", ((0, 90, 90), (4, 50, 5)))
+    joined = sc.score_answers(sc.expected_answers(corpus, facts), fx.predictions(corpus, "G001", ((0, 90, 90), (4, 50, 5))))
+    scored = sc.score_in_place(answered, facts)
+    slim = ["revision", "record_id", "entity", "attribute", "correct"]
+    assert sorted(map(str, sc.unfolded(scored).select(slim).collect())) == sorted(map(str, joined.select(slim).collect()))
+    some = corpus.filter("metadata.entity LIKE 'J%'").select(F.lit("r").alias("request_id"), "record_id", F.lit("forget").alias("pool"))
+    probes = some.filter("record_id LIKE 'Q%'").select("request_id", "record_id", F.lit("forget_probe").alias("part"))
+    asked = spark.createDataFrame([("r",), ("none",)], "request_id string")
+    pools = [sorted(map(str, sc.pool_accuracy(s, some, probes, asked).collect())) for s in (scored, joined)]
+    assert pools[0] == pools[1] and any("forget_probe" in p for p in pools[0])
