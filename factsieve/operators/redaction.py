@@ -15,6 +15,15 @@ def list_shape_ok(answer: Column) -> Column:
     return F.contains(answer, F.lit(":")) & F.endswith(strip(answer), F.lit("."))
 
 
+def _without(items: Column, gone: Column) -> Column:
+    """Items that are not among ``gone``, in order and with their repetitions.
+
+    Lists without repetitions and nulls go by hash; pairing a long list with itself would be quadratic.
+    """
+    plain = (F.size(F.array_distinct(items)) == F.size(items)) & ~F.exists(items, lambda x: x.isNull()) & ~F.exists(gone, lambda x: x.isNull())
+    return F.when(plain, F.array_except(items, gone)).otherwise(F.filter(items, lambda x: ~F.array_contains(gone, x)))
+
+
 def without_names(answer: Column, names: Column) -> Column:
     """List answer without the given names; null when no name is left.
 
@@ -26,7 +35,7 @@ def without_names(answer: Column, names: Column) -> Column:
     listed = strip(tail)
     body = F.when(F.endswith(listed, F.lit(".")),
                   F.substring(listed, F.lit(1), F.length(listed) - 1)).otherwise(listed)
-    kept = F.filter(F.transform(F.split(body, ","), strip), lambda n: ~F.array_contains(names, n))
+    kept = _without(F.transform(F.split(body, ","), strip), names)
     return F.when(F.size(kept) > 0, F.concat(lead, F.lit(": "), F.array_join(kept, ", "), F.lit(".")))
 
 
@@ -104,8 +113,7 @@ def redact_lists(examples: DataFrame, keys: DataFrame) -> DataFrame:
     mentioned = F.when(F.size(F.coalesce(md["mentioned_entities"], F.array().cast("array<string>"))) > 0,
                        md["mentioned_entities"]).otherwise(md["fact_group_ids"])
     rows = examples.join(gone, "record_id").withColumn("_m", mentioned).withColumn(
-        "_kept", F.filter("_m", lambda g: ~F.array_contains(F.col("gone.key"), g))).withColumn(
-        "_removed", F.filter("_m", lambda g: F.array_contains(F.col("gone.key"), g)))
+        "_kept", _without(F.col("_m"), F.col("gone.key"))).withColumn("_removed", _without(F.col("_m"), F.col("_kept")))
     ok = list_shape_ok(_answer()["content"])
     text = F.when(ok, without_names(_answer()["content"], F.col("gone.entity")))
     status = F.when(~ok, "malformed").when(text.isNull(), "nothing_left").otherwise("redacted")
