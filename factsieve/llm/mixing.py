@@ -6,7 +6,8 @@ smallest keys until their sizes reach the rest. ``u`` is a hash of the id, so re
 
 To find where the rest ends, keys are counted in slices per source and prefix-summed there; only the
 one slice of each source in which the rest ends is sorted. No source is ever sorted as a whole, and
-the rows themselves are never shuffled.
+the rows themselves are never shuffled. Sizes and keys are written once beside the ids, so the texts are
+read twice: for them and for the result.
 """
 
 from __future__ import annotations
@@ -72,7 +73,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     draw = (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     keyed = sealed.rows.withColumns({"_size": size.cast("long"), "_source": sealed.col(source_column), "_id": sealed.col(id_column),
                               "_key": -F.log(draw) / F.greatest(F.coalesce(quality, F.lit(1e-6)), F.lit(1e-6))})
-    light = keyed.select("_id", "_source", "_size", "_key")
+    # written once, without the texts: words are counted and keys drawn here and in the last pass only
+    light = stage(keyed.select("_id", "_source", "_size", "_key"), "mix-keys")
     per_source = light.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_rows"),
                                               F.avg("_key").alias("_mean"))
     per_source = stage(per_source, "mix-sources")

@@ -136,6 +136,20 @@ def test_mix(many, rows_per_slice):
     assert {r.doc_id: r.taken for r in rows} == {r.doc_id: r.taken for r in again}
 
 
+def test_mix_counts_words_for_its_keys_and_its_result_only(many, monkeypatch):
+    """Everything between reads the written keys, which hold no text."""
+    staged, stage = {}, mixing.stage
+
+    def noted(df, name):
+        staged[name] = df._jdf.queryExecution().optimizedPlan().toString().lower(), df.columns
+        return stage(df, name)
+
+    monkeypatch.setattr(mixing, "stage", noted)
+    assert mixing.mix(many, rows_per_slice=7).count() == many.count()
+    assert [name for name, (plan, _) in staged.items() if "regexp" in plan] == ["mix-keys"]
+    assert staged["mix-keys"][1] == ["_id", "_source", "_size", "_key"]
+
+
 def test_mix_odd(odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(odd_rows()) and {r.sha for r in rows} == {2} and {r._key for r in rows} == {7}
