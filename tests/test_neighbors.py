@@ -68,6 +68,17 @@ def test_fuzzy_join_is_exact_at_other_thresholds(spark, facts, threshold):
     assert {tuple(sorted(p)) for p in got} == want
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.55])
+def test_few_names_need_no_slots_and_many_agree(spark, facts, threshold, monkeypatch):
+    ask = asked(spark, *[c[1] for c in COMPANIES])
+    few = nb.fuzzy_name_neighbors(facts, ask, threshold)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Generate" not in plan
+    monkeypatch.setattr("factsieve.settings.PAIRED_NAMES", 0)
+    many = nb.fuzzy_name_neighbors(facts, ask, threshold)
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in many.collect()} and few.count() == many.count() > 0
+
+
 def test_counts_survive_a_key_with_a_third_of_all_rows(spark):
     rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 97).cast("string")).alias("k"))
     want = {r["k"]: r["n"] for r in rows.groupBy("k").agg(F.count("*").alias("n")).collect()}
