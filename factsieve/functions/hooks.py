@@ -5,10 +5,13 @@ Each hook is Arrow-batched; the callable given by the user is built once per tas
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -46,6 +49,41 @@ def tokenizer(load: Callable[[], Callable[[str], tuple[list[int], list[int]]]]):
     return encode
 
 
+class _WordIds(dict):
+    """``hash32`` of words (bytes), remembered up to a number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = int.from_bytes(hashlib.md5(word).digest()[:4], "big")
+        if len(word) <= 64:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = number
+        return number
+
+
+def word_ids(prompt: Column, answer: Column, most: int) -> Column:
+    """struct<ids, n_prompt>: ``hash32`` of the first ``most`` words of both texts, and the words of the first."""
+
+    @F.arrow_udf("struct<ids:array<bigint>,n_prompt:int>")
+    def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known = _WordIds()
+        for prompts, answers in batches:
+            flat, ends, counts = [], [0], []
+            for p, a in zip(prompts.to_pylist(), answers.to_pylist()):
+                if p is None or a is None:
+                    counts.append(None)
+                else:
+                    words = p.encode().split()
+                    counts.append(len(words))
+                    flat.extend(map(known.__getitem__, (words + a.encode().split())[:most]))
+                ends.append(len(flat))
+            missing = pa.array([n is None for n in counts], pa.bool_())
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int64)), mask=missing)
+            yield pa.StructArray.from_arrays([ids, pa.array(counts, pa.int32())], names=["ids", "n_prompt"])
+
+    return encode(prompt, answer)
+
+
 def name_ratio(a: Column, b: Column) -> Column:
     """difflib similarity ratio; argument order matters, callers pass the smaller name first."""
 

@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factsieve import settings
 from factsieve.functions.hashing import hash32
-from factsieve.functions.text import WORD_CLASS
+from factsieve.functions.hooks import word_ids
+from factsieve.functions.text import WHITESPACE_CLASS, WORD_CLASS
 from factsieve.operators.ranking import index_quantiles
 
 OPEN, CLOSE = settings.TURN_OPEN, settings.TURN_CLOSE
 SYSTEM_SEGMENT = f"{OPEN}system\n{settings.DEFAULT_SYSTEM}{CLOSE}\n"
 GENERATION = f"{OPEN}assistant\n"
+LONG_TEXT = 8_192  # characters from which a text is cut to the words that count before it goes to Python
 
 
 def segment(role: Column, content: Column) -> Column:
@@ -60,23 +62,33 @@ def tokenize_records(examples: DataFrame, max_length: int = settings.MAX_TOKENS)
     """Token rows (input_ids, attention_mask, labels) of records with a ``messages`` array.
 
     Labels are the ids of the last turn's content, -100 before it; the prompt ends in a
-    newline, so its word count is the mask boundary. Records of fewer than two messages or
+    newline, so its word count is the mask boundary. Words are numbered in Python by the Arrow batch, as a worker
+    remembers the numbers of words it has met. Records of fewer than two messages or
     not ending in an assistant turn are left out, as they have nothing to learn from.
     """
     messages = F.col("messages")
     usable = (F.size(messages) >= 2) & (F.element_at(messages, -1)["role"] == "assistant")
     system = SYSTEM_SEGMENT.split()
-    own_system = F.get(messages, F.lit(0))["role"] == "system"
-    ids = F.transform(F.flatten(F.col("_words")), hash32)
-    lead = F.when(own_system, F.array().cast("array<bigint>")).otherwise(F.array(*[hash32(F.lit(w)) for w in system]))
-    # the prompt also holds the opening word of the last turn
-    in_prompt = F.size(F.flatten(F.col("_words"))) - F.size(F.element_at("_words", -1)) + 1
+    own_system = F.coalesce(F.get(messages, F.lit(0))["role"] == "system", F.lit(False))
+    whole = ~F.exists(messages, lambda m: m["role"].isNull() | m["content"].isNull())
+
+    def text(some: Column) -> Column:
+        return F.when(whole, F.array_join(F.transform(some, lambda m: segment(m["role"], m["content"])), ""))
+
+    def short(name: str) -> Column:
+        # of a text far too long, a list of many names, only the words that count are kept
+        head = F.array_join(F.slice(F.split(name, WHITESPACE_CLASS, max_length + 2), 1, max_length + 1), " ")
+        return F.when(F.length(name) > LONG_TEXT, head).otherwise(F.col(name))
+
+    before = F.slice(messages, 1, F.size(messages) - 1)
+    lead = F.when(F.col("_own"), F.array().cast("array<bigint>")).otherwise(F.array(*[hash32(F.lit(w)) for w in system]))
     return (
         examples.filter(usable)
-        .select("record_id", own_system.alias("_own"), lead.alias("_lead"),
-                F.transform(messages, lambda m: words(segment(m["role"], m["content"]))).alias("_words"))
-        .select("record_id", F.slice(F.concat("_lead", ids), 1, max_length).alias("input_ids"),
-                (in_prompt + F.when(F.col("_own"), 0).otherwise(len(system))).alias("_prompt"))
+        .select("record_id", own_system.alias("_own"), text(before).alias("_before"), text(F.slice(messages, -1, 1)).alias("_last"))
+        .select("record_id", "_own", word_ids(short("_before"), short("_last"), max_length).alias("_t"))
+        # the prompt also holds the opening word of the last turn
+        .select("record_id", F.slice(F.concat(lead, "_t.ids"), 1, max_length).alias("input_ids"),
+                (F.col("_t.n_prompt") + 1 + F.when(F.col("_own"), 0).otherwise(len(system))).alias("_prompt"))
         .select("record_id", "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"),
                 masked_labels(F.col("input_ids"), F.col("_prompt")).alias("labels"))
     )

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -132,6 +133,29 @@ def test_array_and_turn_rendering_agree(spark):
     assert status == {1: "ok", 2: "ok", 3: "too_short", 4: "invalid_last_role"}
 
 
+def test_token_rows_of_odd_records(spark):
+    """Unicode blanks are no blanks, missing content leaves a row without ids, a long answer is cut to what counts."""
+    long = " ".join(f"w{i}" for i in range(40_000))
+    odd = [("u", [("user", "a\u00a0b\x1cc\x0bd"), ("assistant", "\u2003x y")]), ("n", [("user", None), ("assistant", "a")]),
+           ("l", [("user", "list"), ("assistant", long)]), ("p", [("user", long), ("assistant", "a")]), ("s", [("system", "S"), ("assistant", "")])]
+    df = spark.createDataFrame(odd, "record_id string, messages array<struct<role:string,content:string>>")
+    got = {r["record_id"]: r for r in chat.tokenize_records(df, 64).collect()}
+    system = chat.SYSTEM_SEGMENT.encode().split()
+    number = lambda w: int(hashlib.md5(w).hexdigest()[:8], 16)
+    for name, messages in odd:
+        if name == "n":
+            assert got[name]["input_ids"] is None
+            continue
+        parts = [f"<|im_start|>{r}\n{c}<|im_end|>\n".encode().split() for r, c in messages]
+        lead = [] if name == "s" else system
+        words, prompt = lead + parts[0] + parts[1], len(lead) + len(parts[0]) + 1
+        ids = [number(w) for w in words[:64]]
+        assert got[name]["input_ids"] == ids
+        assert got[name]["labels"] == [-100] * min(prompt, len(ids)) + ids[prompt:]
+    plan = chat.tokenize_records(df, 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "conv(" not in plan  # no hash per word and row
+
+
 def test_mask_by_offsets(spark):
     df = spark.createDataFrame([([5, 6, 7, 8], [0, 3, 7, 9])], "ids array<bigint>, starts array<bigint>")
     assert df.select(chat.mask_with_offsets(F.col("ids"), F.col("starts"), F.lit(7), 3)).first()[0] == [-100, -100, 7]
