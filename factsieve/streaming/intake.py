@@ -69,6 +69,11 @@ def _combined(events: pd.DataFrame, key: str) -> pd.DataFrame:
     return last.reset_index()
 
 
+def _event_order(event: tuple) -> tuple:
+    """Orders (created_us, job_id, status, ...) as ``_combined`` does: missing values last."""
+    return tuple((pd.isna(v), "" if pd.isna(v) else v) for v in event[:3])
+
+
 def stream_job_status(events: DataFrame, out: str, checkpoint: str, timeout_seconds: int, key: str = "request_id",
                       horizon: str = HORIZON, available_now: bool = True) -> StreamingQuery:
     """Latest status per key from a stream of job events (key, job_id, status, created_at).
@@ -87,20 +92,23 @@ def stream_job_status(events: DataFrame, out: str, checkpoint: str, timeout_seco
             yield _combined(batch.assign(n_events=1), key)[fields]
 
     def advance(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # called once per key and batch: plain values here, as a data frame operation costs more than the whole rest
         def row(stale: bool) -> pd.DataFrame:
-            return pd.DataFrame([(*group, *state.get, stale)], columns=[*fields, "stale"])
+            return pd.DataFrame({c: [v] for c, v in zip([*fields, "stale"], (*group, *state.get, stale))})
 
         if state.hasTimedOut:
             state.update(state.get)  # written again without a timer, or it would go off in every batch
             yield row(True)
             return
-        parts = [part[fields[1:]] for part in batches]
-        old = [pd.DataFrame([state.get], columns=fields[1:])] if state.exists else []
-        both = _combined(pd.concat([*old, *parts]).assign(**{key: "k"}), key).iloc[0]
-        state.update((int(both["created_us"]), both["job_id"], both["status"], int(both["n_events"])))
-        due, now = int(both["created_us"]) // 1000 + 1000 * timeout_seconds, state.getCurrentWatermarkMs()
+        known = [state.get] if state.exists else []
+        for part in batches:
+            known += zip(*[part[c].tolist() for c in fields[1:]])
+        created, job, status, _ = max(known, key=_event_order)
+        created = int(created)
+        state.update((created, job, status, int(sum(e[3] for e in known))))
+        due, now = created // 1000 + 1000 * timeout_seconds, state.getCurrentWatermarkMs()
         stale = False
-        if both["status"] in settings.ACTIVE_STATUSES:
+        if status in settings.ACTIVE_STATUSES:
             stale = due < now
             if not stale:
                 state.setTimeoutTimestamp(max(due, now + 1))

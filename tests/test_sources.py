@@ -3,6 +3,7 @@ import json
 import os
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from factsieve import schemas
@@ -187,3 +188,15 @@ def test_new_jobs(spark):
     asked = spark.createDataFrame([("r1", "accepted"), ("r2", "rejected")], "request_id string, status string")
     row = jb.new_jobs(asked, "npo", 3, auto_verify=False).collect()
     assert [(r["job_id"], r["job_type"], r["status"], r["parent_revision"]) for r in row] == [("Jr1", "train_only", "queued", 3)]
+
+
+def test_event_order_is_that_of_the_combined_rows():
+    """A key's state is advanced without a data frame; nothing but its order may decide which event is the latest."""
+    rows = [(5, "b", "done", 1), (5, "a", "queued", 2), (7, None, "done", 1), (7, "z", "queued", 4), (7, None, None, 1)]
+    frame = pd.DataFrame([("k", *r) for r in rows], columns=["k", "created_us", "job_id", "status", "n_events"])
+    for n in range(1, len(rows) + 1):
+        want = intake._combined(frame.head(n), "k").iloc[0]
+        created, job, status, _ = max(rows[:n], key=intake._event_order)
+        assert (created, job, status) == (want["created_us"], None if pd.isna(want["job_id"]) else want["job_id"],
+                                          None if pd.isna(want["status"]) else want["status"])
+        assert sum(r[3] for r in rows[:n]) == want["n_events"]
