@@ -1,18 +1,16 @@
 """Streaming intake of erasure requests and of job events, with keyed state in Spark's state store.
 
 State per key lives in the state store of the query, so a micro-batch touches the keys of its own rows and
-those whose time is up, nothing else. Every batch writes what changed to a folder of its own, so a repeated
+nothing else. Every batch writes what changed to a folder of its own, so a repeated
 batch overwrites itself and an interrupted one leaves the earlier folders as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factsieve import schemas, settings
 
@@ -57,74 +55,39 @@ def stream_requests(requests: DataFrame, out: str, checkpoint: str, validate: Ca
     return _started(first, handle, checkpoint, "append", available_now)
 
 
-JOB_STATE = "created_us long, job_id string, status string, n_events long"  # time in microseconds: no time zone comes between
-
-
-def _combined(events: pd.DataFrame, key: str) -> pd.DataFrame:
-    """One row per key: its latest event and the number of events."""
-    ordered = events.sort_values(["created_us", "job_id", "status"])
-    groups = ordered.groupby(key, dropna=False, sort=False)
-    last = ordered.groupby(key, dropna=False, sort=False).tail(1).set_index(key)
-    last["n_events"] = groups["n_events"].sum()
-    return last.reset_index()
-
-
-def _event_order(event: tuple) -> tuple:
-    """Orders (created_us, job_id, status, ...) as ``_combined`` does: missing values last."""
-    return tuple((pd.isna(v), "" if pd.isna(v) else v) for v in event[:3])
+def _latest_first(created: str = "created_us", job: str = "job_id", status: str = "status") -> Column:
+    """Order of events: by time, then job, then status, missing ones last."""
+    return F.struct(created, F.col(job).isNull(), job, F.col(status).isNull(), status)
 
 
 def stream_job_status(events: DataFrame, out: str, checkpoint: str, timeout_seconds: int, key: str = "request_id",
-                      horizon: str = HORIZON, available_now: bool = True) -> StreamingQuery:
+                      horizon: str = HORIZON, available_now: bool = True, span: str = "1 day") -> StreamingQuery:
     """Latest status per key from a stream of job events (key, job_id, status, created_at).
 
-    The state of a key is its latest event and the number of its events. A key whose latest status is an
-    active one becomes stale when event time (newest event less ``horizon``) is ``timeout_seconds`` past
-    that event; a timer of the state store says so, and later events make the key current again. Events
-    more than ``horizon`` behind are dropped. Rows are combined by key before they are shuffled, so a
-    key with a large share of the events costs a row per task.
+    State is Spark's own aggregate, the latest event and the number of events of a key per ``span`` of event time,
+    so no Python runs per key and a key with a large share of the events costs a row per task. Event time is the
+    newest event less ``horizon``; a span that ended before it is forgotten by the state store, and events that
+    come for it are dropped. With a change goes the time at which its key becomes stale, if its status is an
+    active one: when event time is ``timeout_seconds`` past it. ``read_job_status`` compares that with the newest
+    event, so keys that time out cost nothing while the stream runs, and later events make them current again.
     """
-    fields = [key, "created_us", "job_id", "status", "n_events"]
-    kind = f"{key} string, {JOB_STATE}"
-
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield _combined(batch.assign(n_events=1), key)[fields]
-
-    def advance(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # called once per key and batch: plain values here, as a data frame operation costs more than the whole rest
-        def row(stale: bool) -> pd.DataFrame:
-            return pd.DataFrame({c: [v] for c, v in zip([*fields, "stale"], (*group, *state.get, stale))})
-
-        if state.hasTimedOut:
-            state.update(state.get)  # written again without a timer, or it would go off in every batch
-            yield row(True)
-            return
-        known = [state.get] if state.exists else []
-        for part in batches:
-            known += zip(*[part[c].tolist() for c in fields[1:]])
-        created, job, status, _ = max(known, key=_event_order)
-        created = int(created)
-        state.update((created, job, status, int(sum(e[3] for e in known))))
-        due, now = created // 1000 + 1000 * timeout_seconds, state.getCurrentWatermarkMs()
-        stale = False
-        if status in settings.ACTIVE_STATUSES:
-            stale = due < now
-            if not stale:
-                state.setTimeoutTimestamp(max(due, now + 1))
-        yield row(stale)
-
-    rows = events.select(F.col(key).cast("string").alias(key), F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"), "job_id", "status")
-    latest = (
-        rows.mapInPandas(combine, kind).withColumn("created_at", F.timestamp_micros("created_us")).withWatermark("created_at", horizon).groupBy(key)
-        .applyInPandasWithState(advance, f"{kind}, stale boolean", JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)
-    )
-    return _started(latest, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"), checkpoint, "update", available_now)
+    rows = events.select(F.col(key).cast("string").alias(key), F.col("created_at").cast("timestamp").alias("created_at"), "job_id", "status")
+    timed = rows.withColumn("created_us", F.unix_micros("created_at")).withWatermark("created_at", horizon)
+    latest = timed.groupBy(key, F.window("created_at", span).alias("w")).agg(F.max(_latest_first()).alias("e"), F.count(F.lit(1)).alias("n_events"))
+    behind = F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00Z' + INTERVAL {horizon})")
+    # in milliseconds, as Spark's watermark
+    due = (F.floor(F.col("e.created_us") / 1000) + 1000 * timeout_seconds) * 1000 + behind
+    changes = latest.select(key, F.unix_micros("w.start").alias("span_us"), "e.created_us", "e.job_id", "e.status", "n_events",
+                            F.when(F.col("e.status").isin(*settings.ACTIVE_STATUSES), due).cast("long").alias("due_us"))
+    return _started(changes, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"), checkpoint, "update", available_now)
 
 
 def read_job_status(spark: SparkSession, out: str, key: str = "request_id") -> DataFrame:
-    """Current state: of each key's changes the last one, with status ``stale`` for keys that have timed out."""
-    changes = spark.read.schema(f"{key} string, {JOB_STATE}, stale boolean, batch long").parquet(out)
-    now = changes.groupBy(key).agg(F.max_by(F.struct("created_us", "status", "n_events", "stale"), "batch").alias("e"))
-    return now.select(key, F.when(F.col("e.stale"), "stale").otherwise(F.col("e.status")).alias("status"),
-                      F.col("e.status").alias("last_status"), F.timestamp_micros("e.created_us").alias("updated_at"), F.col("e.n_events").alias("n_events"))
+    """Current state: of each key's spans the last change, of these the latest event, with status ``stale`` for keys
+    that have timed out."""
+    changes = spark.read.schema(f"{key} string, span_us long, created_us long, job_id string, status string, n_events long, due_us long, batch long").parquet(out)
+    spans = changes.groupBy(key, "span_us").agg(F.max_by(F.struct("created_us", "job_id", "status", "n_events", "due_us"), "batch").alias("c")).select(key, "c.*")
+    now = spans.groupBy(key).agg(F.max_by(F.struct("created_us", "status", "due_us"), _latest_first()).alias("e"), F.sum("n_events").alias("n_events"))
+    newest = changes.agg(F.floor(F.max("created_us") / 1000) * 1000).scalar()
+    return now.select(key, F.when(F.col("e.due_us") < newest, "stale").otherwise(F.col("e.status")).alias("status"),
+                      F.col("e.status").alias("last_status"), F.timestamp_micros("e.created_us").alias("updated_at"), "n_events")

@@ -3,7 +3,6 @@ import json
 import os
 
 import pytest
-import pandas as pd
 from pyspark.sql import functions as F
 
 from factsieve import schemas
@@ -190,13 +189,21 @@ def test_new_jobs(spark):
     assert [(r["job_id"], r["job_type"], r["status"], r["parent_revision"]) for r in row] == [("Jr1", "train_only", "queued", 3)]
 
 
-def test_event_order_is_that_of_the_combined_rows():
-    """A key's state is advanced without a data frame; nothing but its order may decide which event is the latest."""
-    rows = [(5, "b", "done", 1), (5, "a", "queued", 2), (7, None, "done", 1), (7, "z", "queued", 4), (7, None, None, 1)]
-    frame = pd.DataFrame([("k", *r) for r in rows], columns=["k", "created_us", "job_id", "status", "n_events"])
-    for n in range(1, len(rows) + 1):
-        want = intake._combined(frame.head(n), "k").iloc[0]
-        created, job, status, _ = max(rows[:n], key=intake._event_order)
-        assert (created, job, status) == (want["created_us"], None if pd.isna(want["job_id"]) else want["job_id"],
-                                          None if pd.isna(want["status"]) else want["status"])
-        assert sum(r[3] for r in rows[:n]) == want["n_events"]
+def test_job_state_spans_days_and_runs_no_python(spark, tmp_path, monkeypatch):
+    """Counts add up over days, missing ids come last among equals, too late events are dropped, nothing runs per key."""
+    rows = [("a", "k", "done", "2024-01-01 10:00:00"), (None, "k", "queued", "2024-01-03 09:00:00"), ("z", "k", "done", "2024-01-03 09:00:00"),
+            ("b", "m", "running", "2024-01-01 00:00:00"), ("b", "m", "done", "2024-01-02 00:00:00"), ("c", "n", "running", "2024-01-03 08:30:00")]
+    late = [("d", "m", "failed", "2024-01-01 09:00:00"), ("c", "n", "running", "2024-01-05 00:00:00")]
+    source, state, plans = str(tmp_path / "in"), str(tmp_path / "state"), []
+    start = intake._started
+    monkeypatch.setattr(intake, "_started", lambda stream, *rest: plans.append(stream._jdf.queryExecution().logical().toString()) or start(stream, *rest))
+    for k, wave in enumerate((rows, late)):
+        frame = spark.createDataFrame(wave, "job_id string, request_id string, status string, created_at string").withColumn(
+            "created_at", F.col("created_at").cast("timestamp"))
+        frame.write.mode("append").parquet(source)
+        events = spark.readStream.schema(frame.schema).parquet(source)
+        intake.stream_job_status(events, state, str(tmp_path / "mark"), timeout_seconds=3600).awaitTermination()
+        got = {tuple(r) for r in intake.read_job_status(spark, state).select("request_id", "status", "last_status", "n_events").collect()}
+        assert got == [{("k", "queued", "queued", 3), ("m", "done", "done", 2), ("n", "running", "running", 1)},
+                       {("k", "stale", "queued", 3), ("m", "done", "done", 2), ("n", "running", "running", 2)}][k]
+    assert all("Pandas" not in p and "Python" not in p for p in plans) and plans
