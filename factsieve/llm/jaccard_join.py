@@ -2,12 +2,13 @@
 
 Texts become sets of hashed word shingles. Equal sets are one from then on. The search has two parts:
 
-1. Candidates. Two sets can only link if they share one of their first n - ceil(s * n) + 1 shingles in
-   some common order (prefix filter). The order is by hash, with very frequent shingles last, so that
-   passages shared by many documents propose no pairs. Shared prefix shingles are counted per pair, and
-   pairs whose count can't lead to the required overlap are left out. In a long run of documents with one
-   shingle, in order of set size, all are linked to the first only, anew where neighbouring sizes rule
-   links out.
+1. Candidates. Two sets can only link if they share a number of their first n - ceil(s * n) + l shingles
+   in some common order (prefix filter; l grows with n). The order is by hash, with frequent shingles
+   last. The documents with one shingle, in order of set size and cut where neighbouring sizes rule links
+   out, are a run. Equal short runs are counted first, then their pairs are spelled out and counted. Pairs
+   of long runs are not spelled out: a pair is left out if its count and the shingles that either set has
+   in long runs can't lead to the required overlap. Sets that could link by long runs alone are linked
+   run by run, in what is still a long run to the first only.
    So linked sets always fall in one component of the candidates.
 2. Search. Each component of candidates is searched on its own: every set queries the inverted lists of
    the others. The short lists are heap-merged; sets found there are probed for in the long lists by
@@ -36,13 +37,15 @@ from factsieve.operators import skew
 
 WORDS = 5
 NEED, OF = 80, 100        # sets link if OF * intersection >= NEED * union
-RUN = 64                  # longest run of documents with a shingle whose pairs are spelled out
-FREQUENT = 32             # shingles counted this often go last in the prefix order,
+RUN = 16                  # longest run of documents with a shingle whose pairs are spelled out
+FREQUENT = 16             # shingles counted this often go last in the prefix order,
 MOST_FREQUENT = 1 << 20   # as far as so many; the order affects cost only
 BLOCK = 2_000_000         # weight of a searched block: shingles, and SET_WEIGHT a set
 SET_WEIGHT = 500
 MEMBERS = 2_000_000       # (id, block) rows broadcast to pick the texts; more are joined by a shuffle
+COMMON = 2_000_000        # (id, shingles in long runs) rows broadcast; more are joined by a shuffle
 STAR = 1 << 30            # count that marks a link of a long run
+PACKED = np.dtype([("n", np.int32), ("id", np.int64)])
 
 
 def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
@@ -59,8 +62,13 @@ def _ceil(a, b):
     return -(-a // b)
 
 
-def prefix_length(n):
-    return n - _ceil(NEED * n, OF) + 1
+def least_shared(n: int) -> int:
+    """Shingles that the prefixes of linked sets share, whatever their sizes, the smaller of which is n."""
+    return 1 + n // 20 + min(n // 5, 3)
+
+
+def prefix_length(n: int) -> int:
+    return n - _ceil(NEED * n, OF) + least_shared(n)
 
 
 def least_overlap(n, m):
@@ -221,6 +229,63 @@ def _postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"token": tokens, "n": np.repeat(part["n"].to_numpy(), times), "id": np.repeat(part["id"].to_numpy(), times)})
 
 
+def _apart(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether a posting and the one before have other shingles or sizes that rule links out."""
+    return np.append(True, (tokens[1:] != tokens[:-1]) | (OF * n[:-1].astype(np.int64) < NEED * n[1:].astype(np.int64)))
+
+
+def _packed(tokens: np.ndarray, n: np.ndarray, ids: np.ndarray, edge: np.ndarray, told: bool) -> pd.DataFrame:
+    """A row for each short run, a row for each posting of a long one; ``told``: for the first posting there was one."""
+    length = np.diff(np.append(edge, len(tokens)))
+    long = length > RUN
+    long[0] |= told
+    rows, runs = np.empty(len(tokens), PACKED), []
+    rows["n"], rows["id"] = n, ids
+    for size in np.unique(length[~long & (length > 1)]):
+        runs += [r.tobytes() for r in rows[edge[~long & (length == size)][:, None] + np.arange(size)]]
+    at = np.flatnonzero(np.repeat(long, length))[int(told):]
+    none = np.zeros(len(runs), np.int64)
+    return pd.DataFrame({"run": runs + [None] * len(at), "token": np.append(none, tokens[at]),
+                         "n": np.append(none, n[at]).astype(np.int32), "id": np.append(none, ids[at])})
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of postings sorted by shingle, size, id; holds a short run at most, of a long one the last posting."""
+    held, told = (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)), False
+    for batch in batches:
+        held = tuple(np.concatenate([h, batch[c].to_numpy()]) for h, c in zip(held, ("token", "n", "id")))
+        edge = np.flatnonzero(_apart(*held[:2])) if len(held[0]) else np.zeros(1, np.int64)
+        if edge[-1]:
+            yield _packed(*(h[:edge[-1]] for h in held), edge[:-1], told)
+            held, told = tuple(h[edge[-1]:] for h in held), False
+        if len(held[0]) > RUN:
+            yield _packed(*held, np.zeros(1, np.int64), told)
+            held, told = tuple(h[-1:] for h in held), True
+    if len(held[0]):
+        yield _packed(*held, np.zeros(1, np.int64), told)
+
+
+def _spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of the short runs, with the number of shingles that have the run."""
+    for batch in batches:
+        size = batch["run"].map(len).to_numpy() // PACKED.itemsize
+        for k in np.unique(size):
+            i, j = np.triu_indices(k, 1)
+            rows = np.frombuffer(b"".join(batch["run"][size == k]), PACKED).reshape(-1, k)
+            a, b, c = rows[:, i].ravel(), rows[:, j].ravel(), np.repeat(batch["c"][size == k].to_numpy()[:, None], len(i), 1).ravel()
+            near = OF * a["n"].astype(np.int64) >= NEED * b["n"].astype(np.int64)
+            yield _links(a["n"][near], a["id"][near], b["n"][near], b["id"][near], c[near])
+
+
+def _links(na, a, nb, b, c) -> pd.DataFrame:
+    """Pairs of different ids with their sizes, the smaller id first, and the sum of their counts."""
+    other = a != b
+    na, a, nb, b, c = (v[other] for v in (na, a, nb, b, c))
+    swap = a > b
+    out = pd.DataFrame({"x": np.where(swap, b, a), "y": np.where(swap, a, b), "nx": np.where(swap, nb, na), "ny": np.where(swap, na, nb), "c": c})
+    return out.groupby(["x", "y", "nx", "ny"], as_index=False, sort=False)["c"].sum()
+
+
 def _pairs(tokens: np.ndarray, n: np.ndarray, ids: np.ndarray, long_first: bool) -> pd.DataFrame:
     """Pairs of short runs with the number of shared shingles, stars of long runs."""
     edge = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
@@ -236,18 +301,12 @@ def _pairs(tokens: np.ndarray, n: np.ndarray, ids: np.ndarray, long_first: bool)
         right.append((rows + j).ravel())
         count.append(np.ones(len(left[-1]), np.int64))
     a, b, c = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right, count))
-    near = OF * n[a].astype(np.int64) >= NEED * n[b].astype(np.int64)
-    a, b, c = a[near], b[near], c[near]
-    apart = np.append(True, (tokens[1:] != tokens[:-1]) | (OF * n[:-1].astype(np.int64) < NEED * n[1:].astype(np.int64)))
+    apart = _apart(tokens, n)
     centre = np.flatnonzero(apart)[np.cumsum(apart) - 1]
     rays = np.flatnonzero(np.repeat(long, length) & ~apart)
-    a, b, c = np.append(a, centre[rays]), np.append(b, rays), np.append(c, np.full(len(rays), STAR))
-    other = ids[a] != ids[b]
-    a, b, c = a[other], b[other], c[other]
-    swap = ids[a] > ids[b]
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    out = pd.DataFrame({"x": ids[a], "y": ids[b], "nx": n[a], "ny": n[b], "c": c})
-    return out.groupby(["x", "y", "nx", "ny"], as_index=False, sort=False)["c"].sum()
+    near = OF * n[a].astype(np.int64) >= NEED * n[b].astype(np.int64)
+    a, b, c = np.append(a[near], centre[rays]), np.append(b[near], rays), np.append(c[near], np.full(len(rays), STAR))
+    return _links(n[a], ids[a], n[b], ids[b], c)
 
 
 def _run_pairs(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.DataFrame]:
@@ -270,16 +329,35 @@ def _run_pairs(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator
         yield _pairs(*held, long_first)
 
 
+POSTING, PAIR = "token long, n int, id long", "x long, y long, nx int, ny int, c long"
+
+
 def candidates(sized: DataFrame) -> DataFrame:
     """(x, y): links of the candidate graph between distinct sets, each by its least id."""
     distinct = sized.filter("key IS NOT NULL").groupBy("key").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = distinct.select("id", "n", "prefix").mapInPandas(_postings, "token long, n int, id long")
-    pairs = postings.repartition("token").sortWithinPartitions("token", "n", "id").mapInPandas(
-        _run_pairs, "x long, y long, nx int, ny int, c long")
-    rest = lambda n: F.ceil(NEED * F.col(n) / OF) - 1  # noqa: E731  shingles behind the prefix
-    need = F.ceil(NEED * (F.col("nx") + F.col("ny")) / (OF + NEED)) - F.greatest(rest("nx"), rest("ny"))
-    return pairs.groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c")).filter(F.col("c") >= need).select("x", "y")
+    postings = distinct.select("id", "n", "prefix").mapInPandas(_postings, POSTING)
+    in_order = lambda rows: rows.repartition("token").sortWithinPartitions("token", "n", "id")
+    runs = stage(in_order(postings).mapInPandas(_runs, f"run binary, {POSTING}"), "join-runs")
+    short = runs.filter("run IS NOT NULL").groupBy("run").agg(F.count(F.lit(1)).alias("c")).mapInPandas(_spelled, PAIR)
+    long = runs.filter("run IS NULL").drop("run")
+    common = stage(long.groupBy("id").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("common")), "join-common")
+    # linked sets of n and m share least_shared of their prefixes; the smaller has ceil(s * n) shingles at least
+    heavy = stage(common.filter(F.col("common") >= _least_shared(F.ceil(NEED * F.col("n") / OF))).select(F.col("id").alias("_heavy")), "join-heavy")
+    met = in_order(long.join(bounded(heavy, COMMON), F.col("id") == F.col("_heavy"), "left_semi")).mapInPandas(_run_pairs, PAIR)
+    pairs = short.unionByName(met).groupBy("x", "y", "nx", "ny").agg(F.sum("c").alias("c"))
+    rest = lambda n: F.ceil(NEED * F.col(n) / OF) - _least_shared(F.col(n))  # noqa: E731  shingles behind the prefix
+    lacks = F.ceil(NEED * (F.col("nx") + F.col("ny")) / (OF + NEED)) - F.greatest(rest("nx"), rest("ny")) - F.col("c")
+    open_pairs = pairs.withColumn("lacks", lacks)
+    for end in ("x", "y"):
+        own = bounded(common.select(F.col("id").alias("_id"), F.col("common").alias(f"common_{end}")), COMMON)
+        open_pairs = open_pairs.join(own, F.col(end) == F.col("_id"), "left").drop("_id").filter(
+            F.col("lacks") <= F.coalesce(f"common_{end}", F.lit(0)))
+    return open_pairs.select("x", "y")
+
+
+def _least_shared(n):
+    return 1 + F.floor(n / 20) + F.least(F.floor(n / 5), F.lit(3))
 
 
 # ---------------------------------------------------------------- the join

@@ -155,3 +155,33 @@ def test_one_id_with_two_texts_that_link(spark, swap):
             (30, prose(rng, 80), "en", "s", 1)]
     got = {(r.doc_id, r.component_id) for r in jaccard_join.join_components(spark.createDataFrame(rows[::-1] if swap else rows, SCHEMA).coalesce(1)).collect()}
     assert got == {(14, 14), (20, 14), (21, 14), (30, 30)}
+
+
+def test_common_passages_propose_nothing(spark):
+    """Documents that share a passage and no more are no candidates, however many; near copies and a family of them are."""
+    rng = random.Random(21)
+    passage = prose(rng, 12)
+    rows = [(i, prose(rng, 80, 50_000) + " " + passage) for i in range(400)]
+    family = prose(rng, 90, 50_000).split()
+    rows += [(1000, rows[0][1] + " more"), *((2000 + i, " ".join([*family[:i], "x", *family[i + 1:]])) for i in range(40))]
+    sized = jaccard_join._sets(spark.createDataFrame(rows, "id long, text string"), np.empty(0, np.uint64))
+    found = {r.id: r.label for r in components(jaccard_join.candidates(sized), "x", "y").collect()}
+    assert found == {0: 0, 1000: 0, **{2000 + i: 2000 for i in range(40)}}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_runs_are_told_once(seed, monkeypatch):
+    """Whatever the batches: short runs packed, every posting of a long run once, cut where sizes rule links out."""
+    import pandas as pd
+
+    monkeypatch.setattr(jaccard_join, "RUN", 5)
+    rng = np.random.default_rng(seed)
+    rows = pd.DataFrame({"token": rng.integers(0, 9, 150), "n": rng.choice([50, 55, 100], 150).astype(np.int32), "id": np.arange(150)})
+    rows = rows.sort_values(["token", "n", "id"])
+    cuts = sorted(rng.integers(0, 150, 8).tolist())
+    out = pd.concat(jaccard_join._runs(rows.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, 150]) if b > a))
+    short = [[(int(n), int(i)) for n, i in np.frombuffer(r, jaccard_join.PACKED)] for r in out["run"].dropna()]
+    long = sorted(map(tuple, out[out["run"].isna()][["token", "n", "id"]].to_numpy().tolist()))
+    groups = [list(zip(g["token"], g["n"], g["id"])) for _, g in rows.groupby(["token", rows["n"] == 100])]
+    assert sorted(short) == sorted([(n, i) for _, n, i in g] for g in groups if 1 < len(g) <= 5)
+    assert long == sorted(r for g in groups if len(g) > 5 for r in g)
