@@ -160,34 +160,37 @@ def percentile_ranks(scores: DataFrame, null: DataFrame, value: str) -> DataFram
     return attach(scores, ranks, [value], F.xxhash64(*scores.columns), F.col("_rows"), {"_rank": "percentile_rank"})
 
 
+def null_records(examples: DataFrame) -> DataFrame:
+    """All never-trained forward questions: the null distribution."""
+    return forward_qa(examples).filter(F.col("metadata.split") == "heldout").select("record_id")
+
+
 def null_sample(examples: DataFrame, n: int = settings.MIA_NULL_SAMPLE, seed: int = settings.MIA_SEED) -> DataFrame:
-    """Never-trained forward questions used as the null distribution."""
-    return sample_n(forward_qa(examples).filter(F.col("metadata.split") == "heldout").select("record_id"), "record_id", n, seed)
+    """``n`` of the null records, as the summary of the report uses them."""
+    return sample_n(null_records(examples), "record_id", n, seed)
 
 
 def membership_inference(classified: DataFrame, null_records: DataFrame, logps: DataFrame) -> DataFrame:
-    """Percentile-rank summary of the forgotten records per request.
+    """Percentile-rank summary of the forgotten records per request, over null records of any number.
 
-    ``null_records`` is a sample of declared size, so its sorted values fit one broadcast row;
-    the summary's median is the upper one.
+    Equal values are merged first; ranks and medians come from distributed running sums. The summary's median
+    is the upper one.
     """
-    null = null_records.join(logps, "record_id").agg(F.sort_array(F.collect_list("logp"))).scalar()
+    null = written(null_records.join(logps, "record_id").select("logp"), "null-logps")
+    n_null = null.agg(F.count("logp")).scalar()
     forget = classified.filter(F.col("pool") == FORGET).select("request_id", "record_id").join(logps, "record_id")
-    # equal values of a request share a rank, and a null set of n values allows n + 1 ranks only
-    per_value = forget.groupBy("request_id", "logp").agg(F.count(F.lit(1)).alias("_c")).withColumn("_null", null)
-    per_rank = per_value.select(
-        "request_id", "_c", F.size("_null").alias("n_null"), percentile_rank(F.col("logp"), F.col("_null")).alias("rank"),
-    ).groupBy("request_id", "n_null", "rank").agg(F.sum("_c").alias("_c"))
-    by_rank = F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "_c"))))
+    per_value = written(forget.groupBy("request_id", "logp").agg(F.count(F.lit(1)).alias("_c")), "forget-logps")
+    # a missing value has nothing below it
+    rank = F.when(n_null > 0, F.coalesce("percentile_rank", F.lit(0.0)))
+    per_rank = written(percentile_ranks(per_value, null, "logp").groupBy("request_id", rank.alias("rank")).agg(F.sum("_c").alias("_c")), "forget-ranks")
     total = per_rank.groupBy("request_id").agg(
-        F.sum("_c").alias("n_forget_scored"), F.max("n_null").alias("n_null"),
-        (F.sum(F.col("rank") * F.col("_c")) / F.sum(F.when(F.col("rank").isNotNull(), F.col("_c")))).alias("mean_rank"),
-        by_rank.alias("_ranks"), F.sum(F.when(F.col("rank").isNotNull(), F.col("_c"))).alias("_n"))
-    upto = lambda r: F.aggregate(
-        F.filter("_ranks", lambda q: q["rank"] <= r["rank"]), F.lit(0).cast("long"), lambda n, q: n + q["_c"])
-    median = F.get(F.filter("_ranks", lambda r: upto(r) >= F.floor(F.col("_n") / 2) + 1), F.lit(0))["rank"]
-    return total.select(
-        "request_id", "n_forget_scored", "n_null", "mean_rank", median.alias("median_rank"),
+        F.sum("_c").alias("n_forget_scored"),
+        (F.sum(F.col("rank") * F.col("_c")) / F.sum(F.when(F.col("rank").isNotNull(), F.col("_c")))).alias("mean_rank"))
+    upto = running_sum(per_rank.filter("rank IS NOT NULL"), ["request_id"], "rank", "_c", "_upto")
+    median = upto.join(total, "request_id").filter(F.col("_upto") >= F.floor(F.col("n_forget_scored") / 2) + 1).groupBy("request_id").agg(
+        F.min("rank").alias("median_rank"))
+    return total.join(median, "request_id", "left").select(
+        "request_id", "n_forget_scored", n_null.alias("n_null"), "mean_rank", "median_rank",
         (F.col("n_forget_scored") < settings.MIA_SMALL_SET).alias("small_forget_set"))
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,33 @@ def test_membership_summary(spark):
     assert (row["n_forget_scored"], row["n_null"], row["mean_rank"], row["median_rank"], row["small_forget_set"]) == (4, 4, 0.375, 0.5, True)
 
 
+def test_membership_ranks_against_every_null_record(spark, monkeypatch):
+    """The query takes all held-out questions as the null set; ranks, means and upper medians equal plain Python."""
+    from factsieve.plans import registry
+
+    rng, asked = random.Random(3), {"r": [], "q": [], "one": [("z", None)]}
+    for i in range(300):
+        asked["r" if i % 3 else "q"].append((f"f{i}", float(rng.randint(0, 400))))
+    null = [(f"h{i}", float(rng.randint(0, 400))) for i in range(500)] + [("h-", None)]
+    cls = spark.createDataFrame([(r, k, "forget") for r, v in asked.items() for k, _ in v] + [("r", "h1", "general")], "request_id string, record_id string, pool string")
+    logps = spark.createDataFrame([x for v in asked.values() for x in v] + null, "record_id string, logp double")
+    own = spark.createDataFrame([(k,) for k, _ in null], "record_id string")
+    got = {r["request_id"]: r for r in pr.membership_inference(cls, own, logps).collect()}
+    values = [v for _, v in null if v is not None]
+    for r, records in asked.items():
+        ranks = sorted(0 if v is None else sum(x < v for x in values) / len(values) for _, v in records)
+        assert (got[r]["n_forget_scored"], got[r]["n_null"], got[r]["small_forget_set"]) == (len(ranks), 500, len(ranks) < 5)
+        assert got[r]["mean_rank"] == pytest.approx(sum(ranks) / len(ranks)) and got[r]["median_rank"] == pytest.approx(ranks[len(ranks) // 2])
+    none = pr.membership_inference(cls, own.limit(0), logps).collect()
+    assert {(r["n_null"], r["mean_rank"], r["median_rank"]) for r in none} == {(0, None, None)} and len(none) == 3
+
+    seen = []
+    monkeypatch.setattr(pr, "membership_inference", lambda classified, null, logps: seen.append(null))
+    registry.queries()["membership_inference"](spark, "/root/testdata/sf0.001")
+    held = fx.corpus(spark, "/root/testdata/sf0.001").filter("metadata.source_type = 'qa' AND metadata.direction = 'forward' AND metadata.split = 'heldout'")
+    assert seen[0].count() == held.count() > 60
+
+
 def eval_row(spark, *rows):
     return spark.createDataFrame(rows, "run_id string, step int, pool string, overall_accuracy double")
 
