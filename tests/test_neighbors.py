@@ -1,3 +1,4 @@
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -5,8 +6,10 @@ from pyspark.sql import functions as F
 
 from conftest import COMPANIES, PERSONS, fact_rows
 from factsieve import schemas
+from factsieve.functions.hooks import similar_pairs
 from factsieve.operators import neighbors as nb
 from factsieve.operators.skew import attach_counts
+from factsieve.plans import fixtures as fx, registry
 
 
 def asked(spark, *names):
@@ -79,6 +82,34 @@ def test_few_names_need_no_slots_and_many_agree(spark, facts, threshold, monkeyp
     assert {tuple(r) for r in few.collect()} == {tuple(r) for r in many.collect()} and few.count() == many.count() > 0
 
 
+@pytest.mark.parametrize("letters", ["ab", "abc ", "Root0123 é日"])
+def test_similar_pairs_equal_the_matcher(letters):
+    rng = random.Random(len(letters))
+    names = ["", "a", "x\0y", *("".join(rng.choice(letters) for _ in range(rng.choice([3, 12, 25, 63, 64, 90, 250]))) for _ in range(60))]
+    for threshold in (0.0, 0.55, 0.8):
+        want = {(i, j): SequenceMatcher(None, min(a, b), max(a, b)).ratio() for i, a in enumerate(names) for j, b in enumerate(names)}
+        want = {k: v for k, v in want.items() if v >= threshold}
+        assert {(i, j): r for i, j, r in similar_pairs(names, names, threshold, False)} == want
+        assert {(i, j): r for i, j, r in similar_pairs(names, names, threshold, True)} == {k: v for k, v in want.items() if k[0] < k[1]}
+
+
+def test_blocks_meet_once(spark, facts, monkeypatch):
+    ask = asked(spark, *[c[1] for c in COMPANIES])
+    few = sorted(tuple(r) for r in nb.fuzzy_name_neighbors(facts, ask, 0.3).collect())
+    monkeypatch.setattr("factsieve.settings.PAIRED_NAMES", 0)
+    monkeypatch.setattr("factsieve.settings.NAME_BLOCK", 2)
+    assert sorted(tuple(r) for r in nb.fuzzy_name_neighbors(facts, ask, 0.3).collect()) == few
+
+
+def test_query_asks_every_company(spark):
+    d = "/root/testdata/sf0.001"
+    names = sorted(r[0] for r in nb.all_names(fx.facts(spark, d)).collect())
+    companies = {r[0] for r in fx.facts(spark, d).filter("entity_type = 'company'").select("entity").distinct().collect()}
+    want = {(a, b) for a in companies for b in names if a != b and SequenceMatcher(None, min(a, b), max(a, b)).ratio() >= 0.55}
+    got = [(r["entity"], r["neighbor"]) for r in registry.queries()["fuzzy_name_neighbors"](spark, d).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_counts_survive_a_key_with_a_third_of_all_rows(spark):
     rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 97).cast("string")).alias("k"))
     want = {r["k"]: r["n"] for r in rows.groupBy("k").agg(F.count("*").alias("n")).collect()}
